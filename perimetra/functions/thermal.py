@@ -36,17 +36,3 @@ def stretch(value: Column, lo: Column, hi: Column) -> Column:
     """Map ``lo..hi`` to 0..255 for display, with at least half a degree of span."""
     span = F.greatest(hi - lo, F.lit(0.5))
     return F.greatest(F.lit(0.0), F.least(F.lit(255.0), (value - lo) * (F.lit(255.0) / span)))
-
-
-def median_of(values: Column) -> Column:
-    """Median of an array column."""
-    s, n = F.sort_array(values), F.size(values)
-    mid = F.floor(n / F.lit(2)).cast("int")
-    return F.when(
-        n > 0,
-        F.when(n % 2 == 1, F.get(s, mid)).otherwise((F.get(s, mid - 1) + F.get(s, mid)) / 2.0),
-    )
-
-
-def mean_of(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / F.nullif(F.size(values), F.lit(0))

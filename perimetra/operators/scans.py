@@ -24,10 +24,11 @@ HALO = "_halo"
 class Chunked:
     """Rows plus halo, ready for windows over ``(keys, chunk)``."""
 
-    def __init__(self, rows: DataFrame, keys: Sequence[str], order: Sequence[str]):
+    def __init__(self, rows: DataFrame, keys: Sequence[str], order: Sequence[str], whole: bool = False):
         self.rows = rows
         self.keys = list(keys)
         self.order = list(order)
+        self.whole = whole
 
     @property
     def part(self) -> WindowSpec:
@@ -41,7 +42,7 @@ class Chunked:
         return self.part.rowsBetween(Window.unboundedPreceding, 0)
 
     def with_columns(self, cols: dict[str, Column]) -> Chunked:
-        return Chunked(self.rows.withColumns(cols), self.keys, self.order)
+        return Chunked(self.rows.withColumns(cols), self.keys, self.order, self.whole)
 
     def finish(self, *drop: str) -> DataFrame:
         return self.rows.filter(~F.col(HALO)).drop(CHUNK, HALO, *drop)
@@ -67,7 +68,7 @@ def chunked(
     keys, order = list(keys), list(order)
     if span is None:
         whole = rows.withColumns({CHUNK: F.lit(0).cast("long"), HALO: F.lit(False)})
-        return Chunked(whole.withColumns({c: F.lit(None).cast("long") for c in carry or {}}), keys, order)
+        return Chunked(whole, keys, order, whole=True)
     base = rows.withColumn(CHUNK, F.floor(F.col(order[0]) / F.lit(span)).cast("long"))
     out = base.withColumn(HALO, F.lit(False))
     by_chunk = [*keys, CHUNK]
@@ -115,19 +116,112 @@ def own(expr: Column) -> Column:
 
 
 def running_count(ch: Chunked, carried: str) -> Column:
-    return F.coalesce(F.col(carried), F.lit(0)) + F.count(own(F.lit(1))).over(ch.sofar)
+    here = F.count(own(F.lit(1))).over(ch.sofar)
+    return here if ch.whole else F.coalesce(F.col(carried), F.lit(0)) + here
 
 
 def running_sum(ch: Chunked, carried: str, expr: Column) -> Column:
-    return F.coalesce(F.col(carried), F.lit(0)) + F.coalesce(F.sum(own(expr)).over(ch.sofar), F.lit(0))
+    here = F.coalesce(F.sum(own(expr)).over(ch.sofar), F.lit(0))
+    return here if ch.whole else F.coalesce(F.col(carried), F.lit(0)) + here
 
 
 def running_max(ch: Chunked, carried: str, expr: Column) -> Column:
-    return F.greatest(F.col(carried), F.max(own(expr)).over(ch.sofar))
+    here = F.max(own(expr)).over(ch.sofar)
+    return here if ch.whole else F.greatest(F.col(carried), here)
 
 
 def running_min(ch: Chunked, carried: str, expr: Column) -> Column:
-    return F.least(F.col(carried), F.min(own(expr)).over(ch.sofar))
+    here = F.min(own(expr)).over(ch.sofar)
+    return here if ch.whole else F.least(F.col(carried), here)
+
+
+def numbered(rows: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, span: int | None = CHUNK_FRAMES) -> DataFrame:
+    """Add ``out``: the 1-based position of each row in its key."""
+    ch = chunked(rows, keys, order, carry={"_ahead": ("sum", F.lit(1))}, span=span)
+    return ch.with_columns({out: running_count(ch, "_ahead")}).finish("_ahead")
+
+
+def asof(
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    out: str,
+    span: int | None = CHUNK_FRAMES,
+) -> DataFrame:
+    """Add ``out``: the newest ``right`` row (as a struct) at or before each ``left`` row."""
+    payload = F.struct(order, *[c for c in right.columns if c not in keys and c != order])
+    marks = right.select(*keys, order, payload.alias(out), F.lit(0).alias("_side"))
+    asks = left.withColumn("_side", F.lit(1))
+    both = asks.unionByName(marks, allowMissingColumns=True)
+    ch = chunked(both, keys, [order, "_side"], carry={"_newest": ("max", F.struct(F.col(out)[order], out))}, span=span)
+    newest = F.last(out, ignorenulls=True).over(ch.sofar)
+    if not ch.whole:
+        newest = F.coalesce(newest, F.col(f"_newest.{out}"))
+    return ch.with_columns({out: newest}).finish("_newest").filter(F.col("_side") == 1).drop("_side")
+
+
+def ew_weight(i: Column, n: Column, alpha: float) -> Column:
+    """Weight of row ``i`` of ``n`` in a mean that is plain up to ``1/alpha`` rows and exponential after."""
+    k = round(1.0 / alpha)
+    early = F.pow(F.lit(1.0 - alpha), n - k) / k
+    late = F.lit(alpha) * F.pow(F.lit(1.0 - alpha), n - i)
+    return F.when(n <= k, 1.0 / n).when(i <= k, early).otherwise(late)
+
+
+def ew_moments(
+    rows: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column], alpha: float, span: int | None = CHUNK_FRAMES
+) -> DataFrame:
+    """Final running count, mean and variance of each value per key, as aggregates with known weights."""
+    keys = list(keys)
+    placed = numbered(rows, keys, order, "_i", span)
+    totals = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    w = placed.join(totals, keys).withColumn("_w", ew_weight(F.col("_i"), F.col("_n"), alpha))
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for name, expr in values.items():
+        aggs += [F.sum(F.col("_w") * expr).alias(f"{name}_mean"), F.sum(F.col("_w") * expr * expr).alias(f"_{name}_sq")]
+    out = w.groupBy(*keys).agg(*aggs)
+    for name in values:
+        out = out.withColumn(f"{name}_var", F.greatest(F.lit(0.0), F.col(f"_{name}_sq") - F.col(f"{name}_mean") * F.col(f"{name}_mean")))
+    return out.drop(*[f"_{name}_sq" for name in values])
+
+
+def ewma(
+    rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, alpha: float, out: str, span: int | None = 1 << 14
+) -> DataFrame:
+    """Exponentially weighted running sum from 0: ``a += alpha * (value - a)`` at every row.
+
+    Inside a chunk the recursion is a scaled prefix sum; chunk totals are chained in order.
+    """
+    keys = list(keys)
+    keep = 1.0 - alpha
+    ch = chunked(rows.withColumn("_v", value.cast("double")), keys, order, span=span or 1 << 14)
+    w = ch.part
+    ch = ch.with_columns({"_j": F.row_number().over(w)})
+    part = F.sum(F.lit(alpha) * F.col("_v") * F.pow(F.lit(keep), -F.col("_j"))).over(ch.sofar) * F.pow(F.lit(keep), F.col("_j"))
+    ch = ch.with_columns({"_part": part})
+    ends = ch.rows.groupBy(*keys, CHUNK).agg(F.max("_j").alias("rows"), F.max_by("_part", "_j").alias("part"))
+    kinds = dict(rows.dtypes)
+    schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], f"{CHUNK} long", "_carry double"])
+
+    class Chain:
+        def __init__(self) -> None:
+            self.a = 0.0
+
+        def feed(self, c: dict) -> dict:
+            carry = np.empty(len(c["rows"]))
+            for i, (n, b) in enumerate(zip(c["rows"], c["part"])):
+                carry[i] = self.a
+                self.a = self.a * keep ** int(n) + b
+            return {CHUNK: c[CHUNK], "_carry": carry}
+
+        def close(self) -> None:
+            return None
+
+    carried = keyed_scan(ends, keys, [CHUNK], Chain, schema)
+    joined = ch.rows.join(carried, [*keys, CHUNK])
+    total = F.col("_part") + F.col("_carry") * F.pow(F.lit(keep), F.col("_j"))
+    return joined.withColumn(out, total).drop("_v", "_j", "_part", "_carry", CHUNK, HALO)
 
 
 def sessions(

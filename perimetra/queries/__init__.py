@@ -28,6 +28,6 @@ REGISTRY = Registry()
 
 
 def load() -> Registry:
-    from perimetra.queries import boxes, policy, site, tracks  # noqa: F401
+    from perimetra.queries import boxes, fusion, policy, site, tracks  # noqa: F401
 
     return REGISTRY

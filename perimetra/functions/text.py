@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 
 def num(v: Column, digits: int = 0, signed: bool = False) -> Column:
-    sign = "+" if signed else ""
-    return F.format_string(f"%{sign}.{digits}f", F.bround(v.cast("double"), digits))
+    sign, v = "+" if signed else "", v.cast("double")
+    # Rounding the size keeps the sign of a small negative number ("-0.0").
+    rounded = F.when(v < 0, -F.bround(-v, digits)).otherwise(F.bround(v, digits))
+    return F.format_string(f"%{sign}.{digits}f", rounded)
 
 
 def words(*parts: Column | str) -> Column:

@@ -238,15 +238,15 @@ def heat_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 ), v AS (
   SELECT *, least(1, (area - 60) / 340.0) AS scale, aspect >= 2.10 OR sol <= 0.52 AS bird, aspect BETWEEN 0.55 AND 1.80 AND sol >= 0.62 AS drone FROM s)
 SELECT site_id, frame_idx, det_id, CASE WHEN area < 60 THEN 'unknown' WHEN bird THEN 'bird' WHEN drone THEN 'drone' ELSE 'unknown' END AS label,
-  round(CASE WHEN area < 60 THEN 0 WHEN bird THEN (0.55 + 0.35 * least(1, CASE WHEN aspect >= 2.10 THEN (aspect - 2.10) / 1.5 ELSE (0.52 - sol) / 0.3 END)) * scale
-       WHEN drone THEN (0.55 + 0.35 * least(1, (sol - 0.62) / 0.3)) * scale ELSE 0 END, 2)::DOUBLE AS confidence
+  round_even(CASE WHEN area < 60 THEN 0 WHEN bird THEN (0.55 + 0.35 * least(1, CASE WHEN aspect >= 2.10 THEN (aspect - 2.10) / 1.5 ELSE (0.52 - sol) / 0.3 END)) * scale
+       WHEN drone THEN (0.55 + 0.35 * least(1, (sol - 0.62) / 0.3)) * scale ELSE 0 END, 3)::DOUBLE AS confidence
 FROM v""",
 )
 def shape_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
     v = T.shape_verdict(c("area") * 3, c("w") / F.greatest(c("h"), F.lit(1.0)), 0.4 + c("discount") * 5)
     b = boxes(spark, sf_dir).select(*IDS, v.alias("v"))
-    return b.select(*IDS, "v.label", F.round("v.confidence", 2).alias("confidence"))
+    return b.select(*IDS, "v.label", F.col("v.confidence").alias("confidence"))
 
 
 @REGISTRY.add(
@@ -285,12 +285,12 @@ def stretch_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.add(
     "threat_static",
     "WITH " + assessments_sql() + """
-SELECT site_id, frame_idx, round(least(1, 0.60 + 0.25 * least(1, dwell_s / 30.0) + 0.15 * least(1, abs(10 * threat - 5) / 8.0)), 6) AS threat,
-  'object at rest ' || printf('%.0f', dwell_s) || ' s where the learned site is empty | ' || printf('%+.1f', round_even(10 * threat - 5, 1)) || ' C off baseline over 4 cells' AS reasons
+SELECT site_id, frame_idx, round(least(1, 0.60 + 0.25 * least(1, dwell_s / 30.0) + 0.15 * least(1, abs(10 * threat - 4.9877) / 8.0)), 6) AS threat,
+  'object at rest ' || printf('%.0f', dwell_s) || ' s where the learned site is empty | ' || printf('%+.1f', round_even(10 * threat - 4.9877, 1)) || ' C off baseline over 4 cells' AS reasons
 FROM assessments WHERE kind = 'static'""",
 )
 def threat_static(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dev = 10 * F.col("threat") - 5
+    dev = 10 * F.col("threat") - 4.9877
     a = assessments(spark, sf_dir).filter(F.col("kind") == "static")
     return a.select(
         "site_id", "frame_idx", F.round(T.static_threat(F.col("dwell_s"), dev), 6).alias("threat"),

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -71,11 +71,11 @@ def cover(a: Box, b: Box) -> Column:
 
 
 def map_x(h: Column, x: Column, y: Column) -> Column:
-    return (h[0] * x + h[1] * y + h[2]) / F.nullif(h[6] * x + h[7] * y + h[8], F.lit(0.0))
+    return F.try_divide(h[0] * x + h[1] * y + h[2], h[6] * x + h[7] * y + h[8])
 
 
 def map_y(h: Column, x: Column, y: Column) -> Column:
-    return (h[3] * x + h[4] * y + h[5]) / F.nullif(h[6] * x + h[7] * y + h[8], F.lit(0.0))
+    return F.try_divide(h[3] * x + h[4] * y + h[5], h[6] * x + h[7] * y + h[8])
 
 
 def map_box(h: Column, b: Box) -> Box:
@@ -87,6 +87,22 @@ def map_box(h: Column, b: Box) -> Box:
     return Box(F.rint(x0), F.rint(y0), F.rint(x1 - x0), F.rint(y1 - y0))
 
 
+def with_columns_once(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
+    """Add costly columns and stop later filters and joins from repeating their expressions.
+
+    The columns are computed in one projection; the generator above it is a step the
+    optimizer does not move filters through.
+    """
+    staged = df.withColumns({f"_{k}": v for k, v in cols.items()})
+    held = F.inline(F.array(F.struct(*[F.col(f"_{k}").alias(k) for k in cols])))
+    return staged.select(*df.columns, held)
+
+
+def with_mapped_box(df: DataFrame, h: Column, box: Box, out: tuple[str, str, str, str] = ("mx", "my", "mw", "mh")) -> DataFrame:
+    """Add a box mapped to the other camera."""
+    return with_columns_once(df, dict(zip(out, map_box(h, box))))
+
+
 def inverse(h: Column) -> Column:
     """Inverse homography by cofactors; NULL when the matrix is singular."""
     a = [h[i] for i in range(9)]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from perimetra.functions import threat as T
+from perimetra.functions.geometry import with_columns_once
 from perimetra.functions.text import num, words
 from perimetra.params import ALERTING, THREAT, Alerting, Threat
 
@@ -25,7 +26,7 @@ def track_assessments(objects: DataFrame) -> DataFrame:
     c = F.col
     fused = T.fused_identity(c("label"), c("confidence"), c("o_label"), c("o_confidence"), c("o_reason"))
     asked = c("o_reason").isNotNull()
-    f = objects.withColumn("_f", fused).withColumns(
+    f = with_columns_once(objects, {"_f": fused}).withColumns(
         {
             "label": F.when(asked, c("_f.label")).otherwise(c("label")),
             "confidence": F.when(asked, c("_f.confidence")).otherwise(c("confidence")),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from perimetra.functions import schedule as S
 from perimetra.functions.arrays import let
-from perimetra.functions.geometry import inside
+from perimetra.functions.geometry import inside, with_columns_once
 from perimetra.functions.text import words
 
 ANY = "*"
@@ -36,7 +36,7 @@ def zone_of(objects: DataFrame, zones: DataFrame) -> DataFrame:
     """Add ``zone``: the first named zone in file order that holds the object, NULL if none."""
     j = objects.join(zone_lists(zones), "site_id", "left")
     named = F.filter("_zones", lambda z: (z["name"] != ANY) & inside(F.col("cx"), F.col("cy"), z["polygon"]))
-    return j.withColumn("zone", F.get(named, F.lit(0))["name"]).drop("_zones")
+    return with_columns_once(j, {"zone": F.get(named, F.lit(0))["name"]}).drop("_zones")
 
 
 def judged(objects: DataFrame, rules: DataFrame) -> DataFrame:
@@ -55,22 +55,26 @@ def judged(objects: DataFrame, rules: DataFrame) -> DataFrame:
     def ruled(r: Column) -> Column:
         covered = S.in_window(r["hours"], r["days"], c("hour"), c("weekday"))
         limits = S.within_limits(r["max_dwell_s"], r["min_speed_px"], c("dwell_s"), c("speed_px"))
-        verdict = r["verdict"]
-        effect = (
-            F.when((verdict == "prohibited") & covered, "forbid")
-            .when((verdict == "permitted") & covered & limits, "allow")
-            .when(verdict == "permitted", "lapse")
-            .when((verdict == "restricted") & covered & ~limits, "exceed")
+        return let(F.struct(covered.alias("now"), limits.alias("inside")), lambda s: let(effect(r, s), lambda e: hit(r, s, e)))
+
+    def effect(r: Column, s: Column) -> Column:
+        return (
+            F.when((r["verdict"] == "prohibited") & s["now"], "forbid")
+            .when((r["verdict"] == "permitted") & s["now"] & s["inside"], "allow")
+            .when(r["verdict"] == "permitted", "lapse")
+            .when((r["verdict"] == "restricted") & s["now"] & ~s["inside"], "exceed")
         )
+
+    def hit(r: Column, s: Column, e: Column) -> Column:
         stated = F.nullif(r["reason"], F.lit(""))
-        lapse = S.out_of_scope(label, where, covered, r["hours"], r["max_dwell_s"], r["min_speed_px"], c("dwell_s"), c("speed_px"))
+        lapse = S.out_of_scope(label, where, s["now"], r["hours"], r["max_dwell_s"], r["min_speed_px"], c("dwell_s"), c("speed_px"))
         sentence = (
-            F.when(effect == "forbid", F.coalesce(stated, words(label, " not permitted", where)))
-            .when(effect == "allow", F.coalesce(stated, words(label, " expected", where)))
-            .otherwise(lapse)
+            F.when(e == "forbid", F.coalesce(stated, words(label, " not permitted", where)))
+            .when(e == "allow", F.coalesce(stated, words(label, " expected", where)))
+            .when(e.isNotNull(), lapse)
         )
-        risk = F.when(effect == "allow", 0.0).when(effect == "lapse", r["severity"] * 0.5).otherwise(r["severity"])
-        return F.struct(effect.alias("effect"), risk.alias("risk"), sentence.alias("reason"), r["id"].alias("id"))
+        risk = F.when(e == "allow", 0.0).when(e == "lapse", r["severity"] * 0.5).otherwise(r["severity"])
+        return F.struct(e.alias("effect"), risk.alias("risk"), sentence.alias("reason"), r["id"].alias("id"))
 
     def summed(hits: Column) -> Column:
         forbidden = F.exists(hits, lambda h: h["effect"] != "allow")
@@ -87,7 +91,7 @@ def judged(objects: DataFrame, rules: DataFrame) -> DataFrame:
     none = F.filter(F.transform(F.array(F.lit(0)), lambda _: F.struct(
         F.lit("").alias("effect"), F.lit(0.0).alias("risk"), F.lit("").alias("reason"), F.lit("").alias("id"))), lambda h: F.lit(False))
     j = objects.join(rule_lists(rules), "site_id", "left")
-    return j.withColumn("policy", let(F.coalesce(applied, none), summed)).drop("_rules")
+    return with_columns_once(j, {"policy": let(F.coalesce(applied, none), summed)}).drop("_rules")
 
 
 def judge(objects: DataFrame, zones: DataFrame, rules: DataFrame) -> DataFrame:

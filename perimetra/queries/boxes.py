@@ -38,8 +38,7 @@ def mapped_sql(src: str = "boxes", where: str = "true") -> str:
 
 
 def with_mapped(df: DataFrame) -> DataFrame:
-    m = G.map_box(h_col(), G.Box.of())
-    return df.withColumns({"mx": m.x, "my": m.y, "mw": m.w, "mh": m.h})
+    return G.with_mapped_box(df, h_col(), G.Box.of())
 
 
 @REGISTRY.add(

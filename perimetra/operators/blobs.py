@@ -37,6 +37,40 @@ def _window(mask: np.ndarray, size: int, spread: bool) -> np.ndarray:
     return np.logical_or.reduce(parts) if spread else np.logical_and.reduce(parts)
 
 
+def hull_area(xs: np.ndarray, ys: np.ndarray) -> float:
+    """Area of the convex hull of some pixel centres."""
+    pts = sorted(set(zip(xs.tolist(), ys.tolist())))
+
+    def half(seq: list) -> list:
+        out: list = []
+        for q in seq:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (q[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (q[0] - out[-2][0]):
+                out.pop()
+            out.append(q)
+        return out[:-1]
+
+    ring = half(pts) + half(pts[::-1])
+    return abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1]))) / 2.0
+
+
+def largest_outline(grey: np.ndarray) -> tuple[float, float, float, float] | None:
+    """Area, width, height and solidity of the main object of a crop, split at its own best grey level."""
+    levels = np.bincount(grey.ravel().astype(int).clip(0, 255), minlength=256).astype(float)
+    n0, s0 = levels.cumsum(), (levels * np.arange(256)).cumsum()
+    n1 = n0[-1] - n0
+    with np.errstate(all="ignore"):
+        split = np.nan_to_num(n0 * n1 * (s0 / n0 - (s0[-1] - s0) / n1) ** 2)
+    mask = grey > int(split.argmax())
+    if mask.sum() > mask.size / 2:
+        mask = ~mask
+    found = frame_blobs(mask, grey, grey)
+    if not found:
+        return None
+    b = max(found, key=lambda f: f["area"])
+    ys, xs = np.nonzero(label_mask(mask) == b["blob"])
+    return b["area"], b["w"], b["h"], b["area"] / max(hull_area(xs, ys) or b["area"], 1.0)
+
+
 def clean_mask(mask: np.ndarray) -> np.ndarray:
     """Drop specks (3x3 opening), then bridge small gaps (5x5 closing)."""
     opened = _window(_window(mask, 3, False), 3, True)
@@ -207,36 +241,49 @@ def effective_threshold(noise: Column, p: Detect = DETECT) -> Column:
     return F.greatest(F.lit(p.optical_threshold), p.noise_sigma * noise)
 
 
-def joined_fragments(boxes: list[tuple], areas: list[float], frame_w: int, frame_h: int, p: Detect = DETECT) -> list[list[int]]:
-    """Which fragments of one frame belong together, joining the first fitting pair until none is left."""
-    groups = [([i], *b) for i, b in enumerate(boxes)]
+def joined_fragments(x, y, w, h, area, frame_w: int, frame_h: int, p: Detect = DETECT) -> list[list[int]]:
+    """Which fragments of one frame belong together: always the first fitting pair in list order joins next.
 
-    def fits(a: tuple, b: tuple) -> tuple | None:
-        (ia, ax, ay, aw, ah), (ib, bx, by, bw, bh) = a, b
-        gap = max(max(ax, bx) - min(ax + aw, bx + bw), max(ay, by) - min(ay + ah, by + bh), 0)
-        if gap > max(p.optical_gap_px, p.optical_gap_frac * max(aw, ah, bw, bh)):
-            return None
-        x, y = min(ax, bx), min(ay, by)
-        w, h = max(ax + aw, bx + bw) - x, max(ay + ah, by + bh) - y
-        too_big = w * h <= 0 or w * h > p.max_box_frac * frame_w * frame_h
-        if too_big or max(w, h) / max(min(w, h), 1) > p.max_side_ratio or sum(areas[i] for i in ia + ib) / (w * h) < p.min_fill:
-            return None
-        return (ia + ib, x, y, w, h)
-
-    found = True
-    while found:
-        found = False
-        for i in range(len(groups)):
-            for j in range(i + 1, len(groups)):
-                union = fits(groups[i], groups[j])
-                if union is not None:
-                    groups[i] = union
-                    del groups[j]
-                    found = True
-                    break
-            if found:
-                break
-    return [g[0] for g in groups]
+    A join changes one group only, so only that group is compared again.
+    """
+    x0, y0 = np.asarray(x, float).copy(), np.asarray(y, float).copy()
+    x1, y1 = x0 + np.asarray(w, float), y0 + np.asarray(h, float)
+    size = np.asarray(area, float).copy()
+    alive = np.ones(len(x0), bool)
+    members = [[i] for i in range(len(x0))]
+
+    def partners(i: int) -> np.ndarray:
+        gap = np.maximum(np.maximum(x0, x0[i]) - np.minimum(x1, x1[i]), np.maximum(y0, y0[i]) - np.minimum(y1, y1[i]))
+        span = np.maximum(np.maximum(x1 - x0, y1 - y0), max(x1[i] - x0[i], y1[i] - y0[i]))
+        near = np.maximum(gap, 0) <= np.maximum(p.optical_gap_px, p.optical_gap_frac * span)
+        uw = np.maximum(x1, x1[i]) - np.minimum(x0, x0[i])
+        uh = np.maximum(y1, y1[i]) - np.minimum(y0, y0[i])
+        box = uw * uh
+        sane = (box > 0) & (box <= p.max_box_frac * frame_w * frame_h)
+        slim = np.maximum(uw, uh) / np.maximum(np.minimum(uw, uh), 1) <= p.max_side_ratio
+        full = (size + size[i]) / np.maximum(box, 1e-9) >= p.min_fill
+        ok = alive & near & sane & slim & full
+        ok[i] = False
+        return np.flatnonzero(ok)
+
+    i = 0
+    while i < len(x0):
+        if not alive[i]:
+            i += 1
+            continue
+        found = partners(i)
+        if len(found) == 0:
+            i += 1
+            continue
+        # An earlier group that now fits takes this one; otherwise the next one in line joins.
+        keep, gone = (int(found[0]), i) if found[0] < i else (i, int(found[0]))
+        x0[keep], y0[keep] = min(x0[keep], x0[gone]), min(y0[keep], y0[gone])
+        x1[keep], y1[keep] = max(x1[keep], x1[gone]), max(y1[keep], y1[gone])
+        size[keep] += size[gone]
+        members[keep] += members[gone]
+        alive[gone] = False
+        i = keep
+    return [m for m, a in zip(members, alive) if a]
 
 
 def merged_fragments(dets: DataFrame, frame_w: int, frame_h: int, p: Detect = DETECT) -> DataFrame:
@@ -250,7 +297,7 @@ def merged_fragments(dets: DataFrame, frame_w: int, frame_h: int, p: Detect = DE
 
     @F.pandas_udf("array<array<int>>")
     def parts(x: pd.Series, y: pd.Series, w: pd.Series, h: pd.Series, area: pd.Series) -> pd.Series:
-        return pd.Series([joined_fragments(list(zip(*r[:4])), list(r[4]), frame_w, frame_h, p) for r in zip(x, y, w, h, area)])
+        return pd.Series([joined_fragments(*r, frame_w, frame_h, p) for r in zip(x, y, w, h, area)])
 
     lone = F.size("_d") == 1
     cols = [F.col(f"_d.{c}") for c in ("x", "y", "w", "h", "area")]

@@ -5,12 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from perimetra.functions.geometry import map_x, map_y
 from perimetra.operators.matching import greedy_pairs
 from perimetra.params import SCORING, SENSOR, Scoring, Sensor
 
 FRAME = ["site_id", "frame_idx"]
 
 
+def projected(targets: DataFrame, maps: DataFrame) -> DataFrame:
+    """World positions ``(site_id, .., x, y)`` to thermal pixels through each site's map ``h``."""
+    j = targets.withColumnsRenamed({"x": "_wx", "y": "_wy"}).join(maps.select("site_id", "h"), "site_id")
+    h, x, y = F.col("h"), F.col("_wx"), F.col("_wy")
+    return j.withColumns({"x": map_x(h, x, y), "y": map_y(h, x, y)}).drop("h", "_wx", "_wy")
+
+
 def visible(truth: DataFrame, s: Sensor = SENSOR) -> DataFrame:
     """Targets inside the thermal frame."""
     return truth.filter((F.col("x") >= 0) & (F.col("x") < s.cols) & (F.col("y") >= 0) & (F.col("y") < s.rows))

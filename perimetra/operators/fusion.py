@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from perimetra.functions import geometry as G
 from perimetra.functions import threat as T
 from perimetra.functions.arrays import let, mean_of, median_of
+from perimetra.operators.blobs import largest_outline
 from perimetra.operators.matching import greedy_pairs
-from perimetra.params import FUSION, Fusion
+from perimetra.params import FRAME_LIMIT, FUSION, Fusion
 
 FRAME = ["site_id", "frame_idx"]
 
@@ -44,20 +47,24 @@ def optical_only(optical: DataFrame, pairs: DataFrame) -> DataFrame:
     return optical.join(pairs.select(*FRAME, F.col("optical_id").alias("det_id")), [*FRAME, "det_id"], "left_anti")
 
 
+TILE = 64
+
+
+def tiled(df: DataFrame, x: str, y: str, w: str, h: str, pad: float = 0) -> DataFrame:
+    """One row per tile a box (grown by ``pad``) lies on, so boxes meet on equal keys."""
+
+    def tiles(v: Column, size: Column) -> Column:
+        return F.sequence(F.floor((v - pad) / F.lit(TILE)).cast("int"), F.floor((v + size + pad) / F.lit(TILE)).cast("int"))
+
+    return df.withColumn("_tx", F.explode(tiles(F.col(x), F.col(w)))).withColumn("_ty", F.explode(tiles(F.col(y), F.col(h))))
+
+
 def best_names(boxes: DataFrame, names: DataFrame, p: Fusion = FUSION) -> DataFrame:
     """The recognised name that covers each box best, if any covers enough of it.
 
     ``boxes(site_id, frame_idx, det_id, x, y, w, h)`` and ``names(..., label, confidence, nx,
     ny, nw, nh)`` are in optical pixels. Both sides meet on the 64-pixel tiles they cover.
     """
-    tile = 64
-
-    def tiles(v: Column, size: Column) -> Column:
-        return F.sequence(F.floor(v / F.lit(tile)).cast("int"), F.floor((v + size) / F.lit(tile)).cast("int"))
-
-    def tiled(df: DataFrame, x: str, y: str, w: str, h: str) -> DataFrame:
-        return df.withColumn("_tx", F.explode(tiles(F.col(x), F.col(w)))).withColumn("_ty", F.explode(tiles(F.col(y), F.col(h))))
-
     real = boxes.filter((F.col("w") > 0) & (F.col("h") > 0))
     met = tiled(real, "x", "y", "w", "h").join(tiled(names, "nx", "ny", "nw", "nh"), [*FRAME, "_tx", "_ty"])
     share = G.cover(G.Box.of(), G.Box(F.col("nx"), F.col("ny"), F.col("nw"), F.col("nh")))
@@ -75,9 +82,9 @@ def unclaimed(regions: DataFrame, boxes: DataFrame, pad: float) -> DataFrame:
     Regions ``(.., key, x, y, w, h)`` and ``boxes(.., bx, by, bw, bh)`` share pixels.
     """
     a, b = G.Box.of(), G.Box(F.col("bx"), F.col("by"), F.col("bw"), F.col("bh"))
-    touched = (
-        regions.join(boxes.select(*FRAME, "bx", "by", "bw", "bh").distinct(), FRAME).filter(G.touches(a, b, pad)).select(*FRAME, "key").distinct()
-    )
+    live = tiled(boxes.select(*FRAME, "bx", "by", "bw", "bh"), "bx", "by", "bw", "bh")
+    wide = tiled(regions.select(*FRAME, "key", "x", "y", "w", "h"), "x", "y", "w", "h", pad)
+    touched = wide.join(live, [*FRAME, "_tx", "_ty"]).filter(G.touches(a, b, pad)).select(*FRAME, "key").distinct()
     return regions.join(touched, [*FRAME, "key"], "left_anti")
 
 
@@ -88,12 +95,19 @@ def crop(values: Column, cols: int, x0: Column, y0: Column, x1: Column, y1: Colu
     return F.flatten(F.transform(lines, lambda y: F.slice(values, y * cols + start + 1, length)))
 
 
+def bundled(boxes: DataFrame, limit: int = FRAME_LIMIT) -> DataFrame:
+    """Boxes of a frame as lists of about ``limit`` at most: a crowded frame makes several."""
+    sizes = boxes.groupBy(*FRAME).agg(F.ceil(F.count(F.lit(1)) / F.lit(limit)).cast("int").alias("_cuts"))
+    cut = boxes.join(sizes, FRAME).withColumn("_cut", F.pmod(F.xxhash64("det_id"), F.col("_cuts")))
+    return cut.groupBy(*FRAME, "_cut").agg(F.collect_list(F.struct("det_id", "x", "y", "w", "h")).alias("_boxes")).drop("_cut")
+
+
 def heat_checks(boxes: DataFrame, frames: DataFrame, rows: int, cols: int, p: Fusion = FUSION) -> DataFrame:
     """Is each box ``(site_id, frame_idx, det_id, x, y, w, h)``, in thermal pixels, warm against its ring?
 
     Boxes of a frame ride with the frame's single pixel row; ``frames`` holds ``celsius`` arrays.
     """
-    held = boxes.groupBy(*FRAME).agg(F.collect_list(F.struct("det_id", "x", "y", "w", "h")).alias("_boxes"))
+    held = bundled(boxes.select(*FRAME, "det_id", "x", "y", "w", "h"))
     pixels = F.col("celsius")
 
     def check(b: Column) -> Column:
@@ -115,6 +129,48 @@ def heat_checks(boxes: DataFrame, frames: DataFrame, rows: int, cols: int, p: Fu
     )
 
 
+def shape_checks(boxes: DataFrame, frames: DataFrame, rows: int, cols: int, p: Fusion = FUSION) -> DataFrame:
+    """What does each box ``(site_id, frame_idx, det_id, x, y, w, h)``, in optical pixels, look like?
+
+    ``frames`` holds grey levels as arrays. Each crop is split at its own best level; the
+    outline of its main object decides.
+    """
+    held = bundled(boxes.select(*FRAME, "det_id", "x", "y", "w", "h"))
+
+    def cut(b: Column) -> Column:
+        area = G.clipped_box(G.Box(b["x"], b["y"], b["w"], b["h"]), cols, rows, p.crop_margin_px)
+        return let(
+            area,
+            lambda a: F.struct(
+                b["det_id"].alias("det_id"),
+                (a["x1"] - a["x0"]).cast("int").alias("width"),
+                F.when(a.isNotNull(), crop(F.col("grey"), cols, a["x0"], a["y0"], a["x1"], a["y1"])).alias("grey"),
+            ),
+        )
+
+    @F.pandas_udf("struct<area: double, w: double, h: double, solidity: double>")
+    def outline(grey: pd.Series, width: pd.Series) -> pd.DataFrame:
+        out = []
+        for g, w in zip(grey, width):
+            found = None if g is None else largest_outline(np.asarray(g, float).reshape(-1, int(w)))
+            out.append(found or (None, None, None, None))
+        return pd.DataFrame(out, columns=["area", "w", "h", "solidity"], dtype=float)
+
+    crops = held.join(frames.select(*FRAME, "grey"), FRAME).select(*FRAME, F.explode(F.transform("_boxes", cut)).alias("c")).select(*FRAME, "c.*")
+    seen = crops.withColumn("_o", outline("grey", "width"))
+    c = F.col
+    aspect = c("_o.w") / F.greatest(c("_o.h"), F.lit(1.0))
+    verdict = T.shape_verdict(c("_o.area"), aspect, c("_o.solidity"), p)
+    inside = c("grey").isNotNull()
+    lost = F.when(~inside, "thermal detection maps outside the optical frame").otherwise("nothing segmented in the crop")
+    found = c("_o.area").isNotNull()
+    return seen.select(
+        *FRAME, "det_id", found.alias("o_found"), c("_o.area").alias("o_pixels"), aspect.alias("o_aspect"), c("_o.solidity").alias("o_solidity"),
+        F.when(found, verdict["label"]).otherwise("unknown").alias("o_label"), F.when(found, verdict["confidence"]).otherwise(0.0).alias("o_confidence"),
+        F.when(found, verdict["reason"]).otherwise(lost).alias("o_reason"),
+    )
+
+
 def otsu(levels: DataFrame, keys: list[str]) -> DataFrame:
     """Grey level that best splits each key's histogram, and which side is the minority.
 

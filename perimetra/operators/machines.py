@@ -118,6 +118,34 @@ class Numbers(Machine):
         return {"key": list(c["key"]), "start_frame": c["start_frame"], "number": out}
 
 
+class NumberBoard(Machine):
+    """Live numbers of one site: lowest free on first sight, given back after a long absence."""
+
+    def __init__(self, p: Alerting = ALERTING):
+        self.p = p
+        self.number: dict[str, int] = {}
+        self.seen: dict[str, int] = {}
+
+    def feed(self, c: dict) -> dict:
+        out, frame = [], None
+        for key, f, t in zip(c["object_key"], c["frame_idx"].tolist(), c["t_us"].tolist()):
+            if frame is not None and f != frame:
+                self._prune(now)
+            frame, now = f, t
+            self.seen[key] = t
+            if key not in self.number:
+                taken = set(self.number.values())
+                self.number[key] = next(n for n in range(1, len(taken) + 2) if n not in taken)
+            out.append(self.number[key])
+        if frame is not None:
+            self._prune(now)
+        return {"object_key": list(c["object_key"]), "frame_idx": c["frame_idx"], "number": np.asarray(out, np.int64)}
+
+    def _prune(self, now: int) -> None:
+        for key in [k for k, t in self.seen.items() if now - t > self.p.forget_number_s * 1e6]:
+            del self.seen[key], self.number[key]
+
+
 class Admission(Machine):
     """Which requests may go out: one per key per cooldown, and never two close together."""
 

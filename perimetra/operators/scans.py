@@ -259,7 +259,9 @@ def keyed_scan(
     holds one state and one Arrow batch at a time, however many rows a key has.
     """
     keys = list(keys)
-    placed = rows.repartition(*keys).sortWithinPartitions(*keys, *order)
+    # A fixed count keeps small inputs from being merged into few tasks: the work is in Python, not in bytes.
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = rows.repartition(tasks, *keys).sortWithinPartitions(*keys, *order)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = None, None

@@ -440,3 +440,67 @@ def display_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+
+
+@REGISTRY.add(
+    "detection_details",
+    "WITH " + assessments_sql() + """
+SELECT d.site_id, d.frame_idx, d.track_id, round(t.confidence, 6) AS confidence, round(a.threat, 6) AS threat, i.label AS said
+FROM assessments d
+LEFT JOIN (SELECT * FROM assessments WHERE kind <> 'static') t USING (site_id, frame_idx, track_id)
+LEFT JOIN (SELECT * FROM assessments WHERE kind = 'track') a USING (site_id, frame_idx, track_id)
+LEFT JOIN (SELECT site_id, key, arg_max(label, frame_idx) AS label FROM assessments WHERE threat >= 0.9 GROUP BY ALL) i ON i.site_id = d.site_id AND i.key = d.key""",
+)
+def detection_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = assessments(spark, sf_dir)
+    dets = a.select("site_id", "frame_idx", "track_id", "key")
+    known = a.filter(F.col("kind") != "static").select("site_id", "frame_idx", "track_id", "confidence")
+    judged = a.filter(F.col("kind") == "track").select("site_id", "frame_idx", "track_id", "threat")
+    said = assess.current_state(a.filter(F.col("threat") >= 0.9), ["site_id", "key"], "frame_idx", ["label"])
+    d = assess.annotated(assess.with_details(dets, known, judged), said.withColumnRenamed("label", "said"))
+    return d.select("site_id", "frame_idx", "track_id", *r6("confidence", "threat"), "said")
+
+
+@REGISTRY.add(
+    "drawn_names",
+    "WITH " + assessments_sql() + """
+, r AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY confidence DESC, key, frame_idx)::INTEGER AS rank FROM assessments)
+SELECT site_id, rank, key, frame_idx, round(confidence, 6) AS confidence FROM r WHERE rank <= 12""",
+)
+def drawn_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = assessments(spark, sf_dir)
+    top = assess.top_per(a, ["site_id"], [F.desc("confidence"), F.col("key"), F.col("frame_idx")], 12)
+    return top.select("site_id", "rank", "key", "frame_idx", *r6("confidence"))
+
+
+@REGISTRY.add("request_payloads")
+def request_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from perimetra.operators import tracks
+    from perimetra.sources.adapters import track_obs
+
+    obs = track_obs(spark, sf_dir)
+    t = tracks.classified(tracks.kinematics(obs, span=chunk_span(obs)))
+    c = F.col
+    t = t.withColumns(
+        {
+            "x": c("cx") - 2, "y": c("cy") - 2, "w": F.lit(4.0), "h": F.lit(4.0), "solidity": c("extent"),
+            "threat": T.identity_risk(c("label"), c("confidence")), "dwell_s": F.lit(0.0),
+        }
+    )
+    return t.select("site_id", "track_id", "frame_idx", replies.track_request().alias("payload"), replies.measurements().alias("text"))
+
+
+@REGISTRY.add(
+    "learning_sessions",
+    "WITH " + assessments_sql() + """
+, m AS (SELECT site_id, frame_idx, t_us, CASE WHEN frame_idx % 3 = 0 THEN 'stop_learning' ELSE 'start_learning' END AS action FROM assessments WHERE threat > 0.8
+), l AS (SELECT *, lead(t_us) OVER (PARTITION BY site_id ORDER BY frame_idx) AS ended_us FROM m)
+SELECT site_id, t_us AS started_us, ended_us, coalesce((ended_us - t_us) / 1000000.0 >= 7200, false) AS done FROM l WHERE action = 'start_learning'""",
+)
+def learning_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = assessments(spark, sf_dir).filter(F.col("threat") > 0.8)
+    acts = a.select(
+        "site_id", "frame_idx", "t_us", F.when(F.col("frame_idx") % 3 == 0, "stop_learning").otherwise("start_learning").alias("action"),
+        F.lit(7200.0).alias("seconds"), F.lit(True).alias("reset"),
+    )
+    return site.learning_sessions(acts, chunk_span(a)).select("site_id", "started_us", "ended_us", "done")

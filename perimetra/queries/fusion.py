@@ -372,3 +372,34 @@ SELECT site_id, frame_idx, det_id, row_number() OVER (PARTITION BY site_id, fram
 )
 def ranked_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blobs.by_area(boxes(spark, sf_dir)).select(*IDS, "rank")
+
+
+@REGISTRY.add("shape_from_pixels")
+def shape_from_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from perimetra.params import Fusion
+
+    b, frames = patches(spark, sf_dir)
+    c = F.col
+    # Only novel or unnamed objects with some history are worth the look.
+    b = b.withColumns(
+        {"site_risk": c("discount") * 3.2, "label": F.lit("bird"), "confidence": F.lit(0.5), "hits": (c("det_id") % 100).cast("int")}
+    )
+    b = fusion.worth_a_look(b).select("site_id", "frame_idx", "det_id", "x", "y", "w", "h").distinct()
+    grey = F.transform("celsius", lambda v: F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.floor((v - 15.0) * 25.0))))
+    p = Fusion(crop_margin_px=2, min_shape_px=2.0, good_shape_px=8.0)
+    return fusion.shape_checks(b, frames.select("site_id", "frame_idx", grey.alias("grey")), 8, 8, p)
+
+
+@REGISTRY.add(
+    "cross_counters",
+    SENSORS_SQL + MATCH_SQL + """
+, met AS (SELECT frame_idx, count(*) AS n FROM pairs GROUP BY 1
+), warm AS (SELECT frame_idx, count(*) AS n FROM opt WHERE discount > 0.05 GROUP BY 1)
+SELECT o.site_id, o.frame_idx, count(*) AS optical_candidates, coalesce(max(m.n), 0) AS paired_with_thermal, coalesce(max(w.n), 0) AS optical_only_confirmed_warm,
+       count(*) - coalesce(max(m.n), 0) AS optical_only
+FROM opt o LEFT JOIN met m ON m.frame_idx = o.frame_idx LEFT JOIN warm w ON w.frame_idx = o.frame_idx GROUP BY o.site_id, o.frame_idx""",
+)
+def cross_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = optical(spark, sf_dir)
+    pairs = fusion.associate(thermal(spark, sf_dir), o)
+    return fusion.frame_counters(o, pairs, o.select("site_id", "frame_idx", (F.col("discount") > 0.05).alias("warm")))

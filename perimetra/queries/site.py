@@ -551,3 +551,31 @@ def accept_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("site_id", F.posexplode(F.arrays_zip("ref_mean", "ref_var")).alias("p", "m")).select(
         "site_id", F.col("p").cast("long").alias("pos"), F.round("m.ref_mean", 6).alias("ref_mean"), F.round("m.ref_var", 6).alias("ref_var")
     )
+
+
+@REGISTRY.add(
+    "optical_box_novelty",
+    "WITH RECURSIVE " + CELLS_SQL + OPTICAL_SQL + """
+, box AS (SELECT l_partkey * 100 + l_linenumber AS box_id, l_orderkey % 500 AS frame_idx, l_partkey % 200 AS x, l_suppkey % 200 AS y, 10 + l_linenumber * 9 AS w, 40 AS h,
+          row_number() OVER (PARTITION BY l_partkey * 100 + l_linenumber, l_orderkey % 500 ORDER BY l_orderkey) AS r FROM lineitem
+), seen AS (
+  SELECT w.site_id, b.frame_idx, b.box_id, max(w.z) AS peak_z, count(*) FILTER (p >= 1) AS settled
+  FROM (SELECT DISTINCT box_id, frame_idx, x, y, w, h FROM box) b JOIN walk w ON w.frame_idx = b.frame_idx AND w.i > 0
+    AND w.pos // 8 BETWEEN b.y // 32 AND least(8, (b.y + b.h) // 32 + 1) - 1 AND w.pos % 8 BETWEEN b.x // 32 AND least(8, (b.x + b.w) // 32 + 1) - 1
+  GROUP BY ALL
+)
+SELECT site_id, frame_idx, box_id, round(peak_z, 4) AS peak_z,
+  round(CASE WHEN settled > 0 THEN greatest(0.75, least(1, (peak_z - 2.0) / 2.0)) ELSE greatest(0, least(1, (peak_z - 2.0) / 2.0)) END, 4)::DOUBLE AS novelty
+FROM seen""",
+)
+def optical_box_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from perimetra.sources.adapters import table
+
+    c = F.col
+    b = table(spark, sf_dir, "lineitem").select(
+        (c("l_partkey") * 100 + c("l_linenumber")).alias("box_id"), (c("l_orderkey") % 500).alias("frame_idx"), (c("l_partkey") % 200).alias("x"),
+        (c("l_suppkey") % 200).alias("y"), (10 + c("l_linenumber") * 9).alias("w"), F.lit(40).alias("h"),
+    ).distinct()
+    sites = cell_frames(spark, sf_dir).select("site_id", "frame_idx")
+    n = site.optical_box_novelty(b.join(sites, "frame_idx"), small_optical(spark, sf_dir), SMALL_OPTICAL)
+    return n.select("site_id", "frame_idx", "box_id", F.round("peak_z", 4).alias("peak_z"), F.round("optical_novelty", 4).alias("novelty"))

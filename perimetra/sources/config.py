@@ -112,7 +112,8 @@ def read_homographies(spark: SparkSession, path: str) -> DataFrame:
 def write_homographies(maps: DataFrame, path: str) -> None:
     """Append maps as JSON lines partitioned by site."""
     rows = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.slice("h", i * 3 + 1, 3))
-    maps.withColumn("H", rows).drop("h").write.mode("overwrite").partitionBy("site_id").json(path)
+    others = [c for c in maps.columns if c != "h"]
+    maps.select(*others, rows.alias("H")).write.mode("overwrite").partitionBy("site_id").json(path)
 
 
 def class_names(spark: SparkSession, path: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from perimetra.operators.machines import Admission, AlertLife, Dwell, HeldNames, Machine, Tracker
+from perimetra.operators.machines import Admission, AlertLife, Dwell, HeldNames, Machine, NumberBoard, Tracker
 from perimetra.params import ALERTING, ESCALATE, FUSION, TRACKING, Alerting, Escalate, Fusion, Tracking
 
 WATERMARK = "10 seconds"
@@ -153,6 +153,14 @@ def admitted(candidates: DataFrame, p: Escalate = ESCALATE, event_time: str = "t
     return _run(source, keys, schema, proc, event_time)
 
 
+def object_numbers(assessed: DataFrame, p: Alerting = ALERTING, event_time: str = "ts") -> DataFrame:
+    """Number of every object in every frame; a frame of a site arrives in one batch."""
+    schema = "site_id long, object_key string, frame_idx long, number long"
+    source = assessed.withColumnRenamed("key", "object_key")
+    proc = MachineStream(["site_id"], ["frame_idx", "object_key"], lambda: NumberBoard(p), _names(schema), "t_us", p.forget_number_s)
+    return _run(source, ["site_id"], schema, proc, event_time)
+
+
 def held_names(passes: DataFrame, p: Fusion = FUSION, event_time: str = "ts") -> DataFrame:
     """Names in force after each pass; ``found`` is the pass's list of recognitions."""
     schema = (

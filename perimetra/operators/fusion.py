@@ -12,7 +12,7 @@ from perimetra.functions import threat as T
 from perimetra.functions.arrays import let, mean_of, median_of
 from perimetra.operators.blobs import largest_outline
 from perimetra.operators.matching import greedy_pairs
-from perimetra.params import FRAME_LIMIT, FUSION, Fusion
+from perimetra.params import BUNDLE, FUSION, Fusion
 
 FRAME = ["site_id", "frame_idx"]
 
@@ -95,7 +95,7 @@ def crop(values: Column, cols: int, x0: Column, y0: Column, x1: Column, y1: Colu
     return F.flatten(F.transform(lines, lambda y: F.slice(values, y * cols + start + 1, length)))
 
 
-def bundled(boxes: DataFrame, limit: int = FRAME_LIMIT) -> DataFrame:
+def bundled(boxes: DataFrame, limit: int = BUNDLE) -> DataFrame:
     """Boxes of a frame as lists of about ``limit`` at most: a crowded frame makes several."""
     sizes = boxes.groupBy(*FRAME).agg(F.ceil(F.count(F.lit(1)) / F.lit(limit)).cast("int").alias("_cuts"))
     cut = boxes.join(sizes, FRAME).withColumn("_cut", F.pmod(F.xxhash64("det_id"), F.col("_cuts")))

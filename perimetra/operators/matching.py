@@ -1,8 +1,9 @@
 """One-to-one matching and grouping of boxes inside a frame.
 
-A frame normally holds few objects and is resolved in one row. Frames above
-``FRAME_LIMIT`` (found by a count first) are resolved by rounds of joins instead, so no
-frame has to fit one task and no object is left out.
+A frame normally holds few objects and is matched inside one row. Busier frames (found by
+a count first) are matched by a sorted scan of their candidate pairs, and groups larger
+than any real frame by rounds of joins, so no group has to fit one task and no object is
+left out.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ from pyspark.sql import functions as F
 
 from perimetra.functions.arrays import let
 from perimetra.functions.geometry import distance
-from perimetra.params import FRAME_LIMIT
+from perimetra.operators.scans import keyed_scan
+from perimetra.params import FRAME_FAST, FRAME_LIMIT
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -44,8 +46,9 @@ def greedy_pairs(
     left: DataFrame,
     right: DataFrame,
     keys: Sequence[str] = ("site_id", "frame_idx"),
-    limit: int = FRAME_LIMIT,
     closest_first: bool = False,
+    fast: int = FRAME_FAST,
+    limit: int = FRAME_LIMIT,
 ) -> DataFrame:
     """Match ``left(keys, l_id, l_ord, lx, ly, radius)`` to ``right(keys, r_id, r_ord, rx, ry)``.
 
@@ -54,12 +57,17 @@ def greedy_pairs(
     inclusive). Returns ``keys, l_id, r_id, distance``.
     """
     keys = list(keys)
-    big = oversized([left, right], keys, limit)
-    if big is None:
+    busy = oversized([left, right], keys, fast)
+    if busy is None:
         return _in_one_row(left, right, keys, closest_first)
-    small = _in_one_row(left.join(big, keys, "left_anti"), right.join(big, keys, "left_anti"), keys, closest_first)
-    rounds = _in_rounds(left.join(big, keys, "left_semi"), right.join(big, keys, "left_semi"), keys, closest_first)
-    return small.unionByName(rounds)
+    small = _in_one_row(left.join(busy, keys, "left_anti"), right.join(busy, keys, "left_anti"), keys, closest_first)
+    left, right = left.join(busy, keys, "left_semi"), right.join(busy, keys, "left_semi")
+    huge = oversized([left, right], keys, limit)
+    if huge is None:
+        return small.unionByName(_by_scan(left, right, keys, closest_first))
+    some = _by_scan(left.join(huge, keys, "left_anti"), right.join(huge, keys, "left_anti"), keys, closest_first)
+    rest = _in_rounds(left.join(huge, keys, "left_semi"), right.join(huge, keys, "left_semi"), keys, closest_first)
+    return small.unionByName(some).unionByName(rest)
 
 
 def _in_one_row(left: DataFrame, right: DataFrame, keys: list[str], closest_first: bool) -> DataFrame:
@@ -106,8 +114,8 @@ def _in_one_row(left: DataFrame, right: DataFrame, keys: list[str], closest_firs
     return frames.select(*keys, F.explode(pairs).alias("_p")).select(*keys, "_p.*")
 
 
-def _in_rounds(left: DataFrame, right: DataFrame, keys: list[str], closest_first: bool, cell: float = 64.0) -> DataFrame:
-    """The same matching by joins: each round fixes every pair neither side can better."""
+def _candidates(left: DataFrame, right: DataFrame, keys: list[str], closest_first: bool, cell: float = 64.0) -> DataFrame:
+    """Pairs within reach, met on the grid cells the left object's reach covers."""
 
     def at(v: Column) -> Column:
         return F.floor(v / F.lit(cell)).cast("int")
@@ -118,9 +126,43 @@ def _in_rounds(left: DataFrame, right: DataFrame, keys: list[str], closest_first
     offers = right.withColumns({"_cx": at(F.col("rx")), "_cy": at(F.col("ry"))})
     d = distance(F.col("lx"), F.col("ly"), F.col("rx"), F.col("ry"))
     within = F.col("d") <= F.col("radius") if closest_first else F.col("d") < F.col("radius")
-    live = settled(
-        asks.join(offers, [*keys, "_cx", "_cy"]).withColumn("d", d).filter(within).select(*keys, "l_id", "l_ord", "r_id", "r_ord", "d")
-    )
+    met = asks.join(offers, [*keys, "_cx", "_cy"]).withColumn("d", d).filter(within)
+    return met.select(*keys, "l_id", "l_ord", "r_id", "r_ord", "d")
+
+
+class _FirstCome:
+    """Takes candidate pairs of one frame in order of preference; holds the ids already matched."""
+
+    def __init__(self) -> None:
+        self.left: set = set()
+        self.right: set = set()
+
+    def feed(self, c: dict) -> dict:
+        kept = []
+        for i, (l, r) in enumerate(zip(c["l_id"].tolist(), c["r_id"].tolist())):
+            if l not in self.left and r not in self.right:
+                self.left.add(l)
+                self.right.add(r)
+                kept.append(i)
+        return {"l_id": c["l_id"][kept], "r_id": c["r_id"][kept], "distance": c["d"][kept]}
+
+    def close(self) -> None:
+        return None
+
+
+def _by_scan(left: DataFrame, right: DataFrame, keys: list[str], closest_first: bool) -> DataFrame:
+    """Frames of bounded size: their candidate pairs stream through a task in order."""
+    pairs = _candidates(left, right, keys, closest_first)
+    types = dict(pairs.dtypes)
+    schema = ", ".join([*[f"{k} {types[k]}" for k in keys], f"l_id {types['l_id']}", f"r_id {types['r_id']}", "distance double"])
+    order = ["d", "l_ord", "r_ord"] if closest_first else ["l_ord", "d", "r_ord"]
+    ranked = pairs.select(*keys, "l_id", "r_id", "d", F.struct(*order).alias("_rank"))
+    return keyed_scan(ranked, keys, ["_rank"], _FirstCome, schema, drop=["_rank"])
+
+
+def _in_rounds(left: DataFrame, right: DataFrame, keys: list[str], closest_first: bool) -> DataFrame:
+    """The same matching by joins: each round fixes every pair neither side can better."""
+    live = settled(_candidates(left, right, keys, closest_first))
     l_key, r_key = [*keys, "l_id"], [*keys, "r_id"]
     l_rank = F.struct("d", "l_ord", "r_ord") if closest_first else F.struct("d", "r_ord")
     r_rank = F.struct("d", "l_ord", "r_ord") if closest_first else F.struct("l_ord")
@@ -164,19 +206,18 @@ def _group_in_one_row(boxes: DataFrame, gap: int, keys: list[str]) -> DataFrame:
 
 def _leader(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray, gap: float) -> list[int]:
     """Index of the first box of each box's chain."""
-    n = len(x)
-    label = np.arange(n)
-    near = (
-        (x[None, :] - (x + w)[:, None] <= gap)
-        & (x[:, None] - (x + w)[None, :] <= gap)
-        & (y[None, :] - (y + h)[:, None] <= gap)
-        & (y[:, None] - (y + h)[None, :] <= gap)
-    )
-    while True:
-        spread = np.where(near, label[None, :], n).min(1)
-        if (spread == label).all():
-            return label.tolist()
-        label = spread
+    x1, y1 = x + w + gap, y + h + gap
+    label = np.full(len(x), -1)
+    for first in range(len(x)):
+        if label[first] >= 0:
+            continue
+        label[first], reach = first, [first]
+        while reach:
+            i = reach.pop()
+            near = np.flatnonzero((label < 0) & (x <= x1[i]) & (x[i] <= x1) & (y <= y1[i]) & (y[i] <= y1))
+            label[near] = first
+            reach.extend(near.tolist())
+    return label.tolist()
 
 
 def _group_in_rounds(boxes: DataFrame, gap: int, keys: list[str]) -> DataFrame:

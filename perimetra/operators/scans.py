@@ -251,6 +251,7 @@ def keyed_scan(
     order: Sequence[str],
     factory: StepFactory,
     schema: str,
+    drop: Sequence[str] = (),
 ) -> DataFrame:
     """Run a sequential state machine per key, streaming through sorted partitions.
 
@@ -261,7 +262,7 @@ def keyed_scan(
     keys = list(keys)
     # A fixed count keeps small inputs from being merged into few tasks: the work is in Python, not in bytes.
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = rows.repartition(tasks, *keys).sortWithinPartitions(*keys, *order)
+    placed = rows.repartition(tasks, *keys).sortWithinPartitions(*keys, *order).drop(*drop)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = None, None

@@ -44,11 +44,11 @@ def closest(left, right):
     return out
 
 
-@pytest.mark.parametrize("limit", [4096, 3])
+@pytest.mark.parametrize(("fast", "limit"), [(64, 4096), (3, 4096), (3, 4)])
 @pytest.mark.parametrize("nearest_first", [False, True])
-def test_matching(spark, limit, nearest_first):
+def test_matching(spark, fast, limit, nearest_first):
     left, right = points(7)
-    got = greedy_pairs(spark.createDataFrame(left, L), spark.createDataFrame(right, R), limit=limit, closest_first=nearest_first)
+    got = greedy_pairs(spark.createDataFrame(left, L), spark.createDataFrame(right, R), fast=fast, limit=limit, closest_first=nearest_first)
     assert {(r.frame_idx, r.l_id, r.r_id) for r in got.collect()} == (closest if nearest_first else in_turn)(left, right)
 
 

@@ -7,7 +7,7 @@ tasks; rows that cannot change the answer are aggregated away first.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from perimetra.functions.geometry import distance
@@ -44,18 +44,29 @@ def _first_frame_after(rows: DataFrame, clock: DataFrame, deadline: str, span_us
     return asof(asks, marks, ["site_id"], "_back", "_next", span_us).drop("_back")
 
 
-def with_absences(rows: DataFrame, clock: DataFrame, gap_us: int, span: int | None = CHUNK_FRAMES, span_us: int | None = DAY_US) -> DataFrame:
+def with_absences(
+    rows: DataFrame,
+    clock: DataFrame,
+    gap_us: int,
+    span: int | None = CHUNK_FRAMES,
+    span_us: int | None = DAY_US,
+    sighting: Column | None = None,
+    order: tuple[str, ...] = ("frame_idx",),
+) -> DataFrame:
     """Add ``away_frame, away_us``: the clock frame that found the key gone ``gap_us`` before this row.
 
-    A closing row with NULL threat follows each key's last one, so the final absence shows too.
-    Only rows after a long enough silence look the clock up.
+    A row with nothing but its key follows each key's last one, so the final absence shows
+    too. Only rows after a long enough silence look the clock up. ``sighting`` says which rows
+    show the object; others (an operator's action) only get the absence before them.
     """
     end = clock.groupBy("site_id").agg((F.max("frame_idx") + 1).alias("frame_idx"), (F.max("t_us") + 1).alias("t_us"))
-    ends = rows.select("site_id", "key").distinct().join(end, "site_id")
+    ends = rows.select("site_id", "key").distinct().join(end, "site_id").withColumns({c: F.lit(0) for c in order if c != "frame_idx"})
     every = rows.unionByName(ends, allowMissingColumns=True)
-    ch = chunked(every, ["site_id", "key"], ["frame_idx"], depth=1, span=span)
-    marked = ch.with_columns({"_prev_us": F.lag("t_us").over(ch.part)}).finish()
-    marked = marked.withColumn("_due", F.col("_prev_us") + gap_us)
+    seen = F.col("t_us") if sighting is None else F.when(sighting, F.col("t_us"))
+    ch = chunked(every, ["site_id", "key"], list(order), carry={"_seen": ("max", seen)}, span=span)
+    before = F.max(seen).over(ch.part.rowsBetween(Window.unboundedPreceding, -1))
+    last = before if ch.whole else F.greatest(F.col("_seen"), before)
+    marked = ch.with_columns({"_due": last + gap_us}).finish("_seen")
     quiet = F.coalesce(F.col("t_us") > F.col("_due"), F.lit(False))
     found = _first_frame_after(marked.filter(quiet), clock, "_due", span_us)
     hit = F.col("_next.c_frame") < F.col("frame_idx")
@@ -63,7 +74,7 @@ def with_absences(rows: DataFrame, clock: DataFrame, gap_us: int, span: int | No
         *marked.columns, F.when(hit, F.col("_next.c_frame")).alias("away_frame"), F.when(hit, F.col("_next.c_us")).alias("away_us")
     )
     rest = marked.filter(~quiet).withColumns({"away_frame": F.lit(None).cast("long"), "away_us": F.lit(None).cast("long")})
-    return rest.unionByName(late).drop("_prev_us", "_due")
+    return rest.unionByName(late).drop("_due")
 
 
 ALERT_COLS = (
@@ -81,16 +92,19 @@ def alert_intervals(
     afresh where it comes back below the line after an absence.
     """
     keep = [c for c in ("site_id", "key", "frame_idx", "t_us", "threat", "label", "dwell_s", "action") if c in assessed.columns]
-    rows = with_absences(assessed.select(*keep), clock, int(p.close_after_s * 1e6), span, span_us).withColumn(
-        "closed_us", F.col("away_us").cast("double")
-    )
+    # An operator's action comes after the verdict of its frame.
+    acts = F.col("action").isNotNull().cast("int") if "action" in keep else F.lit(0)
+    order = ["frame_idx", "_act"]
+    rows = assessed.select(*keep).withColumn("_act", acts)
+    rows = with_absences(rows, clock, int(p.close_after_s * 1e6), span, span_us, F.col("threat").isNotNull(), tuple(order))
+    rows = rows.withColumn("closed_us", F.col("away_us").cast("double"))
     # The closing record belongs to the part before the cut, so the cut falls one row later.
     fresh = F.col("away_us").isNotNull() & F.coalesce(F.col("threat") < p.threshold, F.lit(False))
-    ch = chunked(rows.withColumn("_fresh", fresh), ["site_id", "key"], ["frame_idx"], depth=1, span=span)
+    ch = chunked(rows.withColumn("_fresh", fresh), ["site_id", "key"], order, depth=1, span=span)
     rows = ch.with_columns({"_cut": F.coalesce(F.lag("_fresh").over(ch.part), F.lit(False))}).finish("_fresh")
-    rows = cut_where(rows, ["site_id", "key"], ["frame_idx"], F.col("_cut"), span).drop("_cut", "away_frame", "away_us")
+    rows = cut_where(rows, ["site_id", "key"], order, F.col("_cut"), span).drop("_cut", "away_frame", "away_us")
     schema = f"site_id {dict(assessed.dtypes)['site_id']}, key string, _part long, {ALERT_COLS}"
-    return keyed_scan(rows, ["site_id", "key", "_part"], ["frame_idx"], lambda: AlertLife(p), schema).drop("_part")
+    return keyed_scan(rows, ["site_id", "key", "_part"], order, lambda: AlertLife(p), schema).drop("_part")
 
 
 def with_alert_ids(alerts: DataFrame, span: int | None = CHUNK_FRAMES) -> DataFrame:

@@ -11,7 +11,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from perimetra.operators.machines import Admission, AlertLife, Dwell, HeldNames, Machine, NumberBoard, Tracker
-from perimetra.params import ALERTING, ESCALATE, FUSION, TRACKING, Alerting, Escalate, Fusion, Tracking
+from perimetra.operators.blobs import BLOB, MotionDetector
+from perimetra.operators.site import ThermalLearner
+from perimetra.params import (
+    ALERTING,
+    DETECT,
+    ESCALATE,
+    FUSION,
+    THERMAL_SITE,
+    TRACKING,
+    Alerting,
+    Detect,
+    Escalate,
+    Fusion,
+    ThermalSite,
+    Tracking,
+)
 
 WATERMARK = "10 seconds"
 STATE = "machine binary, last long"
@@ -89,12 +104,16 @@ class AlertStream(MachineStream):
         self.p = p
 
     def step(self, machine: AlertLife, cols: dict) -> dict | None:
-        t = cols["t_us"].astype(np.int64)
         gap = int(self.p.close_after_s * 1e6)
-        before = np.concatenate([[machine.seen_us if getattr(machine, "seen_us", None) is not None else t[0]], t[:-1]])
-        cols["closed_us"] = np.where(t - before >= gap, (before + gap).astype(float), np.nan)
-        machine.seen_us = int(t[-1])
-        return machine.feed(cols)
+        seen = getattr(machine, "seen_us", None)
+        closed = np.full(len(cols["t_us"]), np.nan)
+        for i, (t, threat) in enumerate(zip(cols["t_us"].tolist(), cols["threat"].tolist())):
+            if seen is not None and t - seen >= gap:
+                closed[i] = seen + gap
+            if threat is not None and threat == threat:
+                seen = t
+        machine.seen_us = seen
+        return machine.feed({**cols, "threat": cols["threat"].astype(float), "closed_us": closed})
 
     def expire(self, machine: AlertLife, at_ms: int) -> dict | None:
         if machine.open is not None:
@@ -161,6 +180,23 @@ def object_numbers(assessed: DataFrame, p: Alerting = ALERTING, event_time: str
     return _run(source, ["site_id"], schema, proc, event_time)
 
 
+def learned_site(frames: DataFrame, p: ThermalSite = THERMAL_SITE, ttl_s: float = 3600.0, event_time: str = "ts") -> DataFrame:
+    """Read and learn ``frames(site_id, frame_idx, t_us, ts, rel)`` as they arrive."""
+    schema = "site_id long, frame_idx long, z array<double>, dev array<double>, persist array<long>, suppressed boolean"
+    keys = ["site_id"]
+    return _run(frames, keys, schema, MachineStream(keys, ["frame_idx"], lambda: ThermalLearner(p), _names(schema), "t_us", ttl_s), event_time)
+
+
+def detected(
+    frames: DataFrame, rows: int, cols: int, optical: bool = False, p: Detect = DETECT, ttl_s: float = 60.0, event_time: str = "ts"
+) -> DataFrame:
+    """Blobs of ``frames(site_id, frame_idx, t_us, ts, values)`` against a background kept per site."""
+    schema = f"site_id long, frame_idx long, blobs array<{BLOB}>, noise double, threshold double"
+    keys, names = ["site_id"], ["site_id", "frame_idx", "blobs", "noise", "threshold"]
+    proc = MachineStream(keys, ["frame_idx"], lambda: MotionDetector(rows, cols, optical, p), names, "t_us", ttl_s)
+    return _run(frames, keys, schema, proc, event_time)
+
+
 def held_names(passes: DataFrame, p: Fusion = FUSION, event_time: str = "ts") -> DataFrame:
     """Names in force after each pass; ``found`` is the pass's list of recognitions."""
     schema = (

@@ -77,6 +77,16 @@ def test_operator_actions(spark):
     assert [r.acked for r in kept] == [True]
 
 
+def test_an_action_during_an_absence_changes_nothing_already_closed(spark):
+    rows = [(1, "k", f, f * 1_000_000, 0.9, "drone", 0.0, None) for f in [*range(1, 12), *range(30, 33)]]
+    rows.append((1, "k", 20, 20_000_000, None, None, None, "clear"))
+    clock = spark.createDataFrame([(1, f, f * 1_000_000) for f in range(1, 60)], "site_id long, frame_idx long, t_us long")
+    df = spark.createDataFrame(rows, A + ", action string")
+    for span, span_us in ((None, None), (7, 5_000_000)):
+        got = alerts.alert_intervals(df, clock, Alerting(open_after=8), span, span_us).collect()
+        assert [(r.opened_us, r.closed_us) for r in got] == [(8_000_000, 16_000_000)]
+
+
 def test_dwell_parts_give_the_loop(spark):
     rng = random.Random(8)
     rows, x, y = [], 50.0, 50.0

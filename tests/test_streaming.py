@@ -95,3 +95,37 @@ def test_alert_log_sink(spark, tmp_path):
     stream = as_stream(df.withColumn("ts", F.timestamp_micros("t_us")), tmp_path, "in", 2)
     flows.log_alerts(keyed.alerts(stream), str(tmp_path / "log"), str(tmp_path / "cp")).awaitTermination(90)
     assert sorted(r.event for r in spark.read.json(str(tmp_path / "log")).collect()) == ["close", "open"]
+
+
+def test_learning_and_detection_streams(spark, tmp_path):
+    from perimetra.operators import blobs, site
+    from perimetra.params import ThermalSite
+
+    rng = random.Random(12)
+    rows = []
+    for f in range(1, 61):
+        v = [rng.gauss(0, 0.1) for _ in range(20 * 20)]
+        if f > 40:
+            for y in range(4, 9):
+                for x in range(5, 10):
+                    v[y * 20 + x] += 9.0
+        rows.append((1, f, f * 40_000, v))
+    df = spark.createDataFrame(rows, "site_id long, frame_idx long, t_us long, values array<double>").withColumn("ts", F.timestamp_micros("t_us"))
+    want = [(r.frame_idx, r.x, r.y, r.area) for r in blobs.detect_adaptive(df, 20, 20).orderBy("frame_idx").collect()]
+    assert want
+    got = drain(keyed.detected(as_stream(df, tmp_path, "pix", 3), 20, 20), "blobs_out", tmp_path).orderBy("frame_idx").collect()
+    assert [(r.frame_idx, b.x, b.y, b.area) for r in got for b in r.blobs] == want
+
+    p = ThermalSite(min_learned=20, persist_s=0.2)
+    rel = df.select("site_id", "frame_idx", "t_us", "ts", F.slice("values", 80, 40).alias("rel"))
+    want = {r.frame_idx: (max(r.z), sum(r.persist)) for r in site.learn_frames(rel, p).collect()}
+    got = drain(keyed.learned_site(as_stream(rel, tmp_path, "cells", 3), p), "learned_out", tmp_path)
+    assert {r.frame_idx: (max(r.z), sum(r.persist)) for r in got.collect()} == want
+
+
+def test_number_stream(spark, tmp_path):
+    rows = [(1, k, f, f * 1_000_000) for k, fs in (("a", range(1, 4)), ("b", range(2, 40)), ("d", range(20, 40)), ("a", range(30, 40))) for f in fs]
+    df = spark.createDataFrame(rows, "site_id long, key string, frame_idx long, t_us long").withColumn("ts", F.timestamp_micros("t_us"))
+    got = drain(keyed.object_numbers(as_stream(df, tmp_path, "keys", 3)), "numbers_out", tmp_path)
+    first = {(r.object_key, r.number) for r in got.collect()}
+    assert first == {("a", 1), ("b", 2), ("d", 1), ("a", 3)}

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perimetra.llm import contamination, simhash, substrings
+from perimetra.llm import contamination, simhash, substrings, tokencount
 from perimetra.llm.registry import add, table
 
 
@@ -32,3 +33,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
         "contaminated",
     )
+
+
+@add("op9_token_counts")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

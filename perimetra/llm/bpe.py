@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import ahocorasick
+
 NEVER = 1 << 60
 
 
@@ -16,6 +18,11 @@ class Merges:
     def __init__(self, tokens: set[str], rank: Callable[[str, str], int | None], longest: int, ties: set[int] = frozenset()) -> None:
         """`rank(a, b)`: when the neighbours a and b merge (smaller first, then leftmost), None if never. `ties`: ranks of several tokens."""
         self.tokens, self.rank, self.longest, self.ties = tokens, rank, longest, ties
+        self._found = ahocorasick.Automaton()
+        for t in tokens:
+            self._found.add_word(t, t)
+        self._found.make_automaton()
+        self._whole: set[str] = set()
         self._built: dict[str, tuple[str, str, int] | None] = {}
         self._spines: dict[str, tuple[list, list]] = {}
         self._fits: dict[tuple[str, str], bool] = {}
@@ -51,7 +58,10 @@ class Merges:
 
     def stands(self, token: str) -> bool:
         """True if the encoding of the token's string is the token."""
-        return len(token) == 1 or self.built(token) is not None
+        ok = len(token) == 1 or self.built(token) is not None
+        if ok:
+            self._whole.add(token)
+        return ok
 
     def _edges(self, token: str) -> tuple[list, list]:
         """What stood at the left and right edge of a token while it was built, each with the rank of the merge that ended it."""
@@ -101,26 +111,37 @@ class Merges:
         With `before` None (nothing there that could merge) every place has one.
         """
         last: list[str | None] = [before] + [None] * (end - start)
-        tokens, longest, known = self.tokens, self.longest, self._fits.get
-        for p in range(start + 1, end + 1):
-            for q in range(max(start, p - longest), p):
-                t = text[q:p]
-                if t not in tokens and p - q > 1:
+        known, whole, done = self._fits.get, self._whole, 0
+        for at, t in self._found.iter(text, start, end):
+            p = at + 1 - start
+            if p > done + 1:
+                self._alone(text, start, last, done + 1, p)
+            done = p - 1
+            if last[p] is not None:
+                continue
+            q = p - len(t)
+            prev = last[q]
+            if prev is None:
+                if q:
                     continue
-                prev = last[q - start]
-                if prev is None:
-                    if q > start:
-                        continue
-                    ok = True
-                else:
-                    ok = known((prev, t))
-                    if ok is None:
-                        ok = self.fits(prev, t)
-                if ok and self.stands(t):
-                    last[p - start] = t
-                    break
+                ok = True
+            else:
+                ok = known((prev, t))
+                if ok is None:
+                    ok = self.fits(prev, t)
+            if ok and (t in whole or self.stands(t)):
+                last[p] = t
+        self._alone(text, start, last, done + 1, end - start + 1)
         return last
 
+    def _alone(self, text: str, start: int, last: list[str | None], lo: int, hi: int) -> None:
+        """Units that are no token themselves, at the places from `lo` to before `hi`."""
+        for p in range(lo, hi):
+            if last[p] is None and (p == 1 or last[p - 1] is not None):
+                t = text[start + p - 1]
+                if t not in self.tokens and (last[p - 1] is None or self.fits(last[p - 1], t)):
+                    last[p] = t
+
     @staticmethod
     def back(last: list[str | None], at: int) -> list[str]:
         """The tokens up to place `at` of a `reach`."""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perimetra.llm import contamination, simhash, substrings, tokencount
+from perimetra.llm import contamination, pieces, simhash, substrings, tokencount
 from perimetra.llm.registry import add, table
 
 
@@ -38,3 +38,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @add("op9_token_counts")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@add("op3_sentencepiece")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    ids = pieces.encoded(table(spark, sf_dir, "documents"), path)
+    back = pieces.decoded(ids, path)
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("text", 256).alias("decoded_sha256"))

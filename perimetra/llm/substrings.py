@@ -55,7 +55,7 @@ def _rolled(lane: np.ndarray, width: int, base: np.uint64) -> np.ndarray:
         if size * 2 > width:
             break
         block = block[: len(block) - size] * power + block[size:]
-        power = power * power
+        power = np.multiply(power, power, dtype=np.uint64)
         size *= 2
     return out[:n]
 
@@ -129,20 +129,25 @@ def _in_pairs(pairs: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return out
 
 
+def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct entries of the sorted `keys`, and where each begins (one entry more at the end)."""
+    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[at], np.append(at, len(keys))
+
+
 def _cut(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, pa.Array]:
     """The bytes of `values` cut into one binary for each of the sorted `keys`."""
-    kinds, at = np.unique(keys, return_index=True)
+    kinds, ends = _groups(keys)
     values = np.ascontiguousarray(values)
     wide = values.dtype.itemsize * (values.shape[1] if values.ndim > 1 else 1)
-    offsets = np.append(at, len(keys)).astype(np.int64) * wide
+    offsets = ends.astype(np.int64) * wide
     blob = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(kinds), [None, pa.py_buffer(offsets), pa.py_buffer(values.tobytes())])
     return kinds, blob.cast(pa.binary())
 
 
 def _packed(keys: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, pa.Array]:
     """Sorted cells of each of the sorted `keys` as one binary: how many have each upper part (64 of them), then the lower 16 bits."""
-    kinds, at = np.unique(keys, return_index=True)
-    ends = np.append(at, len(keys))
+    kinds, ends = _groups(keys)
     heads = np.bincount(np.repeat(np.arange(len(kinds)), np.diff(ends)) * 64 + (cells >> 16), minlength=64 * len(kinds)).astype(np.uint32).reshape(-1, 64)
     lows = cells.astype(np.uint16)
     rows = [heads[i].tobytes() + lows[ends[i] : ends[i + 1]].tobytes() for i in range(len(kinds))]
@@ -160,11 +165,9 @@ def _unpacked(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return (upper << np.uint32(16)) | np.concatenate(lows), heads.sum(axis=1).astype(np.int64)
 
 
-def _glued(column: pa.ChunkedArray, dtype: type) -> tuple[np.ndarray, np.ndarray]:
-    """All entries of a column of binaries, and how many each row has."""
-    rows = column.to_pylist()
-    size = np.dtype(dtype).itemsize
-    return np.frombuffer(b"".join(rows), dtype=dtype), np.array([len(r) // size for r in rows], dtype=np.int64)
+def _halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lower and upper 32 bits."""
+    return (x & np.uint64(2**32 - 1)).astype(np.uint32), (x >> np.uint64(32)).astype(np.uint32)
 
 
 def _ordered(table: pa.Table) -> pa.Table:
@@ -201,7 +204,7 @@ def unrepeated(docs: DataFrame, width: int = WINDOW) -> DataFrame:
         found = Windows(joined(table["text"]), width)
         names, blobs = [], []
         for row in range(SKETCH_ROWS):
-            cells = np.unique(found.cells(row, bits))
+            cells = _groups(np.sort(found.cells(row, bits)))[0]
             kinds, blob = _packed((cells >> np.uint64(RANGE_BITS)).astype(np.int64) + row * ranges, (cells & low).astype(np.int64))
             names.append(kinds)
             blobs.append(blob)
@@ -239,26 +242,40 @@ def unrepeated(docs: DataFrame, width: int = WINDOW) -> DataFrame:
         a, b = found.hash[0][order], found.hash[1][order]
         ids = table["doc_id"].combine_chunks().fill_null(_LAST).to_numpy(zero_copy_only=False)
         whose = ids[found.words.doc[found.start[order]]] if len(order) else np.zeros(0, np.int64)
-        kinds, blob = _cut((a >> np.uint64(64 - bucket_bits)).astype(np.int64), np.stack([a, b, whose.astype(np.int64).view(np.uint64)], axis=1))
-        return pa.table({"bucket": kinds, "block": pa.array([key[0].as_py()] * len(kinds), pa.int32()), "hashes": blob})
+        least = int(whose.min(initial=_LAST))
+        narrow = int(whose.max(initial=least)) - least < 2**32
+        columns = [*_halves(a), _halves(b)[0], *_halves((whose - least).view(np.uint64))[: 1 if narrow else 2]]
+        kinds, blob = _cut((a >> np.uint64(64 - bucket_bits)).astype(np.int64), np.stack(columns, axis=1))
+        n = len(kinds)
+        return pa.table({"bucket": kinds, "block": pa.array([key[0].as_py()] * n, pa.int32()), "least": [least] * n, "wide": [len(columns)] * n, "hashes": blob})
 
     def owners(key: tuple, table: pa.Table) -> pa.Table:
-        values, sizes = _glued(table["hashes"], np.uint64)
-        values = values.reshape(-1, 3)
-        blocks_of = np.repeat(table["block"].to_numpy(), sizes // 3)
-        order = np.lexsort((blocks_of, values[:, 2].view(np.int64), values[:, 1], values[:, 0]))
-        v = values[order]
-        late = np.concatenate([[False], (v[1:, 0] == v[:-1, 0]) & (v[1:, 1] == v[:-1, 1])]) if len(v) else np.zeros(0, bool)
-        at = order[late]
+        found, ids, blocks_of = [], [], []
+        for block, least, wide, row in zip(*(table[c].to_pylist() for c in ("block", "least", "wide", "hashes"))):
+            v = np.frombuffer(row, dtype=np.uint32).reshape(-1, wide)
+            found.append(v[:, :3])
+            ids.append(least + (v[:, 3].astype(np.int64) if wide == 4 else (v[:, 3].astype(np.uint64) | (v[:, 4].astype(np.uint64) << np.uint64(32))).view(np.int64)))
+            blocks_of.append(np.full(len(v), block, dtype=np.int32))
+        found, ids, blocks_of = np.concatenate(found), np.concatenate(ids), np.concatenate(blocks_of)
+        a = found[:, 0].astype(np.uint64) | (found[:, 1].astype(np.uint64) << np.uint64(32))
+        b = found[:, 2]
+        # only hashes that several blocks hold need an owner
+        order = np.argsort(a, kind="stable")
+        same = np.concatenate([[False], a[order][1:] == a[order][:-1]])
+        order = order[same | np.append(same[1:], False)]
+        order = order[np.lexsort((blocks_of[order], ids[order], b[order], a[order]))]
+        x, y = a[order], b[order]
+        at = order[np.concatenate([[False], (x[1:] == x[:-1]) & (y[1:] == y[:-1])])] if len(order) else order
         at = at[np.argsort(blocks_of[at], kind="stable")]
-        kinds, blob = _cut(blocks_of[at], values[at][:, :2])
+        kinds, blob = _cut(blocks_of[at], found[at])
         return pa.table({"block": pa.array(kinds, pa.int32()), "hashes": blob})
 
     def cut(key: tuple, table: pa.Table, foreign: pa.Table) -> pa.Table:
         table = _ordered(table)
         found = Windows(joined(table["text"]), width)
-        late = _glued(foreign["hashes"], np.uint64)[0].reshape(-1, 2).T
-        goes = found.later() | _in_pairs(found.hash, np.ascontiguousarray(late))
+        late = np.frombuffer(b"".join(foreign["hashes"].to_pylist()), dtype=np.uint32).reshape(-1, 3)
+        late = np.stack([late[:, 0].astype(np.uint64) | (late[:, 1].astype(np.uint64) << np.uint64(32)), late[:, 2].astype(np.uint64)])
+        goes = found.later() | _in_pairs(np.stack([found.hash[0], found.hash[1] & np.uint64(2**32 - 1)]), late)
         words = found.words
         n = len(words)
         step = np.zeros(n + 1, dtype=np.int64)
@@ -280,7 +297,7 @@ def unrepeated(docs: DataFrame, width: int = WINDOW) -> DataFrame:
 
     cells = parts.groupBy("block").applyInArrow(sketch, "span long, block int, cells binary")
     repeated = cells.groupBy("span").applyInArrow(merge, "block int, span long, cells binary")
-    likely = parts.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(survivors, "bucket long, block int, hashes binary")
+    likely = parts.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(survivors, "bucket long, block int, least long, wide long, hashes binary")
     late = likely.groupBy("bucket").applyInArrow(owners, "block int, hashes binary")
     return (
         parts.groupBy("block")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perimetra.llm import contamination, pieces, simhash, substrings, tokencount
+from perimetra.llm import contamination, pieces, secrets, simhash, substrings, tokencount
 from perimetra.llm.registry import add, table
 
 
@@ -46,3 +46,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = pieces.encoded(table(spark, sf_dir, "documents"), path)
     back = pieces.decoded(ids, path)
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
+
+
+@add("op7_secret_scans")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.counted(secrets.secrets(table(spark, sf_dir, "documents")))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perimetra.llm import contamination, pieces, secrets, simhash, substrings, tokencount
+from perimetra.llm import contamination, pieces, quality, secrets, simhash, substrings, tokencount
 from perimetra.llm.registry import add, table
 
 
@@ -51,3 +51,19 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @add("op7_secret_scans")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.counted(secrets.secrets(table(spark, sf_dir, "documents")))
+
+
+@add("op8_quality_rules")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+        F.round("class_distance", 6).alias("class_distance"),
+        F.round("word_distance", 6).alias("word_distance"),
+    )

@@ -247,7 +247,7 @@ def unrepeated(docs: DataFrame, width: int = WINDOW) -> DataFrame:
         columns = [*_halves(a), _halves(b)[0], *_halves((whose - least).view(np.uint64))[: 1 if narrow else 2]]
         kinds, blob = _cut((a >> np.uint64(64 - bucket_bits)).astype(np.int64), np.stack(columns, axis=1))
         n = len(kinds)
-        return pa.table({"bucket": kinds, "block": pa.array([key[0].as_py()] * n, pa.int32()), "least": [least] * n, "wide": [len(columns)] * n, "hashes": blob})
+        return pa.table({"bucket": kinds, "block": pa.array([key[0].as_py()] * n, pa.int32()), "least": pa.array([least] * n, pa.int64()), "wide": pa.array([len(columns)] * n, pa.int64()), "hashes": blob})
 
     def owners(key: tuple, table: pa.Table) -> pa.Table:
         found, ids, blocks_of = [], [], []

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perimetra.llm import contamination, pieces, quality, secrets, simhash, substrings, tokencount
+from perimetra.llm import contamination, pieces, pseudonyms, quality, secrets, simhash, substrings, tokencount
 from perimetra.llm.registry import add, table
 
 
@@ -67,3 +67,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round("class_distance", 6).alias("class_distance"),
         F.round("word_distance", 6).alias("word_distance"),
     )
+
+
+#: A key for these queries; users hand in their own.
+PSEUDONYM_KEY = "registered query"
+
+
+@add("op1_pii_pseudonyms")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymized(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perimetra.llm import contamination, pieces, pseudonyms, quality, secrets, simhash, substrings, tokencount
+from perimetra.llm import contamination, maintext, pieces, pseudonyms, quality, secrets, simhash, substrings, tokencount
 from perimetra.llm.registry import add, table
 
 
@@ -76,3 +76,8 @@ PSEUDONYM_KEY = "registered query"
 @add("op1_pii_pseudonyms")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymized(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
+
+
+@add("op6_html_extraction")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintext.extracted(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

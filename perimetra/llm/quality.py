@@ -39,14 +39,16 @@ def _length_without(text: str, pattern: str) -> Column:
     return F.length(F.regexp_replace(text, pattern, "")).cast("long")
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """`(doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, classes, common)` for every row of `docs(doc_id, text, lang)`.
+def features(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """`(doc_id, lang, row, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, classes, common)` for every row of `docs(doc_id, text, lang)`.
 
     `classes` counts lower, upper, digit, white, other ASCII characters and extra bytes of non-ASCII ones; `common` counts the words
-    of the document's list in `COMMON` and then all others, and is null where the language has no list.
+    of the document's list in `COMMON` and then all others, and is null where the language has no list. `row` holds the whole input
+    row if `carry` is set.
     """
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
+    row = (F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if carry else F.lit(None).cast("boolean")).alias("row")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"), row)
     rows = rows.withColumn("trimmed", F.btrim("t", F.lit(SPACES)))
     rows = rows.withColumn("w", F.when(F.col("trimmed") == "", F.array().cast("array<string>")).otherwise(F.split("trimmed", _SPLIT))).drop("trimmed")
     lines = F.filter(F.split("t", "\n"), lambda s: F.btrim(s, F.lit(SPACES)) != "")
@@ -56,6 +58,7 @@ def features(docs: DataFrame) -> DataFrame:
     rows = rows.select(
         "doc_id",
         "lang",
+        "row",
         F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.length("t").cast("long").alias("n_chars"),
@@ -90,6 +93,7 @@ def features(docs: DataFrame) -> DataFrame:
     return rows.select(
         "doc_id",
         "lang",
+        "row",
         "n_words",
         "word_chars",
         "n_symbols",
@@ -119,7 +123,7 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
 
 
-def judged(docs: DataFrame) -> DataFrame:
+def judged(docs: DataFrame, carry: bool = False) -> DataFrame:
     """`features` with `base_failed`, the distances `class_distance` and `word_distance`, and `kept`, for every row of `docs(doc_id, text, lang)`.
 
     A document is kept if it passes the base rules and its distances are not over their limits. Distances are null, and do not
@@ -127,7 +131,7 @@ def judged(docs: DataFrame) -> DataFrame:
     a list; documents of such a language, or of none, are compared with the mean of all languages by character classes. Null and empty texts have no
     words and fail the base rules. Rows are neither merged nor dropped; an empty table gives none; other columns are ignored.
     """
-    rows = settled(features(docs).withColumn("base_failed", base_failed()))
+    rows = settled(features(docs, carry).withColumn("base_failed", base_failed()))
     rows = rows.withColumn("own", F.when(F.col("common").isNotNull(), F.col("lang")).otherwise(F.lit("")))
     rows = rows.withColumn("by_class", _shares("classes")).withColumn("by_word", _shares("common"))
     enough = (F.col("n_words") >= LEAST_WORDS) & (F.col("word_chars") >= LEAST_CHARS)
@@ -143,5 +147,10 @@ def judged(docs: DataFrame) -> DataFrame:
     by_class, by_word = F.coalesce("class_distance", F.lit(0.0)), F.coalesce("word_distance", F.lit(0.0))
     far = (by_class > CLASS_DISTANCE) | (by_class + by_word > BOTH_DISTANCES)
     return rows.withColumn("kept", ~F.col("base_failed") & ~far).select(
-        "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept"
+        "doc_id", "lang", "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept"
     )
+
+
+def kept(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` that the rules keep, unchanged. They are written once with their counts, so that no join has to find them again."""
+    return judged(docs, carry=True).where("kept").select("row.*")

@@ -111,13 +111,14 @@ class Merges:
         With `before` None (nothing there that could merge) every place has one.
         """
         last: list[str | None] = [before] + [None] * (end - start)
-        known, whole, done = self._fits.get, self._whole, 0
+        known, whole, now = self._fits.get, self._whole, 0
         for at, t in self._found.iter(text, start, end):
             p = at + 1 - start
-            if p > done + 1:
-                self._alone(text, start, last, done + 1, p)
-            done = p - 1
-            if last[p] is not None:
+            if p != now:
+                if last[now] is None or p > now + 1:
+                    self._alone(text, start, last, max(1, now), p)
+                now = p
+            elif last[p] is not None:
                 continue
             q = p - len(t)
             prev = last[q]
@@ -131,7 +132,8 @@ class Merges:
                     ok = self.fits(prev, t)
             if ok and (t in whole or self.stands(t)):
                 last[p] = t
-        self._alone(text, start, last, done + 1, end - start + 1)
+        if last[-1] is None:
+            self._alone(text, start, last, max(1, now), end - start + 1)
         return last
 
     def _alone(self, text: str, start: int, last: list[str | None], lo: int, hi: int) -> None:

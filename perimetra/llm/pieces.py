@@ -10,6 +10,7 @@ end, and each chunk then traces its own pieces between its two known states.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -25,8 +26,9 @@ from perimetra.llm.bpe import Merges
 #: Characters of a chunk; longer texts are split.
 CHUNK = 16_384
 #: Words whose pieces a worker keeps; beyond, it starts anew.
-KEPT_WORDS = 800_000
-SPACE = "▁"
+KEPT_WORDS = 500_000
+#: Both stand for the start of a word in a model; texts and pieces are held with plain spaces here.
+MARK, SPACE = "▁", " "
 _START, _END = -1, -2
 NONE = -np.inf
 
@@ -37,10 +39,10 @@ class Pieces:
     def __init__(self, path: str) -> None:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         probe = "  a  b ﬁ Ａ\t\n x  "
-        if model.normalize(probe) != SPACE + probe.replace(" ", SPACE):
+        if model.normalize(probe) != MARK + probe.replace(" ", MARK):
             raise ValueError(f"{path}: only models that keep text as it is and put a space before it are read")
         n = model.get_piece_size()
-        self.names = [model.id_to_piece(i) for i in range(n)]
+        self.names = [model.id_to_piece(i).replace(MARK, SPACE) for i in range(n)]
         plain = [i for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
         self.ids = {self.names[i]: i for i in plain}
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids):
@@ -54,10 +56,12 @@ class Pieces:
         self.longest = max(map(len, ranks))
         self.merges = Merges(set(ranks), lambda a, b: ranks.get(a + b), self.longest, ties)
         self.inside = {p[i : i + 2] for p in ranks for i in range(len(p) - 1)}
-        self.words: dict[str, tuple[int, ...]] = {}
+        if n > 65_536:
+            raise ValueError(f"{path}: more pieces than two bytes number")
+        self.words: dict[str, bytes] = {}
         self.word = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
         self.start_of_word = re.compile(f"(?<=[^{SPACE}]){SPACE}")
-        texts: list[bytes] = [p.replace(SPACE, " ").encode() for p in self.names]
+        texts: list[bytes] = [p.encode() for p in self.names]
         for b, i in enumerate(self.bytes):
             texts[i] = bytes([b])
         for i in range(n):
@@ -67,39 +71,37 @@ class Pieces:
 
     # one piece after the other
 
-    def ids_of(self, tokens: list[str]) -> list[int]:
+    def ids_of(self, tokens: list[str]) -> bytes:
+        """The ids of the tokens, two bytes each."""
         out: list[int] = []
         for t in tokens:
             i = self.ids.get(t)
             out += [i] if i is not None else [self.bytes[b] for b in t.encode()]
-        return out
+        return array("H", out).tobytes()
 
-    def _word(self, word: str) -> tuple[int, ...]:
+    def _word(self, word: str) -> bytes:
         # no piece holds the two characters at a cut, so the parts are encoded alone; most of them are known from other words
         cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.inside]
         if cuts:
-            ids = tuple(i for a, b in zip([0, *cuts], [*cuts, len(word)]) for i in (self.words.get(word[a:b]) or self._part(word[a:b])))
+            ids = b"".join([self.words.get(word[a:b]) or self._part(word[a:b]) for a, b in zip([0, *cuts], [*cuts, len(word)])])
         else:
             ids = self._part(word)
         return self._keep(word, ids)
 
-    def _part(self, part: str) -> tuple[int, ...]:
-        return self._keep(part, tuple(self.ids_of(self.merges.back(self.merges.reach(part, 0, len(part), None), len(part)))))
+    def _part(self, part: str) -> bytes:
+        return self._keep(part, self.ids_of(self.merges.back(self.merges.reach(part, 0, len(part), None), len(part))))
 
-    def _keep(self, word: str, ids: tuple[int, ...]) -> tuple[int, ...]:
+    def _keep(self, word: str, ids: bytes) -> bytes:
         if len(word) <= 64:
             if len(self.words) > KEPT_WORDS:
                 self.words.clear()
             self.words[word] = ids
         return ids
 
-    def encode(self, text: str) -> list[int]:
-        """The ids of a normalized stretch that begins and ends where no piece crosses."""
+    def encode(self, text: str) -> bytes:
+        """The ids of a normalized stretch that begins and ends where no piece crosses, two bytes each."""
         known, make = self.words.get, self._word
-        out: list[int] = []
-        for w in self.word.findall(text):
-            out += known(w) or make(w)
-        return out
+        return b"".join([known(w) or make(w) for w in self.word.findall(text)])
 
     def decode(self, ids: Iterable[int]) -> str:
         texts = self.texts
@@ -183,10 +185,10 @@ class Pieces:
         """Pieces of a stretch between starts of words; a character outside the vocabulary is one."""
         n = 0
         for w in self.word.findall(text):
-            n += len(self.merges.back(self.merges.reach(w, 0, len(w), None), len(w))) if len(w) > 64 or not w.isascii() else len(self.words.get(w) or self._word(w))
+            n += len(self.merges.back(self.merges.reach(w, 0, len(w), None), len(w))) if len(w) > 64 or not w.isascii() else len(self.words.get(w) or self._word(w)) // 2
         return n
 
-    def trace(self, text: str, lo: int, hi: int, last: bool, entry: int, leave: int) -> list[int]:
+    def trace(self, text: str, lo: int, hi: int, last: bool, entry: int, leave: int) -> bytes:
         """The ids of the pieces that begin in the chunk, between its two known states."""
         back, on = (0, 0) if entry == _START else _pair(entry)
         before = None if entry == _START else text[lo - back : lo + on]
@@ -232,7 +234,12 @@ def model(path: str) -> Pieces:
 
 
 def normalized(text: str | None) -> str:
-    return SPACE + text.replace(" ", SPACE) if text else ""
+    return SPACE + text.replace(MARK, SPACE) if text else ""
+
+
+def _lists(ids: list[bytes]) -> pa.Array:
+    flat = np.frombuffer(b"".join(ids), dtype=np.uint16).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *[len(i) // 2 for i in ids]]), pa.int32()), pa.array(flat))
 
 
 def encoded(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
@@ -249,8 +256,8 @@ def encoded(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
     def short(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = model(path)
         for part in rows_in(batches):
-            ids = [np.array(pieces.encode(normalized(t)), dtype=np.int32) for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+            ids = [pieces.encode(normalized(t)) for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), _lists(ids)], ["doc_id", "ids"])
 
     small = plain.where(F.coalesce(F.length("text"), F.lit(0)) < chunk).mapInArrow(short, "doc_id long, ids array<int>")
     large = plain.where(F.length("text") >= chunk).withColumn("row", F.monotonically_increasing_id())
@@ -320,7 +327,7 @@ def encoded(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
                 pieces.trace(r["text"], r["lead"], r["lead"] + r["size"], r["last"], r["entry"], r["leave"])
                 for r in part.select(["text", "lead", "size", "last", "entry", "leave"]).to_pylist()
             ]
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("row", "doc_id", "no")), pa.array(ids, pa.list_(pa.int32()))], ["row", "doc_id", "no", "ids"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("row", "doc_id", "no")), _lists(ids)], ["row", "doc_id", "no", "ids"])
 
     states = chunks.mapInArrow(transfers, "row long, no long, entries array<int>, exits array<int>, scores array<double>").groupBy("row")
     states = states.applyInArrow(scan, "row long, no long, entry int, leave int")

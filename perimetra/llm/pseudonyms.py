@@ -85,13 +85,18 @@ def _plain_number(value: Column, key: str, kind: str) -> Column:
     return _let(F.regexp_replace(value, "[^0-9]", ""), lambda d: _let(permuted_digits(d, key, kind), lambda new: _refilled(value, new)))
 
 
+def _check_digit(body: Column) -> Column:
+    """The digit that makes `body` and it pass the Luhn check."""
+    return F.element_at(F.filter(F.sequence(F.lit(0), F.lit(9)), lambda c: F.call_function("luhn_check", F.concat(body, c.cast("string")))), 1)
+
+
 def _card(value: Column, key: str) -> Column:
-    """A card number with a right check digit keeps one: the digits before it are permuted and it is computed anew. Others are permuted whole."""
+    """The digits before the last are permuted; the last keeps its distance from the right check digit, so right numbers stay right and wrong ones wrong."""
 
     def new(d: Column) -> Column:
-        body = permuted_digits(F.substr(d, F.lit(1), F.length(d) - 1), key, "card")
-        fits = lambda b: F.concat(b, F.element_at(F.filter(F.array(*[F.lit(str(i)) for i in range(10)]), lambda c: F.call_function("luhn_check", F.concat(b, c))), 1))
-        return F.when(F.call_function("luhn_check", d), _let(body, fits)).otherwise(permuted_digits(d, key, "number"))
+        body = F.substr(d, F.lit(1), F.length(d) - 1)
+        off = F.right(d, F.lit(1)).cast("int") - _check_digit(body)
+        return _let(permuted_digits(body, key, "card"), lambda b: F.concat(b, F.pmod(_check_digit(b) + off, F.lit(10)).cast("string")))
 
     return _let(F.regexp_replace(value, "[^0-9]", ""), lambda d: _let(new(d), lambda n: _refilled(value, n)))
 
@@ -177,8 +182,8 @@ def pseudonymized(docs: DataFrame, key: str, found: str = "n_found") -> DataFram
     """`docs` with the personal values in `text` replaced by pseudonyms of the same format, and the count of values in column `found`.
 
     E-mail addresses (their local part), dates of the years 1900 to 2099, IPv4 addresses, phone numbers, social security numbers and numbers of 13
-    to 19 digits are looked for (`KINDS`); dates must exist, octets must be in range, and a number with a right Luhn digit
-    keeps one. Everything else in a text stays. Null stays null with a count of 0, as do empty texts; rows and other columns stay as they are;
+    to 19 digits are looked for (`KINDS`); dates must exist, octets must be in range, and numbers with a right Luhn digit
+    keep one, others none. Everything else in a text stays. Null stays null with a count of 0, as do empty texts; rows and other columns stay as they are;
     `found` must not be one of them. No shuffle.
     """
     if found in docs.columns:

@@ -10,7 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import SparkSession
 
 from perimetra.queries import load
-from perimetra.session import configured
+from perimetra.session import configured, ship
 
 HEADLINE = (
     "track_kinematics", "classify_tracks", "threat_tracks", "alert_opens", "site_model_fit", "cell_zscores", "thermal_persistence",
@@ -32,6 +32,7 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     jobs = load().jobs
     names = sys.argv[1:] or HEADLINE
     jobs["current_state"](spark, sf_dir).write.format("noop").mode("overwrite").save()

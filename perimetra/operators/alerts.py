@@ -79,7 +79,7 @@ def with_absences(
 
 ALERT_COLS = (
     "opened_frame long, opened_us long, updated_us long, closed_us long, frames long, peak_threat double, threat double, "
-    "label string, dwell_s double, acked boolean"
+    "label string, dwell_s double, acked boolean, cleared boolean"
 )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from perimetra.functions.geometry import distance, map_x, map_y
-from perimetra.operators.scans import chunked, numbered
+from perimetra.operators.scans import chunked, keyed_scan, numbered
 from perimetra.params import CHUNK_FRAMES, RIG, SENSOR, Rig, Sensor
 
 
@@ -114,14 +114,35 @@ def ticks(frames: DataFrame, span: int | None = CHUNK_FRAMES) -> DataFrame:
     return numbered(frames.select("site_id", "frame_idx").distinct(), ["site_id"], ["frame_idx"], "tick", span)
 
 
+class LastTaken:
+    """Keeps the places of the last tick taken; a tick is taken if one of its places is at least ``apart`` from all of those."""
+
+    def __init__(self, apart: float):
+        self.apart = apart
+        self.places: np.ndarray | None = None
+
+    def feed(self, c: dict) -> dict:
+        taken = []
+        for tick, at in zip(c["tick"].tolist(), c["at"]):
+            now = np.array([[a["cx"], a["cy"]] for a in at], dtype=float)
+            if self.places is not None and not (np.hypot(*(now[:, None] - self.places[None]).transpose(2, 0, 1)).min(1) >= self.apart).any():
+                continue
+            self.places = now
+            taken.append(tick)
+        return {"tick": np.asarray(taken, np.int64)}
+
+    def close(self) -> None:
+        return None
+
+
 def fresh_samples(dets: DataFrame, p: Rig = RIG) -> DataFrame:
-    """Ticks where some detection stands apart from all of the tick before."""
-    before = dets.select("site_id", (F.col("tick") + 1).alias("tick"), F.struct("cx", "cy").alias("b")).groupBy("site_id", "tick").agg(
-        F.collect_list("b").alias("_b")
-    )
-    near = F.exists("_b", lambda b: distance(F.col("cx"), F.col("cy"), b["cx"], b["cy"]) < p.dedupe_px)
-    j = dets.join(before, ["site_id", "tick"], "left")
-    return j.filter(~F.coalesce(near, F.lit(False))).select("site_id", "tick").distinct()
+    """Ticks where some detection stands apart from all of the last tick that was taken; the first one always counts.
+
+    ``dets`` holds the ticks that passed the tests before this one, with few detections each.
+    """
+    rows = dets.groupBy("site_id", "tick").agg(F.collect_list(F.struct("cx", "cy")).alias("at"))
+    schema = f"site_id {dict(dets.dtypes)['site_id']}, tick {dict(dets.dtypes)['tick']}"
+    return keyed_scan(rows, ["site_id"], ["tick"], lambda: LastTaken(p.dedupe_px), schema)
 
 
 def _solve(t: np.ndarray, o: np.ndarray) -> np.ndarray:

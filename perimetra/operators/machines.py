@@ -23,10 +23,11 @@ class AlertLife(Machine):
     """Opens after a run above the line, updates at any threat, closes when its key stays away.
 
     ``closed_us`` on a row is the time of the clock frame that closed whatever was open
-    before this row (NaN if none did). Emits one record per finished or still open alert.
+    before this row (NaN if none did). Emits one record per finished or still open alert. An alert that an operator
+    clears ends at once and stays on record as cleared: it had been opened.
     """
 
-    FIELDS = ("opened_frame", "opened_us", "updated_us", "closed_us", "frames", "peak_threat", "threat", "label", "dwell_s", "acked")
+    FIELDS = ("opened_frame", "opened_us", "updated_us", "closed_us", "frames", "peak_threat", "threat", "label", "dwell_s", "acked", "cleared")
 
     def __init__(self, p: Alerting = ALERTING):
         self.p = p
@@ -42,6 +43,8 @@ class AlertLife(Machine):
                 self.open, self.streak = None, 0
             if action is not None and action[i] is not None:
                 if action[i] == "clear":
+                    if self.open is not None:
+                        done.append({**self.open, "closed_us": int(c["t_us"][i]), "cleared": True})
                     self.open, self.streak = None, 0
                 elif action[i] == "ack" and self.open is not None:
                     self.open["acked"] = True
@@ -55,7 +58,7 @@ class AlertLife(Machine):
             elif over and self.streak >= self.p.open_after:
                 t = int(c["t_us"][i])
                 self.open = {
-                    "opened_frame": int(c["frame_idx"][i]), "opened_us": t, "closed_us": None, "frames": 2, "peak_threat": 0.0, "acked": False,
+                    "opened_frame": int(c["frame_idx"][i]), "opened_us": t, "closed_us": None, "frames": 2, "peak_threat": 0.0, "acked": False, "cleared": False,
                 }
             if self.open is not None:
                 self.open["updated_us"] = int(c["t_us"][i])

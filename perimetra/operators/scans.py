@@ -8,6 +8,7 @@ before it (its halo) and the totals of all earlier chunks (its carry), so window
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -191,11 +192,17 @@ def ewma(
 ) -> DataFrame:
     """Exponentially weighted running sum from 0: ``a += alpha * (value - a)`` at every row.
 
-    Inside a chunk the recursion is a scaled prefix sum; chunk totals are chained in order.
+    Inside a chunk the recursion is a scaled prefix sum; chunk totals are chained in order. A chunk is
+    short enough for the scale of its last row to be a number, whatever ``alpha`` is: rows are numbered without holes
+    first and cut by their number.
     """
     keys = list(keys)
     keep = 1.0 - alpha
-    ch = chunked(rows.withColumn("_v", value.cast("double")), keys, order, span=span or 1 << 14)
+    if not 0.0 < alpha < 1.0:
+        raise ValueError("alpha must lie between 0 and 1")
+    most = max(1, int(600.0 / -math.log(keep)))
+    plain = numbered(rows.withColumn("_v", value.cast("double")), keys, order, "_row", span)
+    ch = chunked(plain, keys, ["_row"], span=min(span or 1 << 14, most))
     w = ch.part
     ch = ch.with_columns({"_j": F.row_number().over(w)})
     part = F.sum(F.lit(alpha) * F.col("_v") * F.pow(F.lit(keep), -F.col("_j"))).over(ch.sofar) * F.pow(F.lit(keep), F.col("_j"))
@@ -221,7 +228,7 @@ def ewma(
     carried = keyed_scan(ends, keys, [CHUNK], Chain, schema)
     joined = ch.rows.join(carried, [*keys, CHUNK])
     total = F.col("_part") + F.col("_carry") * F.pow(F.lit(keep), F.col("_j"))
-    return joined.withColumn(out, total).drop("_v", "_j", "_part", "_carry", CHUNK, HALO)
+    return joined.withColumn(out, total).drop("_v", "_row", "_j", "_part", "_carry", CHUNK, HALO)
 
 
 def sessions(

@@ -125,9 +125,14 @@ def carried_forward(
 
 
 def rolling_mean(rows: DataFrame, keys: list[str], order: str, value: str, out: str, n: int = 30, span: int | None = CHUNK_FRAMES) -> DataFrame:
-    """Mean of the last ``n`` samples, as shown for frame cost and rate."""
+    """Mean of the last ``n`` samples, as shown for frame cost and rate.
+
+    Samples count in whole millionths, so that the sum does not depend on the order it is taken in.
+    """
     ch = chunked(rows, keys, [order], depth=n - 1, span=span)
-    return ch.with_columns({out: F.avg(value).over(ch.trailing(n - 1))}).finish()
+    w = ch.trailing(n - 1)
+    millionths = F.round(F.col(value) * 1_000_000).cast("long")
+    return ch.with_columns({out: F.sum(millionths).over(w) / F.count(value).over(w) / 1e6}).finish()
 
 
 __all__ = [

@@ -273,18 +273,19 @@ r AS (
 
 
 def model_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversation turns dressed as model replies: fenced, chatty, bare or broken."""
+    """Conversation turns dressed as model replies: fenced, between the turn's own words, bare or broken."""
     n, c = F.length("text"), F.col("conv_id") % 4
     doc = F.format_string(
         '{"class": "%s", "rotors": %d, "size_class": "small", "payload": "possible", "candidate_models": ["m%d", "n"], "confidence": %.2f}',
         F.when(F.col("turn") % 2 == 0, "multirotor").otherwise("bird"), n % 5, n % 9, (n % 100) / 100.0,
     )
+    said = F.translate("text", "{}", "()")
     text = (
         F.when(c == 0, F.concat(F.lit("```json\n"), doc, F.lit("\n```")))
-        .when(c == 1, F.concat(F.lit("Here you go: "), doc, F.lit(" hope it helps")))
+        .when(c == 1, F.concat(said, F.lit("\n"), doc, said))
         .when(c == 2, doc)
-        .when(F.col("turn") % 2 == 0, F.lit("cannot say"))
-        .otherwise(F.lit("{not json}"))
+        .when(F.col("turn") % 2 == 0, said)
+        .otherwise(F.concat(said, F.lit("{not json}")))
     )
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.alias("text"))
 
@@ -308,8 +309,7 @@ def reply_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     "WITH " + REPLY_SQL + " SELECT conv_id, turn, CASE WHEN c < 3 OR t % 2 = 1 THEN true ELSE false END AS has_object FROM r",
 )
 def first_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat(F.col("text"), F.lit(" then {\"b\": {}}"))
-    text = F.when(F.col("text") == "cannot say", F.col("text")).otherwise(text)
+    text = F.when(F.col("text").contains("{"), F.concat(F.col("text"), F.lit(" then {\"b\": {}}"))).otherwise(F.col("text"))
     m = model_replies(spark, sf_dir)
     return m.select("conv_id", "turn", replies.first_object(text).isNotNull().alias("has_object"))
 
@@ -418,7 +418,7 @@ def mover_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTRY.add("fit_homography")
 def fit_homography(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fits = calibration.accepted(calibration.fit(rig_pairs(spark, sf_dir), Rig(ransac_iters=1600)))
+    fits = calibration.accepted(calibration.fit(rig_pairs(spark, sf_dir)))
     gap = calibration.corner_disagreement(F.col("h"), h_col(), 192, 256)
     return fits.select("site_id", "pairs", "inliers", "frames", *r6("mean_px"), "accepted", F.round(gap, 4).alias("corner_px"))
 

@@ -12,7 +12,7 @@ from perimetra.operators import blobs, evaluate, fusion
 from perimetra.queries import REGISTRY
 from perimetra.queries.boxes import IDS, mapped_sql, with_mapped
 from perimetra.queries.site import CELLS_SQL, r6
-from perimetra.sources.adapters import BOXES_SQL, assessments, assessments_sql, boxes, cell_frames
+from perimetra.sources.adapters import BOXES_SQL, assessments, assessments_sql, boxes, cell_frames, table
 
 NAMES = ("drone", "chair", "bowl", "person", "bird", "uav")
 
@@ -191,8 +191,9 @@ def patches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Small boxes on the 8x8 stand-in frames, and those frames."""
     frames = cell_frames(spark, sf_dir).select("site_id", "frame_idx", F.col("cells").alias("celsius"))
     c = F.col
+    seen = table(spark, sf_dir, "embeddings").count()
     b = boxes(spark, sf_dir).select(
-        (c("frame_idx") % 500).alias("frame_idx"), "det_id", (c("frame_idx") * 8 + c("det_id") % 8).alias("row_id"),
+        (c("frame_idx") % seen).alias("frame_idx"), "det_id", (c("frame_idx") * 8 + c("det_id") % 8).alias("row_id"),
         (c("x") % 8).alias("x"), (c("y") % 8).alias("y"), (1.0 + c("w") % 3).alias("w"), (1.0 + c("h") % 3).alias("h"), "discount",
     )
     sites = frames.select("site_id", "frame_idx")
@@ -201,7 +202,7 @@ def patches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 PATCH_SQL = """
 , patch AS (
-  SELECT frame_idx % 500 AS frame_idx, det_id, x % 8 AS x, y % 8 AS y, 1 + w % 3 AS w, 1 + h % 3 AS h FROM boxes
+  SELECT frame_idx % (SELECT count(*) FROM embeddings) AS frame_idx, det_id, x % 8 AS x, y % 8 AS y, 1 + w % 3 AS w, 1 + h % 3 AS h FROM boxes
 ), area AS (
   SELECT DISTINCT f.site_id, p.frame_idx, det_id, greatest(0, x - 0)::BIGINT AS x0, greatest(0, y - 0)::BIGINT AS y0, least(8, x + w)::BIGINT AS x1, least(8, y + h)::BIGINT AS y1
   FROM patch p JOIN cell_frames f ON f.frame_idx = p.frame_idx

@@ -556,8 +556,8 @@ def accept_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.add(
     "optical_box_novelty",
     "WITH RECURSIVE " + CELLS_SQL + OPTICAL_SQL + """
-, box AS (SELECT l_partkey * 100 + l_linenumber AS box_id, l_orderkey % 500 AS frame_idx, l_partkey % 200 AS x, l_suppkey % 200 AS y, 10 + l_linenumber * 9 AS w, 40 AS h,
-          row_number() OVER (PARTITION BY l_partkey * 100 + l_linenumber, l_orderkey % 500 ORDER BY l_orderkey) AS r FROM lineitem
+, box AS (SELECT l_partkey * 100 + l_linenumber AS box_id, l_orderkey % (SELECT count(*) FROM embeddings) AS frame_idx, l_partkey % 200 AS x, l_suppkey % 200 AS y, 10 + l_linenumber * 9 AS w, 40 AS h,
+          row_number() OVER (PARTITION BY l_partkey * 100 + l_linenumber, l_orderkey % (SELECT count(*) FROM embeddings) ORDER BY l_orderkey) AS r FROM lineitem
 ), seen AS (
   SELECT w.site_id, b.frame_idx, b.box_id, max(w.z) AS peak_z, count(*) FILTER (p >= 1) AS settled
   FROM (SELECT DISTINCT box_id, frame_idx, x, y, w, h FROM box) b JOIN walk w ON w.frame_idx = b.frame_idx AND w.i > 0
@@ -572,8 +572,9 @@ def optical_box_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
     from perimetra.sources.adapters import table
 
     c = F.col
+    seen = table(spark, sf_dir, "embeddings").count()
     b = table(spark, sf_dir, "lineitem").select(
-        (c("l_partkey") * 100 + c("l_linenumber")).alias("box_id"), (c("l_orderkey") % 500).alias("frame_idx"), (c("l_partkey") % 200).alias("x"),
+        (c("l_partkey") * 100 + c("l_linenumber")).alias("box_id"), (c("l_orderkey") % seen).alias("frame_idx"), (c("l_partkey") % 200).alias("x"),
         (c("l_suppkey") % 200).alias("y"), (10 + c("l_linenumber") * 9).alias("w"), F.lit(40).alias("h"),
     ).distinct()
     sites = cell_frames(spark, sf_dir).select("site_id", "frame_idx")

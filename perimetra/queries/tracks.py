@@ -179,13 +179,13 @@ def contact_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     "rolling_cost",
     "WITH " + assessments_sql() + """
 SELECT site_id, key, frame_idx,
-       round(avg(threat) OVER (PARTITION BY site_id, key ORDER BY frame_idx ROWS BETWEEN 29 PRECEDING AND CURRENT ROW), 6) AS mean30
-FROM assessments""",
+       sum(round(threat * 1000000)::BIGINT) OVER w::DOUBLE / count(threat) OVER w / 1e6 AS mean30
+FROM assessments WINDOW w AS (PARTITION BY site_id, key ORDER BY frame_idx ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)""",
 )
 def rolling_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = assessments(spark, sf_dir)
     r = tracks.rolling_mean(rows, ["site_id", "key"], "frame_idx", "threat", "mean30", span=chunk_span(rows))
-    return r.select("site_id", "key", "frame_idx", F.round("mean30", 6).alias("mean30"))
+    return r.select("site_id", "key", "frame_idx", "mean30")
 
 
 @REGISTRY.add(

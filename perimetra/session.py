@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -18,3 +23,18 @@ def configured(builder: SparkSession.Builder) -> SparkSession.Builder:
     for k, v in SETTINGS.items():
         builder = builder.config(k, v)
     return builder
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once a session: functions are found there by name, wherever the session was started."""
+    sc = spark.sparkContext
+    if getattr(sc, "_perimetra_sent", False):
+        return
+    top = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="perimetra-")
+    target = os.path.join(folder, "perimetra.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
+        for path in sorted(top.rglob("*.py")):
+            out.write(path, path.relative_to(top.parent))
+    sc.addPyFile(target)
+    sc._perimetra_sent = True

@@ -134,7 +134,7 @@ def _names(schema: str) -> list[str]:
 
 ALERTS = (
     "site_id long, key string, opened_frame long, opened_us long, updated_us long, closed_us long, frames long, peak_threat double, "
-    "threat double, label string, dwell_s double, acked boolean"
+    "threat double, label string, dwell_s double, acked boolean, cleared boolean"
 )
 
 

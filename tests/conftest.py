@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from perimetra.session import configured  # noqa: E402
+from perimetra.session import configured, ship  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,6 +22,7 @@ def spark():
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
+    ship(s)
     yield s
     s.stop()
 

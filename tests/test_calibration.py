@@ -70,3 +70,15 @@ def test_settled_pairs_count_once(spark):
 def test_same_place_gives_no_new_sample(spark):
     d = spark.createDataFrame([(1, 1, 5.0, 5.0), (1, 2, 6.0, 5.0), (1, 3, 40.0, 5.0)], "site_id long, tick long, cx double, cy double")
     assert sorted(r.tick for r in calibration.fresh_samples(d).collect()) == [1, 3]
+
+
+def test_slow_movers_are_compared_with_the_last_sample_taken(spark):
+    apart = Rig().dedupe_px
+    d = spark.createDataFrame([(1, t, float(t), 5.0) for t in range(1, 31)], "site_id long, tick long, cx double, cy double")
+    want, last = [], None
+    for t in range(1, 31):
+        if last is None or t - last >= apart:
+            want.append(t)
+            last = t
+    assert len(want) > 2
+    assert sorted(r.tick for r in calibration.fresh_samples(d).collect()) == want

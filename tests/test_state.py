@@ -72,7 +72,8 @@ def test_operator_actions(spark):
     rows += [(1, "k", 21, 21 * 40_000, None, None, None, "ack"), (1, "k", 31, 31 * 40_000, None, None, None, "clear")]
     clock = spark.createDataFrame([(1, f, f * 40_000) for f in range(60)], "site_id long, frame_idx long, t_us long")
     df = spark.createDataFrame(rows, A + ", action string")
-    assert alerts.alert_intervals(df, clock, Alerting(open_after=8)).collect() == []
+    gone = alerts.alert_intervals(df, clock, Alerting(open_after=8)).collect()
+    assert [(r.opened_us, r.closed_us, r.cleared, r.acked) for r in gone] == [(14 * 40_000, 31 * 40_000, True, True)]
     kept = alerts.alert_intervals(df.filter("action IS NULL OR action = 'ack'"), clock, Alerting(open_after=8)).collect()
     assert [r.acked for r in kept] == [True]
 

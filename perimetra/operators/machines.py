@@ -60,14 +60,20 @@ class AlertLife(Machine):
                 self.open = {
                     "opened_frame": int(c["frame_idx"][i]), "opened_us": t, "closed_us": None, "frames": 2, "peak_threat": 0.0, "acked": False, "cleared": False,
                 }
+            new = self.open is not None and "updated_us" not in self.open
             if self.open is not None:
                 self.open["updated_us"] = int(c["t_us"][i])
                 self.open["threat"] = float(c["threat"][i])
                 self.open["peak_threat"] = max(self.open["peak_threat"], float(c["threat"][i]))
                 self.open["label"] = c["label"][i]
                 self.open["dwell_s"] = float(c["dwell_s"][i])
+            if new:
+                self.opened(self.open)
         return self.records(done)
 
+    def opened(self, alert: dict) -> None:
+        """Called with each alert on the row that opens it."""
+
     def close(self) -> dict | None:
         left, self.open = ([self.open] if self.open is not None else []), None
         return self.records(left)
@@ -76,6 +82,28 @@ class AlertLife(Machine):
         return {f: [r[f] for r in rows] for f in self.FIELDS} if rows else None
 
 
+class LiveAlerts(AlertLife):
+    """The same life as it is told while it lasts: records of the kinds open, update (once for each feed) and close."""
+
+    FIELDS = (*AlertLife.FIELDS, "event", "at_us")
+
+    def __init__(self, p: Alerting = ALERTING):
+        super().__init__(p)
+        self.told: list[dict] = []
+
+    def opened(self, alert: dict) -> None:
+        self.told.append({**alert, "event": "open", "at_us": alert["opened_us"]})
+
+    def records(self, rows: list[dict]) -> dict | None:
+        lasting = self.open is not None and all(t["opened_us"] != self.open["opened_us"] for t in self.told)
+        told = self.told + [{**r, "event": "close", "at_us": r["closed_us"]} for r in rows]
+        if lasting:
+            told.append({**self.open, "event": "update", "at_us": self.open["updated_us"]})
+        self.told = []
+        told.sort(key=lambda r: r["at_us"])
+        return {f: [r[f] for r in told] for f in self.FIELDS} if told else None
+
+
 class Dwell(Machine):
     """Time inside a small circle; leaving it moves the anchor and starts again one update later."""
 

@@ -23,6 +23,11 @@ def append_alert_log(events: DataFrame, path: str) -> None:
     events.withColumn("day", day).write.mode("append").partitionBy("day").json(path)
 
 
+def write_alert_batch(events: DataFrame, path: str, batch_id: int) -> None:
+    """Put the records of one micro-batch into its folder, whatever was there before."""
+    events.write.mode("overwrite").json(f"{path}/batch_id={batch_id}")
+
+
 def read_alert_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 

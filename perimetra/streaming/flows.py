@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from perimetra.params import FUSION, SENSOR, Fusion, Sensor
-from perimetra.sources.stores import append_alert_log
+from perimetra.sources.stores import write_alert_batch
 from perimetra.streaming.keyed import WATERMARK
 
 
@@ -45,11 +45,10 @@ def feed_rate(arrivals: DataFrame, every: str = "2 seconds") -> DataFrame:
     )
 
 
-def log_alerts(finished: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append the open and close record of every finished alert; a replayed batch is written again only if it had not been."""
-    from perimetra.operators.alerts import alert_events
+def log_alerts(alerts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Write the open and close records of ``keyed.alerts`` as they come, in one folder per micro-batch: a replayed batch replaces its own."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        append_alert_log(alert_events(batch).withColumn("batch_id", F.lit(batch_id)), path)
+        write_alert_batch(batch.filter(F.col("event") != "update"), path, batch_id)
 
-    return finished.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return alerts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

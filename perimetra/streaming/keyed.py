@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from perimetra.operators.machines import Admission, AlertLife, Dwell, HeldNames, Machine, NumberBoard, Tracker
+from perimetra.operators.machines import Admission, Dwell, HeldNames, LiveAlerts, Machine, NumberBoard, Tracker
 from perimetra.operators.blobs import BLOB, MotionDetector
 from perimetra.operators.site import ThermalLearner
 from perimetra.params import (
@@ -32,21 +32,23 @@ WATERMARK = "10 seconds"
 STATE = "machine binary, last long"
 
 
-def _columns(rows: Iterator[pd.DataFrame], order: list[str]) -> dict:
-    pdf = pd.concat(list(rows), ignore_index=True).sort_values(order, kind="stable")
-    return {c: pdf[c].to_numpy() for c in pdf.columns}
-
-
 class MachineStream(StatefulProcessor):
-    """Feeds each key's machine in order; a key silent for ``ttl_s`` of event time is closed and dropped."""
+    """Feeds each key's machine in order.
+
+    Rows wait in state until the watermark has passed them, then go to the machine sorted: a frame that comes in parts, or rows that
+    come out of order within the watermark's delay, give what the batch gives. Rows later than that are dropped by the engine,
+    which counts them in the query's progress. With ``ttl_s`` a key silent for that much event time is closed and its machine dropped; with
+    None the machine is kept for good, as for learned models, backgrounds and track numbers.
+    """
 
-    def __init__(self, keys: list[str], order: list[str], factory: Callable[[], Machine], names: list[str], time: str, ttl_s: float):
+    def __init__(self, keys: list[str], order: list[str], factory: Callable[[], Machine], names: list[str], event_time: str, ttl_s: float | None):
         self.keys, self.order, self.factory, self.names = keys, order, factory, names
-        self.time, self.ttl_s = time, ttl_s
+        self.event_time, self.ttl_s = event_time, ttl_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("machine", STATE)
+        self.waiting = handle.getListState("waiting", "rows binary")
 
     def _load(self) -> tuple[Machine, int | None]:
         if not self.state.exists():
@@ -62,34 +64,46 @@ class MachineStream(StatefulProcessor):
             pdf[name] = value
         yield pdf[self.names]
 
+    def _micros(self, rows: pd.DataFrame) -> np.ndarray:
+        return rows[self.event_time].to_numpy(dtype="datetime64[us]").astype(np.int64)
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows), ignore_index=True)
+        self.waiting.appendValue((pickle.dumps(new),))
+        self.handle.registerTimer(int(self._micros(new).min()) // 1000)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
         machine, last = self._load()
-        cols = _columns(rows, self.order)
-        lead = cols[self.order[0]]
-        if last is not None:
-            fresh = lead > last
-            cols = {c: v[fresh] for c, v in cols.items()}
-            lead = cols[self.order[0]]
-        if len(lead) == 0:
+        parts = [pickle.loads(bytes(r[0])) for r in self.waiting.get()] if self.waiting.exists() else []
+        if parts:
+            rows = pd.concat(parts, ignore_index=True)
+            at = self._micros(rows)
+            ready = at <= now * 1000
+            if ready.any():
+                due = rows[ready].sort_values(self.order, kind="stable")
+                yield from self._frame(key, self.step(machine, {c: due[c].to_numpy() for c in due.columns}))
+                last = int(at[ready].max()) // 1000
+                self.waiting.clear()
+                if not ready.all():
+                    self.waiting.appendValue((pickle.dumps(rows[~ready]),))
+            if not ready.all():
+                self.handle.registerTimer(int(at[~ready].min()) // 1000)
+        if last is None:
+            return
+        if self.ttl_s is not None and last + self.ttl_s * 1000 < now:
+            yield from self._frame(key, self.expire(machine))
+            self.state.clear()
             return
-        yield from self._frame(key, self.step(machine, cols))
-        self.state.update((pickle.dumps(machine), int(lead[-1])))
-        self.arm(machine, int(cols[self.time][-1]) // 1000)
+        self.state.update((pickle.dumps(machine), last))
+        if self.ttl_s is not None:
+            self.handle.registerTimer(last + int(self.ttl_s * 1000) + 1)
 
     def step(self, machine: Machine, cols: dict) -> dict | None:
         return machine.feed(cols)
 
-    def arm(self, machine: Machine, now_ms: int) -> None:
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t[0] if isinstance(t, tuple) else t)
-        self.handle.registerTimer(now_ms + int(self.ttl_s * 1000))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        machine, _ = self._load()
-        yield from self._frame(key, self.expire(machine, expiredTimerInfo.getExpiryTimeInMs()))
-        self.state.clear()
-
-    def expire(self, machine: Machine, at_ms: int) -> dict | None:
+    def expire(self, machine: Machine) -> dict | None:
         return machine.close()
 
     def close(self) -> None:
@@ -103,7 +117,7 @@ class AlertStream(MachineStream):
         super().__init__(*args)
         self.p = p
 
-    def step(self, machine: AlertLife, cols: dict) -> dict | None:
+    def step(self, machine: LiveAlerts, cols: dict) -> dict | None:
         gap = int(self.p.close_after_s * 1e6)
         seen = getattr(machine, "seen_us", None)
         closed = np.full(len(cols["t_us"]), np.nan)
@@ -115,7 +129,7 @@ class AlertStream(MachineStream):
         machine.seen_us = seen
         return machine.feed({**cols, "threat": cols["threat"].astype(float), "closed_us": closed})
 
-    def expire(self, machine: AlertLife, at_ms: int) -> dict | None:
+    def expire(self, machine: LiveAlerts) -> dict | None:
         if machine.open is not None:
             machine.open["closed_us"] = machine.open["updated_us"] + int(self.p.close_after_s * 1e6)
         return machine.close()
@@ -134,28 +148,29 @@ def _names(schema: str) -> list[str]:
 
 ALERTS = (
     "site_id long, key string, opened_frame long, opened_us long, updated_us long, closed_us long, frames long, peak_threat double, "
-    "threat double, label string, dwell_s double, acked boolean, cleared boolean"
+    "threat double, label string, dwell_s double, acked boolean, cleared boolean, event string, at_us long"
 )
 
 
 def alerts(assessed: DataFrame, p: Alerting = ALERTING, event_time: str = "ts") -> DataFrame:
-    """Finished alerts of ``assessed(site_id, key, frame_idx, t_us, ts, threat, label, dwell_s)``."""
+    """Alerts of ``assessed(site_id, key, frame_idx, t_us, ts, threat, label, dwell_s)`` as they live: a record when one opens, one for each
+    later batch that it lasts, and one when it closes."""
     keys = ["site_id", "key"]
-    proc = AlertStream(p, keys, ["frame_idx"], lambda: AlertLife(p), _names(ALERTS), "t_us", p.close_after_s)
+    proc = AlertStream(p, keys, ["frame_idx"], lambda: LiveAlerts(p), _names(ALERTS), event_time, p.close_after_s)
     return _run(assessed, keys, ALERTS, proc, event_time)
 
 
 def dwell(tracks: DataFrame, p: Fusion = FUSION, ttl_s: float = 60.0, event_time: str = "ts") -> DataFrame:
     schema = "site_id long, track_id long, frame_idx long, dwell_s double"
     keys = ["site_id", "track_id"]
-    return _run(tracks, keys, schema, MachineStream(keys, ["frame_idx"], lambda: Dwell(p), _names(schema), "t_us", ttl_s), event_time)
+    return _run(tracks, keys, schema, MachineStream(keys, ["frame_idx"], lambda: Dwell(p), _names(schema), event_time, ttl_s), event_time)
 
 
-def tracked(dets: DataFrame, p: Tracking = TRACKING, ttl_s: float = 60.0, event_time: str = "ts") -> DataFrame:
-    """Track numbers of ``dets(site_id, frame_idx, t_us, ts, det_id, cx, cy, size_rank)``; a frame arrives in one batch."""
+def tracked(dets: DataFrame, p: Tracking = TRACKING, event_time: str = "ts") -> DataFrame:
+    """Track numbers of ``dets(site_id, frame_idx, t_us, ts, det_id, cx, cy, size_rank)``; a number is never given twice at a site."""
     schema = "site_id long, frame_idx long, det_id long, track_no long"
     keys = ["site_id"]
-    proc = MachineStream(keys, ["frame_idx", "size_rank", "det_id"], lambda: Tracker(p), _names(schema), "t_us", ttl_s)
+    proc = MachineStream(keys, ["frame_idx", "size_rank", "det_id"], lambda: Tracker(p), _names(schema), event_time, None)
     return _run(dets, keys, schema, proc, event_time)
 
 
@@ -168,32 +183,32 @@ def admitted(candidates: DataFrame, p: Escalate = ESCALATE, event_time: str = "t
         def step(self, machine: Machine, cols: dict) -> dict | None:
             return machine.feed({**cols, "key": cols["object_key"]})
 
-    proc = Ask(keys, ["frame_idx", "object_key"], lambda: Admission(p), _names(schema), "t_us", p.cooldown_s)
+    proc = Ask(keys, ["frame_idx", "object_key"], lambda: Admission(p), _names(schema), event_time, p.cooldown_s)
     return _run(source, keys, schema, proc, event_time)
 
 
 def object_numbers(assessed: DataFrame, p: Alerting = ALERTING, event_time: str = "ts") -> DataFrame:
-    """Number of every object in every frame; a frame of a site arrives in one batch."""
+    """Number of every object in every frame."""
     schema = "site_id long, object_key string, frame_idx long, number long"
     source = assessed.withColumnRenamed("key", "object_key")
-    proc = MachineStream(["site_id"], ["frame_idx", "object_key"], lambda: NumberBoard(p), _names(schema), "t_us", p.forget_number_s)
+    proc = MachineStream(["site_id"], ["frame_idx", "object_key"], lambda: NumberBoard(p), _names(schema), event_time, p.forget_number_s)
     return _run(source, ["site_id"], schema, proc, event_time)
 
 
-def learned_site(frames: DataFrame, p: ThermalSite = THERMAL_SITE, ttl_s: float = 3600.0, event_time: str = "ts") -> DataFrame:
-    """Read and learn ``frames(site_id, frame_idx, t_us, ts, rel)`` as they arrive."""
+def learned_site(frames: DataFrame, p: ThermalSite = THERMAL_SITE, event_time: str = "ts") -> DataFrame:
+    """Read and learn ``frames(site_id, frame_idx, t_us, ts, rel)`` as they arrive; what a site has learned outlives any silence."""
     schema = "site_id long, frame_idx long, z array<double>, dev array<double>, persist array<long>, suppressed boolean"
     keys = ["site_id"]
-    return _run(frames, keys, schema, MachineStream(keys, ["frame_idx"], lambda: ThermalLearner(p), _names(schema), "t_us", ttl_s), event_time)
+    return _run(frames, keys, schema, MachineStream(keys, ["frame_idx"], lambda: ThermalLearner(p), _names(schema), event_time, None), event_time)
 
 
 def detected(
-    frames: DataFrame, rows: int, cols: int, optical: bool = False, p: Detect = DETECT, ttl_s: float = 60.0, event_time: str = "ts"
+    frames: DataFrame, rows: int, cols: int, optical: bool = False, p: Detect = DETECT, event_time: str = "ts"
 ) -> DataFrame:
     """Blobs of ``frames(site_id, frame_idx, t_us, ts, values)`` against a background kept per site."""
     schema = f"site_id long, frame_idx long, blobs array<{BLOB}>, noise double, threshold double"
     keys, names = ["site_id"], ["site_id", "frame_idx", "blobs", "noise", "threshold"]
-    proc = MachineStream(keys, ["frame_idx"], lambda: MotionDetector(rows, cols, optical, p), names, "t_us", ttl_s)
+    proc = MachineStream(keys, ["frame_idx"], lambda: MotionDetector(rows, cols, optical, p), names, event_time, None)
     return _run(frames, keys, schema, proc, event_time)
 
 
@@ -203,4 +218,4 @@ def held_names(passes: DataFrame, p: Fusion = FUSION, event_time: str = "ts") ->
         "site_id long, model string, frame_idx long, label string, confidence double, x double, y double, w double, h double, seen_us long"
     )
     keys = ["site_id", "model"]
-    return _run(passes, keys, schema, MachineStream(keys, ["frame_idx"], lambda: HeldNames(p), _names(schema), "t_us", p.hold_s), event_time)
+    return _run(passes, keys, schema, MachineStream(keys, ["frame_idx"], lambda: HeldNames(p), _names(schema), event_time, p.hold_s), event_time)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from perimetra.operators import alerts, tracks
 from perimetra.params import Alerting, Tracking
+from perimetra.sources import stores
 from perimetra.streaming import flows, keyed
 
 
@@ -28,7 +29,17 @@ def as_stream(df, tmp_path, name, cuts):
     for i in range(cuts):
         part = df.filter((F.col("frame_idx") >= lo + i * step) & (F.col("frame_idx") < lo + (i + 1) * step))
         part.coalesce(1).write.mode("append").parquet(path)
-    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return ticking(df, path)
+
+
+def ticking(df, path):
+    """The files at ``path`` as a stream, after which a row of another site moves the clock on, so that all rows before it are due."""
+    spark = df.sparkSession
+    end = df.agg(F.max("frame_idx") + 100_000, F.max("t_us") + 10**9).first()
+    tick = {"site_id": 99, "frame_idx": end[0], "t_us": end[1]}
+    row = spark.createDataFrame([tuple(tick.get(f.name) for f in df.schema if f.name != "ts")], ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema if f.name != "ts"))
+    row.withColumn("ts", F.timestamp_micros("t_us")).select(df.columns).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def test_alert_stream(spark, tmp_path):
@@ -47,8 +58,12 @@ def test_alert_stream(spark, tmp_path):
     clock = spark.createDataFrame([(1, f, f * 1_000_000) for f in range(1, 401)], "site_id long, frame_idx long, t_us long")
     want = sorted((r.key, r.opened_us, r.updated_us, r.closed_us, r.frames) for r in alerts.alert_intervals(df, clock, p, None, None).collect())
     stream = as_stream(df.withColumn("ts", F.timestamp_micros("t_us")), tmp_path, "assessed", 5)
-    got = sorted((r.key, r.opened_us, r.updated_us, r.closed_us, r.frames) for r in drain(keyed.alerts(stream, p), "alerts_out", tmp_path).collect())
-    assert got == want
+    told = drain(keyed.alerts(stream, p), "alerts_out", tmp_path).collect()
+    assert sorted((r.key, r.opened_us, r.updated_us, r.closed_us, r.frames) for r in told if r.event == "close") == want
+    # every alert was told when it opened, with what was known then
+    opened = sorted((r.key, r.opened_us, r.updated_us, r.closed_us, r.frames) for r in told if r.event == "open")
+    assert opened == sorted((k, o, o, None, 2) for k, o, *_ in want)
+    assert all(o <= r.at_us <= u for r in told if r.event == "update" for k, o, u, *_ in want if (k, o) == (r.key, r.opened_us))
 
 
 def test_dwell_and_track_streams(spark, tmp_path):
@@ -73,11 +88,36 @@ def test_dwell_and_track_streams(spark, tmp_path):
     assert {(r.track_id, r.frame_idx): r.dwell_s for r in got.collect()} == pytest.approx(want_dwell)
 
 
+def test_parts_of_frames_shuffled_rows_and_long_silence(spark, tmp_path):
+    rng = random.Random(10)
+    rows, det = [], 0
+    for f in [*range(1, 40), *range(200_000, 200_040)]:
+        for k in range(3):
+            rows.append((1, f, f * 40_000, det, 60.0 * k + rng.uniform(-0.5, 0.5), 20.0 + rng.uniform(-0.5, 0.5), 10.0 - k, k))
+            det += 1
+    schema = "site_id long, frame_idx long, t_us long, det_id long, cx double, cy double, area double, size_rank int"
+    df = spark.createDataFrame(rows, schema)
+    p = Tracking(max_step_px=10.0)
+    want = {r.det_id: r.track_id for r in alerts.tracked(df, p, None).collect()}
+    # another site keeps the clock going while this one is silent for over two hours; frames are cut in two and rows come shuffled
+    other = [(2, f, f * 40_000, 10_000 + f, 0.0, 0.0, 1.0, 0) for f in range(50, 200_000, 10_000)]
+    path = str(tmp_path / "parts")
+    early, late = [r for r in rows if r[1] < 100], [r for r in rows if r[1] > 100]
+    rng.shuffle(early)
+    rng.shuffle(late)
+    for part in (early[:50], early[50:], other, late[:70], late[70:]):
+        spark.createDataFrame(part, schema).withColumn("ts", F.timestamp_micros("t_us")).coalesce(1).write.mode("append").parquet(path)
+    stream = ticking(df.withColumn("ts", F.timestamp_micros("t_us")), path)
+    got = drain(keyed.tracked(stream, p), "parts_out", tmp_path).filter("site_id = 1").collect()
+    assert len(got) == len(rows)
+    assert {r.det_id: r.track_no for r in got} == want
+
+
 def test_contact_sessions_stream(spark, tmp_path):
     rows = [(1, "optical:1:1", f, f * 500_000) for f in [*range(1, 11), *range(30, 35), 200]]
     df = spark.createDataFrame(rows, "site_id long, key string, frame_idx long, t_us long").withColumn("ts", F.timestamp_micros("t_us"))
     got = drain(flows.contact_sessions(as_stream(df, tmp_path, "contacts", 2)), "contacts_out", tmp_path)
-    assert sorted((r.frames, r.dwell_s) for r in got.collect()) == [(5, 2.0), (10, 4.5)]
+    assert sorted((r.frames, r.dwell_s) for r in got.collect()) == [(1, 0.0), (5, 2.0), (10, 4.5)]
 
 
 def test_paired_stream(spark, tmp_path):
@@ -86,7 +126,7 @@ def test_paired_stream(spark, tmp_path):
         return as_stream(df.withColumn("ts", F.timestamp_micros("t_us")), tmp_path, name, 1)
 
     got = drain(flows.paired(feed(0, "opt"), feed(30_000, "thm")), "paired_out", tmp_path)
-    assert sorted((r.frame_idx, r.thermal_frame) for r in got.collect()) == [(f, f) for f in range(1, 51)]
+    assert sorted((r.frame_idx, r.thermal_frame) for r in got.filter("site_id = 1").collect()) == [(f, f) for f in range(1, 51)]
 
 
 def test_alert_log_sink(spark, tmp_path):
@@ -95,6 +135,11 @@ def test_alert_log_sink(spark, tmp_path):
     stream = as_stream(df.withColumn("ts", F.timestamp_micros("t_us")), tmp_path, "in", 2)
     flows.log_alerts(keyed.alerts(stream), str(tmp_path / "log"), str(tmp_path / "cp")).awaitTermination(90)
     assert sorted(r.event for r in spark.read.json(str(tmp_path / "log")).collect()) == ["close", "open"]
+    log = spark.read.json(str(tmp_path / "log"))
+    batch_id = log.first().batch_id
+    again = spark.createDataFrame(log.filter(F.col("batch_id") == batch_id).drop("batch_id").collect(), log.drop("batch_id").schema)
+    stores.write_alert_batch(again, str(tmp_path / "log"), batch_id)
+    assert spark.read.json(str(tmp_path / "log")).count() == 2
 
 
 def test_learning_and_detection_streams(spark, tmp_path):

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections import OrderedDict
 
 import numpy as np
 
@@ -150,31 +151,48 @@ class Numbers(Machine):
 
 
 class NumberBoard(Machine):
-    """Live numbers of one site: lowest free on first sight, given back after a long absence."""
+    """Live numbers of one site: lowest free on first sight, given back after a long absence.
+
+    Keys are kept in the order they were last seen, so those that stayed away stand in front.
+    """
 
     def __init__(self, p: Alerting = ALERTING):
-        self.p = p
-        self.number: dict[str, int] = {}
-        self.seen: dict[str, int] = {}
+        self.limit = p.forget_number_s * 1e6
+        self.holders: OrderedDict[str, tuple[int, int]] = OrderedDict()
+        self.free: list[int] = []
 
     def feed(self, c: dict) -> dict:
-        out, frame = [], None
-        for key, f, t in zip(c["object_key"], c["frame_idx"].tolist(), c["t_us"].tolist()):
-            if frame is not None and f != frame:
-                self._prune(now)
-            frame, now = f, t
-            self.seen[key] = t
-            if key not in self.number:
-                taken = set(self.number.values())
-                self.number[key] = next(n for n in range(1, len(taken) + 2) if n not in taken)
-            out.append(self.number[key])
-        if frame is not None:
-            self._prune(now)
-        return {"object_key": list(c["object_key"]), "frame_idx": c["frame_idx"], "number": np.asarray(out, np.int64)}
-
-    def _prune(self, now: int) -> None:
-        for key in [k for k, t in self.seen.items() if now - t > self.p.forget_number_s * 1e6]:
-            del self.seen[key], self.number[key]
+        frames, times, keys = c["frame_idx"], c["t_us"].tolist(), list(c["object_key"])
+        ends = [*(np.flatnonzero(np.diff(frames)) + 1).tolist(), len(keys)]
+        numbers = np.zeros(len(keys), np.int64)
+        begin = 0
+        for end in ends:
+            for i in range(begin, end):
+                numbers[i] = self._number(keys[i], times[i])
+            if end > begin:
+                self._release(times[end - 1])
+            begin = end
+        return {"object_key": keys, "frame_idx": frames, "number": numbers}
+
+    def _number(self, key: str, now: int) -> int:
+        if key in self.holders:
+            n = self.holders[key][0]
+        else:
+            n = heapq.heappop(self.free) if self.free else len(self.holders) + 1
+        self.holders[key] = (n, now)
+        self.holders.move_to_end(key)
+        return n
+
+    def _release(self, now: int) -> None:
+        while self.holders:
+            n, seen = next(iter(self.holders.values()))
+            if now - seen <= self.limit:
+                break
+            self.holders.popitem(last=False)
+            heapq.heappush(self.free, n)
+        # with no holder above it, a free number is the next to be minted anyway
+        if not self.holders:
+            self.free = []
 
 
 class Admission(Machine):
@@ -197,37 +215,46 @@ class Admission(Machine):
 
 
 class HeldNames(Machine):
-    """Names stay for a while after a pass that did not repeat them; a repeat refreshes its box."""
+    """Names stay for a while after a pass that did not repeat them; a repeat refreshes its box.
+
+    Boxes are held by label: one array of ``x, y, w, h, confidence, seen, turn`` for each, where ``turn`` tells which came first.
+    """
 
     def __init__(self, p: Fusion = FUSION):
         self.p = p
-        self.held: list[list] = []
+        self.boxes: dict[str, np.ndarray] = {}
+        self.turn = 0
 
-    @staticmethod
-    def _same(a: tuple, b: tuple, share: float) -> bool:
-        dx = max(0.0, min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0]))
-        dy = max(0.0, min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1]))
-        return dx * dy >= share * min(a[2] * a[3], b[2] * b[3])
+    def _repeats(self, held: np.ndarray, box: np.ndarray) -> np.ndarray:
+        """Which held boxes the new one covers, or is covered by, for the most part."""
+        over = np.minimum(held[:, :2] + held[:, 2:4], box[:2] + box[2:4]) - np.maximum(held[:, :2], box[:2])
+        shared = np.clip(over, 0.0, None).prod(axis=1)
+        return np.flatnonzero(shared >= self.p.held_cover * np.minimum(held[:, 2:4].prod(axis=1), box[2:4].prod()))
 
     def feed(self, c: dict) -> dict:
         """One row is one pass: ``found`` lists its recognitions as (label, confidence, x, y, w, h)."""
-        frames, rows = [], []
-        for frame, t, found in zip(c["frame_idx"].tolist(), c["t_us"].tolist(), c["found"]):
-            keep = [h for h in self.held if t - h[1] <= self.p.hold_s * 1e6]
-            for f in found:
-                r = (f["label"], float(f["confidence"]), float(f["x"]), float(f["y"]), float(f["w"]), float(f["h"]))
-                old = next((h for h in keep if h[0][0] == r[0] and self._same(h[0][2:], r[2:], self.p.held_cover)), None)
-                if old is None:
-                    keep.append([r, t])
-                else:
-                    old[0], old[1] = r, t
-            self.held = keep
-            for r, seen in sorted(keep, key=lambda h: -h[0][1]):
-                frames.append(frame)
-                rows.append((*r, seen))
         names = ("label", "confidence", "x", "y", "w", "h", "seen_us")
-        cols = list(zip(*rows)) if rows else [[] for _ in names]
-        return {"frame_idx": np.asarray(frames, np.int64), **{n: list(v) for n, v in zip(names, cols)}}
+        out: dict = {n: [] for n in ("frame_idx", *names)}
+        for frame, now, found in zip(c["frame_idx"].tolist(), c["t_us"].tolist(), c["found"]):
+            fresh = {k: v[now - v[:, 5] <= self.p.hold_s * 1e6] for k, v in self.boxes.items()}
+            self.boxes = {k: v for k, v in fresh.items() if len(v)}
+            for f in found:
+                self._take(f["label"], np.array([f[n] for n in ("x", "y", "w", "h", "confidence")], float), now)
+            held = [(-row[4], row[6], label, row) for label, rows in self.boxes.items() for row in rows]
+            for _, _, label, row in sorted(held, key=lambda h: h[:2]):
+                for name, value in zip(("frame_idx", *names), (frame, label, row[4], *row[:4], int(row[5]))):
+                    out[name].append(value)
+        return {**out, "frame_idx": np.asarray(out["frame_idx"], np.int64)}
+
+    def _take(self, label: str, box: np.ndarray, now: int) -> None:
+        held = self.boxes.get(label, np.zeros((0, 7)))
+        again = self._repeats(held, box)
+        if len(again):
+            held[again[0], :6] = [*box, now]
+        else:
+            held = np.vstack([held, [*box, now, self.turn]])
+            self.turn += 1
+        self.boxes[label] = held
 
 
 class RegionNames(Machine):

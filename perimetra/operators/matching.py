@@ -178,23 +178,18 @@ def _in_rounds(left: DataFrame, right: DataFrame, keys: list[str], closest_first
     return reduce(DataFrame.unionByName, fixed)
 
 
-def box_groups(boxes: DataFrame, gap: int, keys: Sequence[str] = ("site_id", "frame_idx"), limit: int = FRAME_LIMIT) -> DataFrame:
-    """Add ``group``: boxes closer than ``gap`` share one, chains included (named by the least ``det_id``)."""
-    keys = list(keys)
-    big = oversized([boxes], keys, limit)
-    if big is None:
-        return _group_in_one_row(boxes, gap, keys)
-    small = _group_in_one_row(boxes.join(big, keys, "left_anti"), gap, keys)
-    return small.unionByName(_group_in_rounds(boxes.join(big, keys, "left_semi"), gap, keys))
-
+def box_groups(boxes: DataFrame, gap: float, keys: Sequence[str] = ("site_id", "frame_idx")) -> DataFrame:
+    """Add ``group``: boxes closer than ``gap`` share one, chains included (named by the least ``det_id``).
 
-def _group_in_one_row(boxes: DataFrame, gap: int, keys: list[str]) -> DataFrame:
+    A frame is one row, bounded by the pixels of its sensor; inside it boxes meet only those that reach their columns.
+    """
+    keys = list(keys)
     rest = [c for c in boxes.columns if c not in keys]
     frames = boxes.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("det_id", *[c for c in rest if c != "det_id"]))).alias("_b"))
 
     @F.pandas_udf("array<int>")
     def leaders(x: pd.Series, y: pd.Series, w: pd.Series, h: pd.Series) -> pd.Series:
-        return pd.Series([_leader(np.asarray(a), np.asarray(b), np.asarray(c), np.asarray(d), gap) for a, b, c, d in zip(x, y, w, h)])
+        return pd.Series([_leader(*(np.asarray(v, float) for v in box), gap) for box in zip(x, y, w, h)])
 
     lone = F.size("_b") == 1
     single = frames.filter(lone).withColumn("_i", F.array(F.lit(0)))
@@ -206,38 +201,24 @@ def _group_in_one_row(boxes: DataFrame, gap: int, keys: list[str]) -> DataFrame:
 
 def _leader(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray, gap: float) -> list[int]:
     """Index of the first box of each box's chain."""
-    x1, y1 = x + w + gap, y + h + gap
-    label = np.full(len(x), -1)
+    order = np.argsort(x, kind="stable")
+    x, y = x[order], y[order]
+    x1, y1 = x + w[order] + gap, y + h[order] + gap
+    # those that can touch a box start between its right edge and the widest box's width before its left one
+    lo, hi = np.searchsorted(x, x - (x1 - x).max(), side="left"), np.searchsorted(x, x1, side="right")
+    chain = np.full(len(x), -1)
     for first in range(len(x)):
-        if label[first] >= 0:
+        if chain[first] >= 0:
             continue
-        label[first], reach = first, [first]
+        chain[first], reach = first, [first]
         while reach:
             i = reach.pop()
-            near = np.flatnonzero((label < 0) & (x <= x1[i]) & (x[i] <= x1) & (y <= y1[i]) & (y[i] <= y1))
-            label[near] = first
+            part = slice(lo[i], hi[i])
+            near = lo[i] + np.flatnonzero((chain[part] < 0) & (x[i] <= x1[part]) & (y[part] <= y1[i]) & (y[i] <= y1[part]))
+            chain[near] = first
             reach.extend(near.tolist())
-    return label.tolist()
-
-
-def _group_in_rounds(boxes: DataFrame, gap: int, keys: list[str]) -> DataFrame:
-    """Boxes grown by ``gap`` on two sides touch exactly when they share a pixel: pass labels
-    through pixels until nothing changes. Work grows with box area, never with pairs."""
-    spots = boxes.select(
-        *keys,
-        "det_id",
-        F.explode(F.sequence(F.col("x").cast("int"), (F.col("x") + F.col("w")).cast("int") + gap)).alias("px"),
-        (F.col("y").cast("int")).alias("_y0"),
-        ((F.col("y") + F.col("h")).cast("int") + gap).alias("_y1"),
-    ).select(*keys, "det_id", "px", F.explode(F.sequence("_y0", "_y1")).alias("py"))
-    spots = settled(spots)
-    labels = settled(boxes.select(*keys, "det_id", F.col("det_id").alias("group")))
-    while True:
-        at = spots.join(labels, [*keys, "det_id"])
-        pixel = at.groupBy(*keys, "px", "py").agg(F.min("group").alias("_low"))
-        passed = spots.join(pixel, [*keys, "px", "py"]).groupBy(*keys, "det_id").agg(F.min("_low").alias("_next"))
-        step = settled(labels.join(passed, [*keys, "det_id"]).withColumn("_moved", F.col("_next") < F.col("group")))
-        if step.filter("_moved").isEmpty():
-            break
-        labels = step.select(*keys, "det_id", F.col("_next").alias("group"))
-    return boxes.join(labels, [*keys, "det_id"])
+    least = np.full(len(x), len(x))
+    np.minimum.at(least, chain, order)
+    out = np.empty(len(x), np.int64)
+    out[order] = least[chain]
+    return out.tolist()

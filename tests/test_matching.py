@@ -52,12 +52,13 @@ def test_matching(spark, fast, limit, nearest_first):
     assert {(r.frame_idx, r.l_id, r.r_id) for r in got.collect()} == (closest if nearest_first else in_turn)(left, right)
 
 
-@pytest.mark.parametrize("limit", [4096, 3])
-def test_box_groups(spark, limit):
+@pytest.mark.parametrize("grain", [1.0, 0.1])
+def test_box_groups(spark, grain):
     rng = random.Random(4)
-    data = [(1, f, i, float(rng.randint(0, 150)), float(rng.randint(0, 150)), float(rng.randint(2, 12)), float(rng.randint(2, 12))) for f in range(2) for i in range(30)]
+    part = lambda lo, hi: rng.randint(int(lo / grain), int(hi / grain)) * grain
+    data = [(1, f, i, part(0, 150), part(0, 150), part(2, 12), part(2, 12)) for f in range(2) for i in range(30)]
     df = spark.createDataFrame(data, "site_id long, frame_idx long, det_id long, x double, y double, w double, h double")
-    got = {(r.frame_idx, r.det_id): r.group for r in box_groups(df, 6, limit=limit).collect()}
+    got = {(r.frame_idx, r.det_id): r.group for r in box_groups(df, 6).collect()}
     for f in range(2):
         boxes = [b for b in data if b[1] == f]
         label = {b[2]: b[2] for b in boxes}
@@ -84,3 +85,9 @@ def test_fragments_join_only_into_plausible_objects(spark):
     df = spark.createDataFrame(data, "site_id long, frame_idx long, det_id long, x double, y double, w double, h double, cx double, cy double, area double")
     got = sorted((r.frame_idx, r.det_id, r.w, r.area, r.fragments) for r in blobs.merged_fragments(df, 256, 192).collect())
     assert got == [(1, 1, 23.0, 110.0, 2), (1, 3, 8.0, 40.0, 1), (2, 1, 60.0, 300.0, 1), (2, 2, 60.0, 300.0, 1)]
+
+
+def test_box_groups_on_parts_of_pixels(spark):
+    rows = [(1, 1, 1, 0.0, 0.0, 1.5, 1.0), (1, 1, 2, 7.9, 0.0, 1.0, 1.0), (1, 2, 1, 0.0, 0.0, 1.5, 1.0), (1, 2, 2, 7.5, 0.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "site_id long, frame_idx long, det_id long, x double, y double, w double, h double")
+    assert {(r.frame_idx, r.det_id): r.group for r in box_groups(df, 6).collect()} == {(1, 1): 1, (1, 2): 2, (2, 1): 1, (2, 2): 1}

@@ -35,8 +35,7 @@ def both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int |
     return a, a.select("site_id", "frame_idx", "t_us"), chunk_span(a)
 
 
-@REGISTRY.add(
-    "alert_intervals",
+INTERVALS_SQL = (
     "WITH RECURSIVE " + assessments_sql() + ABSENCE_SQL.format(gap=43200000000) + """
 , placed AS (SELECT *, row_number() OVER (PARTITION BY site_id, key ORDER BY frame_idx) AS i FROM away
 ), walk AS (
@@ -67,8 +66,11 @@ def both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int |
 SELECT site_id, key, was_frame AS opened_frame, was_opened AS opened_us, was_updated AS updated_us, shut_us AS closed_us, was_frames AS frames, round(was_peak, 6) AS peak_threat
 FROM walk WHERE shut_us IS NOT NULL
 UNION ALL
-SELECT site_id, key, opened_frame, opened_us, updated_us, NULL, frames, round(peak, 6) FROM walk JOIN last USING (site_id, key, i) WHERE opened_us IS NOT NULL""",
+SELECT site_id, key, opened_frame, opened_us, updated_us, NULL, frames, round(peak, 6) FROM walk JOIN last USING (site_id, key, i) WHERE opened_us IS NOT NULL"""
 )
+
+
+@REGISTRY.add("alert_intervals", INTERVALS_SQL)
 def alert_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, clock, span = both(spark, sf_dir)
     out = alerts.alert_intervals(a, clock, HOURS, span, None if span is None else alerts.DAY_US)
@@ -77,11 +79,18 @@ def alert_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@REGISTRY.add("alert_events")
+@REGISTRY.add(
+    "alert_events",
+    f"""
+WITH alert AS ({INTERVALS_SQL})
+SELECT site_id, key, 'open' AS event, opened_us AS at_us, opened_us, frames, peak_threat FROM alert
+UNION ALL SELECT site_id, key, 'close', closed_us, opened_us, frames, peak_threat FROM alert WHERE closed_us IS NOT NULL""",
+)
 def alert_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, clock, span = both(spark, sf_dir)
     out = alerts.alert_intervals(a, clock, HOURS, span, None if span is None else alerts.DAY_US)
-    return alerts.alert_events(alerts.with_level(alerts.with_alert_ids(out, span)))
+    told = alerts.alert_events(alerts.with_level(alerts.with_alert_ids(out, span)))
+    return told.select("site_id", "key", "event", "at_us", "opened_us", "frames", F.round("peak_threat", 6).alias("peak_threat"))
 
 
 @REGISTRY.add(

@@ -171,7 +171,12 @@ def site_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assess.site_levels(a).select("site_id", "level", "objects", *r6("peak"))
 
 
-@REGISTRY.add("class_hues", None)
+@REGISTRY.add(
+    "class_hues",
+    """
+SELECT event_type, count(*) AS seen, hue FROM events
+JOIN (VALUES ('click', 88), ('error', 165), ('purchase', 163), ('signup', 75), ('view', 70)) AS known(event_type, hue) USING (event_type) GROUP BY ALL""",
+)
 def class_hues(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("seen")).withColumn("hue", class_hue(F.col("event_type")))

@@ -1,26 +1,17 @@
-"""One-to-one matching and grouping of boxes inside a frame.
-
-A frame normally holds few objects and is matched inside one row. Busier frames (found by
-a count first) are matched by a sorted scan of their candidate pairs, and groups larger
-than any real frame by rounds of joins, so no group has to fit one task and no object is
-left out.
-"""
+"""One-to-one matching and grouping of boxes inside a frame, the same way for frames of any size."""
 
 from __future__ import annotations
 
 import tempfile
 from collections.abc import Sequence
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perimetra.functions.arrays import let
 from perimetra.functions.geometry import distance
 from perimetra.operators.scans import keyed_scan
-from perimetra.params import FRAME_FAST, FRAME_LIMIT
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -35,83 +26,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="perimetra-"))
 
 
-def oversized(tables: Sequence[DataFrame], keys: Sequence[str], limit: int) -> DataFrame | None:
-    """Keys of groups above ``limit`` rows in any table; None when there are none."""
-    counts = [t.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).select(*keys) for t in tables]
-    big = reduce(DataFrame.unionByName, counts).distinct()
-    return None if big.isEmpty() else big
-
-
 def greedy_pairs(
     left: DataFrame,
     right: DataFrame,
     keys: Sequence[str] = ("site_id", "frame_idx"),
     closest_first: bool = False,
-    fast: int = FRAME_FAST,
-    limit: int = FRAME_LIMIT,
 ) -> DataFrame:
     """Match ``left(keys, l_id, l_ord, lx, ly, radius)`` to ``right(keys, r_id, r_ord, rx, ry)``.
 
     In ``l_ord`` order each left object takes the nearest right object still free, closer
     than its radius; with ``closest_first`` the closest pair of the frame goes first (radius
-    inclusive). Returns ``keys, l_id, r_id, distance``.
+    inclusive). Returns ``keys, l_id, r_id, distance``. The pairs within reach stream through a task in order of
+    preference, which holds the ids of one frame that are taken: the same way for frames of any size.
     """
     keys = list(keys)
-    busy = oversized([left, right], keys, fast)
-    if busy is None:
-        return _in_one_row(left, right, keys, closest_first)
-    small = _in_one_row(left.join(busy, keys, "left_anti"), right.join(busy, keys, "left_anti"), keys, closest_first)
-    left, right = left.join(busy, keys, "left_semi"), right.join(busy, keys, "left_semi")
-    huge = oversized([left, right], keys, limit)
-    if huge is None:
-        return small.unionByName(_by_scan(left, right, keys, closest_first))
-    some = _by_scan(left.join(huge, keys, "left_anti"), right.join(huge, keys, "left_anti"), keys, closest_first)
-    rest = _in_rounds(left.join(huge, keys, "left_semi"), right.join(huge, keys, "left_semi"), keys, closest_first)
-    return small.unionByName(some).unionByName(rest)
-
-
-def _in_one_row(left: DataFrame, right: DataFrame, keys: list[str], closest_first: bool) -> DataFrame:
-    lefts = left.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("l_ord", "l_id", "lx", "ly", "radius"))).alias("_l"))
-    rights = right.groupBy(*keys).agg(F.collect_list(F.struct("r_ord", "r_id", "rx", "ry")).alias("_r"))
-    frames = lefts.join(rights, keys)
-    types = {**dict(left.dtypes), **dict(right.dtypes)}
-    pair_type = f"array<struct<l_id:{types['l_id']},r_id:{types['r_id']},distance:double>>"
-    none = F.array().cast(pair_type)
-
-    def as_pair(l_id: Column, r_id: Column, d: Column) -> Column:
-        return F.struct(l_id.alias("l_id"), r_id.alias("r_id"), d.alias("distance"))
-
-    def near(l: Column) -> Column:
-        ranked = F.transform(
-            "_r", lambda r: F.struct(distance(l["lx"], l["ly"], r["rx"], r["ry"]).alias("d"), r["r_ord"].alias("o"), r["r_id"].alias("id"))
-        )
-        return F.filter(ranked, lambda r: (r["d"] <= l["radius"]) if closest_first else (r["d"] < l["radius"]))
-
-    if closest_first:
-        wanted = F.sort_array(
-            F.flatten(
-                F.transform(
-                    "_l", lambda l: F.transform(near(l), lambda r: F.struct(r["d"].alias("d"), l["l_ord"].alias("lo"), r["o"].alias("ro"), l["l_id"].alias("l"), r["id"].alias("r")))
-                )
-            )
-        )
-
-        def take(done: Column, w: Column) -> Column:
-            free = ~F.exists(done, lambda p: (p["l_id"] == w["l"]) | (p["r_id"] == w["r"]))
-            return F.when(free, F.concat(done, F.array(as_pair(w["l"], w["r"], w["d"])))).otherwise(done)
-
-        pairs = F.aggregate(wanted, none, take)
-    else:
-
-        def choose(done: Column, l: Column) -> Column:
-            free = F.filter(near(l), lambda r: ~F.exists(done, lambda p: p["r_id"] == r["id"]))
-            return let(
-                F.array_min(free),
-                lambda b: F.when(b.isNull(), done).otherwise(F.concat(done, F.array(as_pair(l["l_id"], b["id"], b["d"])))),
-            )
-
-        pairs = F.aggregate("_l", none, choose)
-    return frames.select(*keys, F.explode(pairs).alias("_p")).select(*keys, "_p.*")
+    pairs = _candidates(left, right, keys, closest_first)
+    types = dict(pairs.dtypes)
+    schema = ", ".join([*[f"{k} {types[k]}" for k in keys], f"l_id {types['l_id']}", f"r_id {types['r_id']}", "distance double"])
+    order = ["d", "l_ord", "r_ord"] if closest_first else ["l_ord", "d", "r_ord"]
+    ranked = pairs.select(*keys, "l_id", "r_id", "d", F.struct(*order).alias("_rank"))
+    return keyed_scan(ranked, keys, ["_rank"], _FirstCome, schema, drop=["_rank"])
 
 
 def _candidates(left: DataFrame, right: DataFrame, keys: list[str], closest_first: bool, cell: float = 64.0) -> DataFrame:
@@ -150,34 +84,6 @@ class _FirstCome:
         return None
 
 
-def _by_scan(left: DataFrame, right: DataFrame, keys: list[str], closest_first: bool) -> DataFrame:
-    """Frames of bounded size: their candidate pairs stream through a task in order."""
-    pairs = _candidates(left, right, keys, closest_first)
-    types = dict(pairs.dtypes)
-    schema = ", ".join([*[f"{k} {types[k]}" for k in keys], f"l_id {types['l_id']}", f"r_id {types['r_id']}", "distance double"])
-    order = ["d", "l_ord", "r_ord"] if closest_first else ["l_ord", "d", "r_ord"]
-    ranked = pairs.select(*keys, "l_id", "r_id", "d", F.struct(*order).alias("_rank"))
-    return keyed_scan(ranked, keys, ["_rank"], _FirstCome, schema, drop=["_rank"])
-
-
-def _in_rounds(left: DataFrame, right: DataFrame, keys: list[str], closest_first: bool) -> DataFrame:
-    """The same matching by joins: each round fixes every pair neither side can better."""
-    live = settled(_candidates(left, right, keys, closest_first))
-    l_key, r_key = [*keys, "l_id"], [*keys, "r_id"]
-    l_rank = F.struct("d", "l_ord", "r_ord") if closest_first else F.struct("d", "r_ord")
-    r_rank = F.struct("d", "l_ord", "r_ord") if closest_first else F.struct("l_ord")
-    fixed: list[DataFrame] = []
-    while not live.isEmpty():
-        best = live.groupBy(*l_key).agg(F.min_by(F.struct("r_id", "d"), l_rank).alias("_b")).select(*l_key, "_b.*")
-        first = live.groupBy(*r_key).agg(F.min_by("l_id", r_rank).alias("l_id"))
-        sure = settled(best.join(first, [*keys, "l_id", "r_id"]).select(*keys, "l_id", "r_id", F.col("d").alias("distance")))
-        fixed.append(sure)
-        live = settled(live.join(sure.select(*l_key), l_key, "left_anti").join(sure.select(*r_key), r_key, "left_anti"))
-    if not fixed:
-        return live.select(*keys, "l_id", "r_id", F.col("d").alias("distance"))
-    return reduce(DataFrame.unionByName, fixed)
-
-
 def box_groups(boxes: DataFrame, gap: float, keys: Sequence[str] = ("site_id", "frame_idx")) -> DataFrame:
     """Add ``group``: boxes closer than ``gap`` share one, chains included (named by the least ``det_id``).
 

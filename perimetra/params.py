@@ -266,11 +266,5 @@ SCORING = Scoring()
 # Rows of one key that may share a window partition: every ordered operator cuts its
 # key at this many steps of the frame clock (about 11.6 hours at 25 frames a second).
 CHUNK_FRAMES = 1 << 20
-# Objects of one frame that are matched by array work inside a single row.
-FRAME_FAST = 64
-# Most objects a frame can hold: blobs do not overlap and the smallest optical one has 12
-# of the 480 x 640 pixels. Up to here one task may hold a frame; a larger group (several
-# frames under one key, say) takes the distributed path. No row is dropped either way.
-FRAME_LIMIT = 480 * 640 // 12
 # Boxes that ride together with a copy of their frame's pixels.
 BUNDLE = 4096

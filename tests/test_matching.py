@@ -1,4 +1,4 @@
-"""Frames resolved in one row and by rounds of joins agree with a plain loop."""
+"""Matching and grouping agree with plain loops."""
 
 import math
 import random
@@ -44,11 +44,10 @@ def closest(left, right):
     return out
 
 
-@pytest.mark.parametrize(("fast", "limit"), [(64, 4096), (3, 4096), (3, 4)])
 @pytest.mark.parametrize("nearest_first", [False, True])
-def test_matching(spark, fast, limit, nearest_first):
+def test_matching(spark, nearest_first):
     left, right = points(7)
-    got = greedy_pairs(spark.createDataFrame(left, L), spark.createDataFrame(right, R), fast=fast, limit=limit, closest_first=nearest_first)
+    got = greedy_pairs(spark.createDataFrame(left, L), spark.createDataFrame(right, R), closest_first=nearest_first)
     assert {(r.frame_idx, r.l_id, r.r_id) for r in got.collect()} == (closest if nearest_first else in_turn)(left, right)
 
 

@@ -153,7 +153,8 @@ class Pieces:
         """The transfer matrix of the chunk lo..hi of `text` (which goes on to both sides as far as a piece can reach).
 
         Rows are the states at `lo` (the start of the text if lo is 0), columns those at `hi`; scores are minus the pieces after
-        the row's piece, up to the column's piece.
+        the row's piece, up to the column's piece. Pieces between the first and the last start of a word in the chunk are the same on
+        every path; they are not counted.
         """
         entries = [(0, 0)] if lo == 0 else self._states(text, lo)
         keys = [_START] if lo == 0 else [_key(*e) for e in entries]
@@ -168,7 +169,6 @@ class Pieces:
                     rows.append(self._out(text, lo + on, before, hi, last))
         else:
             first, final = breaks
-            middle = self._count(text[first:final])
             tail = self._out(text, final, None, hi, last)
             for back, on in entries:
                 before = text[lo - back : lo + on] if keys[0] != _START else None
@@ -177,17 +177,10 @@ class Pieces:
                     rows.append({})
                     continue
                 head = len(self.merges.back(reach, len(reach) - 1))
-                rows.append({k: v - head - middle for k, v in tail.items()})
+                rows.append({k: v - head for k, v in tail.items()})
         columns = sorted({k for r in rows for k in r})
         return keys, columns, np.array([[r.get(k, NONE) for k in columns] for r in rows], dtype=np.float64).reshape(len(keys), len(columns))
 
-    def _count(self, text: str) -> int:
-        """Pieces of a stretch between starts of words; a character outside the vocabulary is one."""
-        n = 0
-        for w in self.word.findall(text):
-            n += len(self.merges.back(self.merges.reach(w, 0, len(w), None), len(w))) if len(w) > 64 or not w.isascii() else len(self.words.get(w) or self._word(w)) // 2
-        return n
-
     def trace(self, text: str, lo: int, hi: int, last: bool, entry: int, leave: int) -> bytes:
         """The ids of the pieces that begin in the chunk, between its two known states."""
         back, on = (0, 0) if entry == _START else _pair(entry)

@@ -48,7 +48,7 @@ def greedy_pairs(
     return keyed_scan(ranked, keys, ["_rank"], _FirstCome, schema, drop=["_rank"])
 
 
-def _candidates(left: DataFrame, right: DataFrame, keys: list[str], closest_first: bool, cell: float = 64.0) -> DataFrame:
+def _candidates(left: DataFrame, right: DataFrame, keys: list[str], closest_first: bool, cell: float = 128.0) -> DataFrame:
     """Pairs within reach, met on the grid cells the left object's reach covers."""
 
     def at(v: Column) -> Column:

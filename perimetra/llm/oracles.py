@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from perimetra.llm import quality
+
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -48,3 +50,54 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
     AS formatted_chars
 FROM turns GROUP BY conv_id
 """
+
+_SHARES = "list_transform({c}, lambda x: CASE WHEN list_sum({c}) > 0 THEN x / list_sum({c}) ELSE 0 END)"
+_PART = "CASE WHEN {p}[i] > 0 THEN {p}[i] * log2({p}[i] / (({p}[i] + {q}[i]) / 2)) ELSE 0 END"
+
+
+def _distance(p: str, q: str) -> str:
+    terms = f"list_transform(range(1, len({p}) + 1), lambda i: {_PART.format(p=p, q=q)} + {_PART.format(p=q, q=p)})"
+    return f"sqrt(greatest(0.0, list_sum({terms}) / 2))"
+
+
+def _means(shares: str, n: int) -> str:
+    return "[" + ", ".join(f"round(avg(CAST({shares}[{i}] AS DECIMAL(20, 12))), 9)" for i in range(1, n + 1)) + "]"
+
+
+_LISTS = ", ".join(f"('{k}', [{', '.join(repr(w) for w in v)}])" for k, v in quality.COMMON.items())
+_LONG = f"n_words >= {quality.LEAST_WORDS} AND word_chars >= {quality.LEAST_CHARS}"
+QUALITY = f"""
+WITH list(own, names) AS (VALUES {_LISTS}),
+doc AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
+part AS (SELECT r, i, w[i : i + 4] AS k FROM doc, LATERAL (SELECT unnest(range(1, len(w) - 3)) AS i)),
+again AS (SELECT r, unnest(list(i)) AS i FROM part GROUP BY r, k HAVING count(*) > 1),
+covered AS (SELECT r, count(DISTINCT place) AS n FROM again, LATERAL (SELECT unnest(range(i, i + 5)) AS place) GROUP BY r),
+line AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM doc),
+copies AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM line WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY r),
+base AS (
+  SELECT r, doc_id, own, names, w, t, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(copies.n, 0) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words, length(regexp_replace(t, '[^a-z]+', '', 'g')) AS low, length(regexp_replace(t, '[^A-Z]+', '', 'g')) AS up,
+    length(regexp_replace(t, '[^0-9]+', '', 'g')) AS digit, strlen(t) - length(t) AS extra
+  FROM doc LEFT JOIN covered USING (r) LEFT JOIN copies USING (r) LEFT JOIN list ON list.own = doc.lang),
+told AS (
+  SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEATED} * n_words AS base_failed,
+    [low, up, digit, length(t) - word_chars, greatest(0, word_chars - low - up - digit - extra), extra] AS classes,
+    list_transform(names, lambda c: len(list_filter(w, lambda x: x = c))) AS seen
+  FROM base),
+share AS (
+  SELECT *, {_SHARES.format(c="classes")} AS by_class, {_SHARES.format(c="common")} AS by_word
+  FROM (SELECT *, list_append(seen, greatest(0, n_words - list_sum(seen))) AS common FROM told)),
+good AS (SELECT * FROM share WHERE {_LONG} AND NOT base_failed),
+ref AS (
+  SELECT own, {_means("by_class", 6)} AS ref_class, {_means("by_word", max(map(len, quality.COMMON.values())) + 1)} AS ref_word FROM good WHERE own IS NOT NULL GROUP BY own
+  UNION ALL SELECT NULL, {_means("by_class", 6)}, NULL FROM good),
+far AS (
+  SELECT share.*, CASE WHEN {_LONG} THEN {_distance("by_class", "ref_class")} END AS class_distance,
+    CASE WHEN {_LONG} AND ref_word IS NOT NULL THEN {_distance("by_word", "ref_word")} END AS word_distance
+  FROM share LEFT JOIN ref ON ref.own IS NOT DISTINCT FROM share.own)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND coalesce(class_distance, 0) <= {quality.CLASS_DISTANCE} AND coalesce(class_distance, 0) + coalesce(word_distance, 0) <= {quality.BOTH_DISTANCES} AS kept,
+  round(class_distance, 6) AS class_distance, round(word_distance, 6) AS word_distance
+FROM far
+"""

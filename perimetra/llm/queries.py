@@ -53,7 +53,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.counted(secrets.secrets(table(spark, sf_dir, "documents")))
 
 
-@add("op8_quality_rules")
+@add("op8_quality_rules", oracles.QUALITY)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents")).select(
         "doc_id",

@@ -42,7 +42,9 @@ _MARKS = frozenset(
     "search login signin signup register form".split()
 )
 #: Marks that count only outside an article, where a heading may stand in a header of its own.
-_OUTER_MARKS = frozenset(["header", "masthead", "head", "top"])
+_OUTER_MARKS = frozenset(["header", "masthead"])
+#: Words by which a name tells what an element contains or lacks, not what it is.
+_ABOUT = frozenset(["has", "with", "no", "without"])
 #: Start tags that end an open paragraph or item without an end tag.
 _ENDS_ITEM = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "option": ("option",)}
 _WORD = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
@@ -162,7 +164,7 @@ class _Reader(HTMLParser):
                 return True
             if name in ("class", "id", "role") and value:
                 words = {w.lower() for w in _WORD.findall(value)}
-                if words & _MARKS or (not inside and words & _OUTER_MARKS):
+                if not words & _ABOUT and (words & _MARKS or (not inside and words & _OUTER_MARKS)):
                     return True
         return False
 

@@ -31,6 +31,10 @@ def test_an_advert_left_open_does_not_swallow_the_article():
     assert maintext.main_text(page(f"<div class='ad'>Buy<article><h1>T</h1><p>{PROSE}</article>")) == "T\n" + PROSE.strip()
 
 
+def test_a_name_that_tells_what_a_page_has_is_no_mark():
+    assert maintext.main_text(page(f"<div class='page has-sidebar'><h1>T</h1><p>{PROSE}</p><div class='sidebar'>{PROSE}</div></div>")) == "T\n" + PROSE.strip()
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "<p"), (4, "u", "<nav>only</nav>"), (None, "u", page(f"<main><p>{PROSE * 3000}</main>")), (4, "u", "<nav>only</nav>")]
     pages = spark.createDataFrame([(*r, 0) for r in rows], "page_id long, url string, html string, text int")

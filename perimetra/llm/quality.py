@@ -15,7 +15,7 @@ from perimetra.llm.base import settled
 SPACES = " \t\n\x0b\f\r"
 _SPLIT = r"[\x20\x09-\x0D]+"
 _NOT_SYMBOLS = r"[^#*$%&|<>]+"
-#: Frequent function words of the languages that have a reference of their own.
+#: Frequent function words of the languages that have a reference by words too.
 COMMON = {
     "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein".split(),
     "en": "the of and to in is that it for on was be with as by this at from".split(),
@@ -25,6 +25,8 @@ COMMON = {
 #: Documents below these lengths are not judged by divergence.
 LEAST_WORDS = 100
 LEAST_CHARS = 400
+#: A language with fewer good documents of that length has no reference.
+LEAST_GOOD = 10
 #: Largest Jensen-Shannon distance (0 to 1) of a kept document by character classes, and largest sum of that and the one by common words.
 CLASS_DISTANCE = 0.30
 BOTH_DISTANCES = 0.42
@@ -126,22 +128,23 @@ def base_failed() -> Column:
 def judged(docs: DataFrame, carry: bool = False) -> DataFrame:
     """`features` with `base_failed`, the distances `class_distance` and `word_distance`, and `kept`, for every row of `docs(doc_id, text, lang)`.
 
-    A document is kept if it passes the base rules and its distances are not over their limits. Distances are null, and do not
-    count, for documents under `LEAST_WORDS` words or `LEAST_CHARS` characters in words, and for word histograms of languages without
-    a list; documents of such a language, or of none, are compared with the mean of all languages by character classes. Null and empty texts have no
+    A document is kept if it passes the base rules and its distances are not over their limits. The reference of a document is the mean of the
+    good documents of its own `lang`, whatever that is. Distances are null, and do not count, for documents under `LEAST_WORDS` words or
+    `LEAST_CHARS` characters in words, for documents of no language (null or blank) or of one with fewer than `LEAST_GOOD` good
+    documents, and, by words, for languages without a list in `COMMON`. Null and empty texts have no
     words and fail the base rules. Rows are neither merged nor dropped; an empty table gives none; other columns are ignored.
     """
     rows = settled(features(docs, carry).withColumn("base_failed", base_failed()))
-    rows = rows.withColumn("own", F.when(F.col("common").isNotNull(), F.col("lang")).otherwise(F.lit("")))
+    rows = rows.withColumn("own", F.when(F.btrim("lang") != "", F.col("lang")))
     rows = rows.withColumn("by_class", _shares("classes")).withColumn("by_word", _shares("common"))
     enough = (F.col("n_words") >= LEAST_WORDS) & (F.col("word_chars") >= LEAST_CHARS)
     good = rows.where(enough & ~F.col("base_failed"))
     mean = lambda c, n: F.array(*[F.coalesce(F.round(F.avg(F.get(c, F.lit(i)).cast("decimal(20,12)")), 9), F.lit(0)).cast("double") for i in range(n)])
     width = max(map(len, COMMON.values())) + 1
-    # one row for each language with a list and one for all: a fixed number, so it may go to every task
-    own = good.where("own <> ''").groupBy("own").agg(mean("by_class", _CLASSES).alias("ref_class"), mean("by_word", width).alias("ref_word"))
-    every = good.agg(mean("by_class", _CLASSES).alias("ref_class")).select(F.lit("").alias("own"), "ref_class", F.lit(None).cast("array<double>").alias("ref_word"))
-    rows = rows.join(F.broadcast(own.union(every)), "own", "left")
+    # one row for each language, written so that its size is known: Spark sends a small table to every task and splits skewed sides otherwise
+    own = good.where("own is not null").groupBy("own").agg(F.count("*").alias("n_good"), mean("by_class", _CLASSES).alias("ref_class"), mean("by_word", width).alias("ref_word"))
+    refs = settled(own.where(F.col("n_good") >= LEAST_GOOD).select("own", "ref_class", F.when(F.col("own").isin(*COMMON), F.col("ref_word")).alias("ref_word")))
+    rows = rows.join(refs, "own", "left")
     rows = rows.withColumn("class_distance", F.when(enough & F.col("ref_class").isNotNull(), distance("by_class", "ref_class")))
     rows = rows.withColumn("word_distance", F.when(enough & F.col("ref_word").isNotNull(), distance("by_word", "ref_word")))
     by_class, by_word = F.coalesce("class_distance", F.lit(0.0)), F.coalesce("word_distance", F.lit(0.0))

@@ -1,4 +1,5 @@
 import math
+import random
 import re
 
 from conftest import SF
@@ -50,3 +51,22 @@ def test_junk_goes_and_prose_and_short_texts_stay(spark):
     assert kept.columns == frame.columns
     assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.kept}
     assert quality.judged(frame.where("false")).collect() == []
+
+
+def test_every_language_has_its_own_reference(spark):
+    latin = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'en'").collect()]
+    russian = "мы вышли рано утром и долго шли вдоль реки пока солнце не поднялось над лесом а ветер гнал по воде мелкую рябь".split()
+    greek = "το πρωί περπατήσαμε δίπλα στο ποτάμι και είδαμε τα καράβια που έφευγαν αργά για τα νησιά του νότου".split()
+    prose = lambda words, i: " ".join(random.Random(i).choices(words, k=160))
+    many = [(30_000 + i, prose(russian, i), "ru") for i in range(12)]
+    few = [(31_000 + i, prose(greek, i), "el") for i in range(3)]
+    none = [(32_000, prose(russian, 4), None), (32_001, prose(greek, 4), ""), (32_002, prose(russian, 5), " ")]
+    junk = [(33_000, " ".join(f"{k * 7919}%%%$$$###" for k in range(200)), "ru")]
+    got = {r.doc_id: r for r in quality.judged(spark.createDataFrame(latin + many + few + none + junk, "doc_id long, text string, lang string")).collect()}
+    assert not any(got[i].base_failed for i, _, _ in many + few + none + junk)
+    assert all(got[i].kept and got[i].class_distance is not None and got[i].word_distance is None for i, _, _ in many)
+    assert all(got[i].kept and got[i].class_distance is None and got[i].word_distance is None for i, _, _ in few + none)
+    assert not got[33_000].kept and got[33_000].class_distance > quality.CLASS_DISTANCE
+    # the others are judged as if no other language were there
+    alone = {r.doc_id: r for r in quality.judged(spark.createDataFrame(latin, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i] == alone[i] and (got[i].word_distance is not None or got[i].n_words < 100 or got[i].word_chars < 400) for i, _, _ in latin)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import cache, reduce
 from itertools import combinations
 
 import numpy as np
@@ -17,8 +18,10 @@ from perimetra.llm.graph import components
 SHINGLE = 3
 BITS = 3
 BLOCKS = 6
-#: Fingerprints of one key that are compared within one row; longer lists are cut into pairs of such tiles.
+#: Longest list of fingerprints with one key whose pairs are compared; longer ones get further keys.
 TILE = 1024
+#: Lists whose fingerprints can differ in no more places than this have at most 2 ** CUBE entries and need no further keys.
+CUBE = 18
 _SMALL = 16
 
 
@@ -75,44 +78,60 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def block_keys(fp: str, bits: int = BITS, blocks: int = BLOCKS) -> F.Column:
-    """The keys of a fingerprint: two that differ in at most `bits` bits agree in `blocks - bits` whole blocks, so in one key at least."""
+def block_masks(free: int, bits: int = BITS, blocks: int = BLOCKS) -> list[int]:
+    """Sets of the places in `free`, all of `blocks - bits` of `blocks` parts: two fingerprints that differ in at most `bits` places agree in one set at least."""
     if not bits < blocks <= 16:
         raise ValueError("blocks must exceed bits")
-    edges = [64 * i // blocks for i in range(blocks + 1)]
-    keys = []
-    for i, chosen in enumerate(combinations(range(blocks), blocks - bits)):
-        key, used = F.lit(0).cast("long"), 0
-        for b in chosen:
-            width = edges[b + 1] - edges[b]
-            part = F.shiftrightunsigned(F.col(fp), edges[b]).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
-            key = key.bitwiseOR(F.shiftleft(part, used))
-            used += width
-        keys.append(key if used > 58 else key.bitwiseOR(F.shiftleft(F.lit(i).cast("long"), used)))
-        if used > 58:
-            keys[-1] = F.xxhash64(F.lit(i), key)
-    return F.array(*keys)
+    places = [b for b in range(64) if free >> b & 1]
+    edges = [len(places) * i // blocks for i in range(blocks + 1)]
+    parts = [sum(1 << b for b in places[lo:hi]) for lo, hi in zip(edges, edges[1:])]
+    return [sum(chosen) for chosen in combinations(parts, blocks - bits)]
 
 
 def _close(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
     return np.bitwise_count(a ^ b) <= bits
 
 
-def _tile_links(fa: np.ndarray, ra: np.ndarray, fb: np.ndarray, rb: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning set of the links between two tiles: every entry hangs on the least representative that it reaches inside them."""
-    fps, reps = np.concatenate([fa, fb]), np.concatenate([ra, rb])
+def _list_links(fps: np.ndarray, reps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning set of the links of one list: every entry hangs on the least representative that it reaches inside it."""
     order = np.argsort(reps, kind="stable")
     fps, reps = fps[order], reps[order]
-    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= bits
+    label = _reached(fps, bits) if len(fps) <= TILE else _reached_by_places(fps, bits)
+    off = np.flatnonzero(label != np.arange(len(fps)))
+    return reps[off], reps[label[off]]
+
+
+def _reached(fps: np.ndarray, bits: int) -> np.ndarray:
+    """The first entry that each entry reaches, from all pairs."""
+    near = _close(fps[:, None], fps[None, :], bits)
     label = np.arange(len(fps))
     while True:
         new = np.where(near, label[None, :], len(fps)).min(axis=1)
         new = new[new]
         if (new == label).all():
-            break
+            return label
         label = new
-    off = np.flatnonzero(label != np.arange(len(fps)))
-    return reps[off], reps[label[off]]
+
+
+def _reached_by_places(fps: np.ndarray, bits: int) -> np.ndarray:
+    """The same for a long list of distinct fingerprints that differ in few places: each looks up those that 1 to `bits` changed places make of it."""
+    n = len(fps)
+    differ = int(np.bitwise_or.reduce(fps ^ fps[0]))
+    places = [b for b in range(64) if differ >> b & 1]
+    short = np.zeros(n, dtype=np.int64)
+    for i, b in enumerate(places):
+        short |= ((fps >> np.uint64(b)) & np.uint64(1)).astype(np.int64) << i
+    at = np.full(1 << len(places), n, dtype=np.int32)
+    at[short] = np.arange(n, dtype=np.int32)
+    changes = [sum(1 << i for i in chosen) for k in range(1, bits + 1) for chosen in combinations(range(len(places)), k)]
+    label = np.arange(n + 1)
+    while True:
+        before = label.copy()
+        for change in changes:
+            np.minimum(label[:n], label[at[short ^ change]], out=label[:n])
+        label = label[label]
+        if (label == before).all():
+            return label[:n]
 
 
 def _small_links(lens: np.ndarray, fps: np.ndarray, reps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,46 +145,85 @@ def _small_links(lens: np.ndarray, fps: np.ndarray, reps: np.ndarray, bits: int)
     return (np.concatenate(found_a), np.concatenate(found_b)) if found_a else (reps[:0], reps[:0])
 
 
+def _as_long(x: int) -> int:
+    return x - 2**64 if x >> 63 else x
+
+
+@cache
+def _further(mask: int, bits: int, blocks: int) -> list[int]:
+    """The sets of places that a list which agrees in those of `mask` is keyed by next."""
+    return [_as_long(mask | more) for more in block_masks(~mask & (2**64 - 1), bits, blocks)]
+
+
+def lists(classes: DataFrame, bits: int = BITS, blocks: int = BLOCKS) -> list[DataFrame]:
+    """Frames `(of)` of lists of `(fp, rep)` from `classes(fp, rep)` of distinct fingerprints; all pairs within `bits` bits share a list.
+
+    Entries are keyed by what they have in a set of places. Keys are counted by partial aggregates; only lists of up to `TILE`
+    are collected. The entries of longer ones are keyed anew, by blocks of the places in which they can still differ, until
+    the lists are short or at most `CUBE` places are left, which bounds a list of distinct fingerprints whatever the rows are.
+    """
+    keyed = classes.select("fp", "rep", F.explode(F.array(*[F.lit(m).cast("long") for m in _further(0, bits, blocks)])).alias("mask"))
+    free, found = 64, []
+
+    def further(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            masks, of = np.unique(batch.column(2).to_numpy(), return_inverse=True)
+            for nexts in np.array([_further(int(m) % 2**64, bits, blocks) for m in masks], dtype=np.int64).reshape(len(masks), -1).T:
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nexts[of])], ["fp", "rep", "mask"])
+
+    while True:
+        keyed = keyed.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
+        widths = sorted(free * (i + 1) // blocks - free * i // blocks for i in range(blocks))
+        free -= sum(widths[: blocks - bits])
+        short, more = keyed, None
+        if free > CUBE:
+            # written, so that its size is known to the two joins
+            more = settled(keyed.groupBy("mask", "key").agg(F.count("*").alias("n")).where(F.col("n") > TILE).select("mask", "key"))
+            more = None if more.isEmpty() else more
+        if more is not None:
+            short = keyed.join(more, ["mask", "key"], "left_anti")
+        found.append(short.groupBy("mask", "key").agg(F.collect_list(F.struct("fp", "rep")).alias("of")).where(F.size("of") > 1).select("of"))
+        if more is None:
+            return found
+        keyed = keyed.join(more, ["mask", "key"], "left_semi").select("fp", "rep", "mask").mapInArrow(further, "fp long, rep long, mask long")
+
+
 def links(classes: DataFrame, bits: int = BITS, blocks: int = BLOCKS) -> DataFrame:
     """`(a, b)`: enough verified links between `classes(fp, rep)` of distinct fingerprints to connect all that are within `bits` bits.
 
-    Fingerprints meet in the lists of equal keys. Lists of up to 1,024 are compared in one row; a longer list is cut into
-    pairs of tiles that are dealt out again, so no list is held by one task, nothing is dropped and what a tile pair emits
-    grows with its entries, not with their pairs.
+    Fingerprints meet in `lists`. What a list emits grows with its entries, not with their pairs; its rows are streamed, and one list at a
+    time is held whole. Nothing is dropped.
     """
-    keyed = classes.select("fp", "rep", F.explode(block_keys("fp", bits, blocks)).alias("key"))
-    lists = keyed.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("fp", "rep"))).alias("of")).where(F.size("of") > 1)
-    t = F.ceil(F.size("of") / F.lit(TILE)).cast("int")
-    lists = lists.withColumn("t", t)
-    pairs = F.expr("flatten(transform(sequence(0, t - 1), i -> transform(sequence(i, t - 1), j -> struct(i, j))))")
-    tiles = (
-        lists.select("key", "of", F.explode(pairs).alias("at"))
-        .select(
-            "key",
-            "at",
-            F.expr(f"slice(of, at.i * {TILE} + 1, {TILE})").alias("x"),
-            F.expr(f"if(at.i = at.j, slice(of, 1, 0), slice(of, at.j * {TILE} + 1, {TILE}))").alias("y"),
-        )
-        .repartition("key", "at")
-        .select("x.fp", "x.rep", F.col("y.fp").alias("fp2"), F.col("y.rep").alias("rep2"))
-    )
+
+    def linked(heads: np.ndarray, fps: np.ndarray, reps: np.ndarray) -> pa.RecordBatch:
+        at = np.append(np.flatnonzero(heads), len(heads))
+        lens = np.diff(at)
+        small = lens <= _SMALL
+        take = np.repeat(small, lens)
+        out = [_small_links(lens[small], fps[take], reps[take], bits)]
+        out += [_list_links(fps[at[i] : at[i + 1]], reps[at[i] : at[i + 1]], bits) for i in np.flatnonzero(~small)]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out])) for k in (0, 1)], ["a", "b"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
         for batch in batches:
-            lens = np.diff(batch.column(0).offsets.to_numpy())
-            more = np.diff(batch.column(2).offsets.to_numpy())
-            flat = [c.flatten().to_numpy(zero_copy_only=False) for c in batch.columns]
-            small = (lens <= _SMALL) & (more == 0)
-            take = np.repeat(small, lens)
-            a, b = _small_links(lens[small], flat[0][take].view(np.uint64), flat[1][take], bits)
-            out = [(a, b)]
-            at, at2 = np.concatenate([[0], np.cumsum(lens)]), np.concatenate([[0], np.cumsum(more)])
-            for i in np.flatnonzero(~small):
-                p, q = slice(at[i], at[i + 1]), slice(at2[i], at2[i + 1])
-                out.append(_tile_links(flat[0][p].view(np.uint64), flat[1][p], flat[2][q].view(np.uint64), flat[3][q], bits))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out])) for k in (0, 1)], ["a", "b"])
-
-    return tiles.mapInArrow(run, "a long, b long").distinct()
+            heads, fps, reps = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            rows = [heads == 0, fps.view(np.uint64), reps]
+            begins = np.flatnonzero(rows[0])
+            if not len(begins):
+                held.append(rows)
+                continue
+            # the last list may go on in the next batch
+            last = begins[-1]
+            done = [np.concatenate(c) for c in zip(*held, [c[:last] for c in rows])]
+            held = [[c[last:] for c in rows]]
+            if len(done[0]):
+                yield linked(*done)
+        if held:
+            yield linked(*(np.concatenate(c) for c in zip(*held)))
+
+    found = [of.select(F.posexplode("of").alias("pos", "e")).select("pos", "e.fp", "e.rep").mapInArrow(run, "a long, b long") for of in lists(classes, bits, blocks)]
+    return reduce(DataFrame.union, found).distinct()
 
 
 def near_duplicates(docs: DataFrame, bits: int = BITS, blocks: int = BLOCKS, width: int = SHINGLE) -> DataFrame:

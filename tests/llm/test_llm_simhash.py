@@ -77,3 +77,27 @@ def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, i) for i in range(101, 180)] + [(5, 5), (None, 3)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 1 for i in range(1, 61)} | {i: 100 for i in range(100, 180)}
+
+
+def test_a_long_list_is_keyed_anew(spark):
+    # all share the lower half, so one key at least has them all; the upper halves are spread, with chains of close ones and one dense cloud
+    rng = np.random.default_rng(11)
+    upper = {int(x) for x in rng.integers(0, 2**31, size=3000)}
+    for x in list(upper)[:300]:
+        for _ in range(3):
+            for b in rng.integers(0, 31, size=3):
+                x ^= 1 << int(b)
+            upper.add(x)
+    upper |= {0x5A5A0000 ^ int(x) for x in rng.choice(2**16, size=1800, replace=False)}
+    fps = dict(enumerate(sorted(x << 32 | 0x12345678 for x in upper)))
+    classes = spark.createDataFrame([(f, i) for i, f in fps.items()], "fp long, rep long")
+    sizes = [r.n for of in simhash.lists(classes) for r in of.selectExpr("size(of) as n").collect()]
+    assert max(sizes) <= 1900 < len(fps) and sum(sizes) < 400 * len(fps)
+    found = {r.node: r.component for r in graph.components(simhash.links(classes)).collect()}
+    a = np.array(list(fps.values()), dtype=np.uint64)
+    near = np.bitwise_count(a[:, None] ^ a[None, :]) <= 3
+    label = np.arange(len(a))
+    while not (new := np.where(near, label[None, :], len(a)).min(axis=1)).tolist() == label.tolist():
+        label = new
+    assert len(set(label.tolist())) > 1000
+    assert [found.get(i, i) for i in range(len(a))] == label.tolist()

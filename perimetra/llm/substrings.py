@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from perimetra.llm.base import WHITE, Words, joined, words_of
+from perimetra.llm.base import WHITE, Words, joined, settled, words_of
 
 WINDOW = 20
 #: Bytes of text in a block, cells of a sketch row for each window of the corpus, rows of the sketch, cells in one range.
@@ -175,6 +175,24 @@ def _ordered(table: pa.Table) -> pa.Table:
     return table.sort_by([("doc_id", "ascending"), ("tie", "ascending")])
 
 
+def _dealt(rows: DataFrame, blocks: int) -> DataFrame:
+    """`(block, doc_id, tie, text)`: rows of `(doc_id, tie, text)` in blocks, those of one doc_id in the same unless they have more bytes than a block.
+
+    Rows of such an id, or of none, are written in ranges of id and tie to blocks of their own, so that block numbers rise with the order
+    of an id's rows; equal rows may fall into several.
+    """
+    sizes = rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    large = settled(sizes.where((F.col("n") > 1) & (F.col("bytes") > BLOCK_BYTES)).select(F.col("doc_id").alias("id"), "bytes"))
+    held = large.agg(F.sum("bytes")).first()[0]
+    block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block")
+    if not held:
+        return rows.select(block, "doc_id", "tie", "text")
+    same = F.col("doc_id").eqNullSafe(F.col("id"))
+    apart = rows.join(large, same, "left_semi").withColumn("salt", F.rand(1)).repartitionByRange(math.ceil(held / BLOCK_BYTES), "doc_id", "tie", "salt")
+    apart = settled(apart.select((F.spark_partition_id() + blocks).alias("block"), "doc_id", "tie", "text"))
+    return rows.join(large, same, "left_anti").select(block, "doc_id", "tie", "text").union(apart)
+
+
 def unrepeated(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     """`(doc_id, n_words, n_removed, removed, text)` for every row of `docs(doc_id, text)`.
 
@@ -193,12 +211,8 @@ def unrepeated(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     ranges = 1 << (bits - RANGE_BITS)
     low = np.uint64((1 << RANGE_BITS) - 1)
 
-    parts = docs.select(
-        F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(blocks)).cast("int").alias("block"),
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.xxhash64("text").alias("tie"),
-        F.col("text").cast("string").alias("text"),
-    )
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), F.col("text").cast("string").alias("text"))
+    parts = _dealt(rows, blocks)
 
     def sketch(key: tuple, table: pa.Table) -> pa.Table:
         found = Windows(joined(table["text"]), width)

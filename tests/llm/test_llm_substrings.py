@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from perimetra.llm import substrings
 
@@ -43,3 +44,18 @@ def test_copies_and_rows_without_id(spark, monkeypatch):
     got = sorted(((r.doc_id, r.n_removed, [tuple(s) for s in r.removed]) for r in substrings.unrepeated(docs).collect()), key=repr)
     assert got == sorted([(2, 0, []), *[(i, 30, [(0, 30)]) for i in (4, 4, None, None)]], key=repr)
     assert substrings.unrepeated(docs.where("false")).collect() == []
+
+
+def test_rows_of_one_id_or_of_none_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "BLOCK_BYTES", 1000)
+    rng = random.Random(8)
+    passages = [" ".join(f"p{k}w{i}" for i in range(12)) for k in range(6)]
+    texts = [" ".join(rng.choice([rng.choice(passages), f"a{rng.random()} b{rng.random()}"]) for _ in range(4)) for _ in range(200)]
+    ids = [None] * 80 + [7] * 60 + list(range(100, 160))
+    rows = list(zip(ids, texts)) + [(None, texts[0])] * 40 + [(None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    tied = docs.selectExpr("doc_id", "xxhash64(text) as tie", "text")
+    sizes = {r.block: r.n for r in substrings._dealt(tied, 20).groupBy("block").agg(F.count("text").alias("n")).collect()}
+    assert sum(sizes.values()) == len(rows) - 1 and max(sizes.values()) < 30
+    got = sorted(((r.doc_id, r.n_words, r.n_removed, r.text) for r in substrings.unrepeated(docs, 8).collect()), key=repr)
+    assert got == plain([(r.doc_id, r.text) for r in tied.orderBy("tie").collect()], 8)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perimetra.llm import chat, contamination, maintext, oracles, pieces, pseudonyms, quality, secrets, simhash, substrings, tokencount
+from perimetra.llm import chat, contamination, maintext, oracles, pieces, pseudonyms, quality, secrets, simhash, substrings, tokencount, wordtrie
 from perimetra.llm.registry import add, table
 
 
@@ -89,3 +89,15 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat.digests(rows.union(more)).drop("packed_start", "packed_chars")
+
+
+@add("op11_bpe_word_trie")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    back = wordtrie.decoded(wordtrie.encoded(table(spark, sf_dir, "documents"), path), path)
+    return back.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perimetra.llm import chat, contamination, maintext, oracles, pieces, pseudonyms, quality, secrets, simhash, substrings, tokencount, wordtrie
+from perimetra.llm import chat, contamination, maintext, oracles, pieces, pseudonyms, quality, secrets, simhash, substrings, tokencount, whitening, wordtrie
 from perimetra.llm.registry import add, table
 
 
@@ -101,3 +101,9 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("text", 256).alias("decoded_sha256"),
     )
+
+
+@add("op12_embedding_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whitened(table(spark, sf_dir, "embeddings"))
+    return rows.withColumn("deviation", F.expr("try_cast(deviation AS long)"))

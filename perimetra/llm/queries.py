@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perimetra.llm import chat, contamination, maintext, oracles, pieces, pseudonyms, quality, secrets, simhash, substrings, tokencount, whitening, wordtrie
+from perimetra.llm import chat, contamination, maintext, oracles, pieces, pseudonyms, quality, secrets, simhash, substrings, tokencount, turnrepair, whitening, wordtrie
 from perimetra.llm.registry import add, table
 
 
@@ -107,3 +107,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = whitening.whitened(table(spark, sf_dir, "embeddings"))
     return rows.withColumn("deviation", F.expr("try_cast(deviation AS long)"))
+
+
+@add("op13_conversation_repair")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turnrepair.audited(turnrepair.damaged(table(spark, sf_dir, "conversations")), F.col("lost"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perimetra.operators import site, tracks
+from perimetra.operators import intime, site, tracks
 from perimetra.operators.scans import asof, chunk_span, ewma
 from perimetra.params import OpticalSite, ThermalSite
 from perimetra.queries import REGISTRY
@@ -256,15 +256,13 @@ LEARN_SQL = """
 )"""
 
 
-@REGISTRY.add(
-    "learned_site",
-    "WITH RECURSIVE " + CELLS_SQL + LEARN_SQL + """
+LEARNED_SQL = "WITH RECURSIVE " + CELLS_SQL + LEARN_SQL + """
 SELECT site_id, frame_idx, round(list_max(z), 6) AS top_z, list_max(p)::BIGINT AS longest, list_sum(p)::BIGINT AS persist_sum
-FROM walk WHERE i > 0""",
-)
-def learned_site(spark: SparkSession, sf_dir: str) -> DataFrame:
-    learned = site.learn_frames(rel_frames(spark, sf_dir), SMALL)
-    return learned.select(
+FROM walk WHERE i > 0"""
+
+
+def learned(spark: SparkSession, sf_dir: str, span: int) -> DataFrame:
+    return intime.learn_frames(rel_frames(spark, sf_dir), SMALL, span).select(
         "site_id",
         "frame_idx",
         F.round(F.array_max("z"), 6).alias("top_z"),
@@ -273,6 +271,17 @@ def learned_site(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@REGISTRY.add("learned_site", LEARNED_SQL)
+def learned_site(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learned(spark, sf_dir, intime.SPAN)
+
+
+@REGISTRY.add("learned_site_spread", LEARNED_SQL)
+def learned_site_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in chunks of 16 frames, each a task of its own."""
+    return learned(spark, sf_dir, 16)
+
+
 OPTICAL_SQL = """
 , spread AS (SELECT site_id, frame_idx, 1.4826 * median(abs(v)) AS mad FROM rel GROUP BY ALL
 ), ordered AS (

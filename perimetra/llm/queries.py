@@ -93,13 +93,12 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add("op11_bpe_word_trie")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    back = wordtrie.decoded(wordtrie.encoded(table(spark, sf_dir, "documents"), path), path)
-    return back.select(
+    ids = wordtrie.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), back=True)
+    return ids.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
-        F.sha2("text", 256).alias("decoded_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
 

@@ -24,8 +24,8 @@ from perimetra.llm.base import byte_table, joined, rows_in, text_bytes
 from perimetra.llm.bpe import Merges
 from perimetra.llm.tokencount import PIECES, _byte_names
 
-#: Words and pieces whose ids a worker keeps; beyond, it starts anew. Longer ones than KEPT_BYTES are not kept.
-KEPT = 700_000
+#: Words, pieces and pairs of tokens that a worker keeps; beyond, it starts anew. Longer ones than KEPT_BYTES are not kept.
+KEPT_WORDS, KEPT_PIECES, KEPT_PAIRS = 300_000, 700_000, 300_000
 KEPT_BYTES = 64
 
 _SPACE = 0x20
@@ -57,12 +57,39 @@ class Trie:
         node[2] = number
 
 
+class Pairs(Merges):
+    """Which tokens may follow each other; without the automaton that finds tokens in running text."""
+
+    def __init__(self, tokens: set[str], ranks: dict[tuple[str, str], int]) -> None:
+        self.tokens, self.rank, self.ties = tokens, lambda a, b: ranks.get((a, b)), frozenset()
+        self._whole, self._built, self._spines, self._fits = set(), {}, {}, {}
+
+
+def _spec(path: str) -> dict:
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
+
+
+@lru_cache(maxsize=2)
+def token_bytes(path: str) -> list[bytes]:
+    """The bytes of each id of a vocabulary file; empty where it has no token."""
+    spec = _spec(path)
+    plain = str.maketrans(_byte_names())
+    known = {i: t.translate(plain).encode("latin-1") for t, i in spec["model"]["vocab"].items()}
+    known |= {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
+    return [known.get(i, b"") for i in range(1 + max(known))]
+
+
+def decode(ids: np.ndarray, known: list[bytes]) -> str:
+    """The text of ids; ids outside the vocabulary give nothing, bytes that are no UTF-8 give U+FFFD."""
+    return b"".join(map(known.__getitem__, ids[(ids >= 0) & (ids < len(known))].tolist())).decode("utf-8", "replace")
+
+
 class Vocabulary:
-    """One vocabulary file: ids of texts, bytes of ids."""
+    """One vocabulary file: ids of texts."""
 
     def __init__(self, path: str) -> None:
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        spec = _spec(path)
         model, cut = spec["model"], spec["pre_tokenizer"]
         if model["type"] != "BPE" or cut["type"] != "ByteLevel" or cut["add_prefix_space"] or spec["normalizer"] or model.get("ignore_merges"):
             raise ValueError(f"{path}: only byte-level BPE without normalizer and prefix space is read")
@@ -71,19 +98,13 @@ class Vocabulary:
         if any(chr(b) not in self.ids for b in range(256)):
             raise ValueError(f"{path}: a byte has no token")
         pairs = [tuple(p.translate(plain) for p in (m.split(" ") if isinstance(m, str) else m)) for m in model["merges"]]
-        ranks = {p: i for i, p in enumerate(pairs)}
-        self.merges = Merges(set(self.ids), lambda a, b: ranks.get((a, b)), max(map(len, self.ids)))
+        self.merges = Pairs(set(self.ids), {p: i for i, p in enumerate(pairs)})
         added = spec["added_tokens"]
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in added):
             raise ValueError(f"{path}: added tokens that take their surroundings are not read")
         self.special = {t["content"].encode(): t["id"] for t in added}
         self.special_cut = regex.compile(b"|".join(regex.escape(c) for c in sorted(self.special, key=len, reverse=True))) if added else None
         self.cut = regex.compile(PIECES)
-        self.bytes_of = [b""] * (1 + max([*self.ids.values(), *self.special.values()]))
-        for t, i in self.ids.items():
-            self.bytes_of[i] = t.encode("latin-1")
-        for t, i in self.special.items():
-            self.bytes_of[i] = t
         #: Tokens by their last byte, the one before and so on: the next bytes, and the token that is whole here (None: none).
         self._ends: dict[str, tuple[dict, str | None]] = {}
         for t in sorted((t[::-1] for t in self.ids), key=len):
@@ -94,8 +115,6 @@ class Vocabulary:
         self.pieces: dict[str, tuple[int, ...]] = {}
         self.words: dict[bytes, tuple[int, ...]] = {}
 
-    # encoding
-
     def encode_pieces(self, pieces: list[str]) -> list[tuple[int, ...]]:
         """The ids of distinct pieces (bytes as latin-1): a trie of them, walked depth first.
 
@@ -142,10 +161,12 @@ class Vocabulary:
 
     def encode_words(self, words: list[bytes]) -> list[tuple[int, ...]]:
         """The ids of distinct words; unknown pieces of all of them are encoded together."""
-        if len(self.words) > KEPT:
+        if len(self.words) > KEPT_WORDS:
             self.words.clear()
-        if len(self.pieces) > KEPT:
+        if len(self.pieces) > KEPT_PIECES:
             self.pieces.clear()
+        if len(self.merges._fits) > KEPT_PAIRS:
+            self.merges._fits.clear()
         out = list(map(self.words.get, words))
         missing = [k for k, ids in enumerate(out) if ids is None]
         cut = [self.cut.findall(words[k].decode()) for k in missing]
@@ -201,13 +222,6 @@ class Vocabulary:
         at = np.arange(upto[-1]) + np.repeat(first[code] - upto[:-1], n)
         return flat[at], upto[np.searchsorted(starts, offsets)]
 
-    # decoding
-
-    def decode(self, ids: np.ndarray) -> str:
-        """The text of ids; ids outside the vocabulary give nothing, bytes that are no UTF-8 give U+FFFD."""
-        known = ids[(ids >= 0) & (ids < len(self.bytes_of))]
-        return b"".join(map(self.bytes_of.__getitem__, known.tolist())).decode("utf-8", "replace")
-
 
 def _cuts(data: np.ndarray) -> np.ndarray:
     """True at spaces before which no piece goes on: those after what is no white space, or between white space and a visible ASCII byte.
@@ -228,42 +242,47 @@ def _cuts(data: np.ndarray) -> np.ndarray:
     return (data == _SPACE) & (~before | visible)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def encoded(docs: DataFrame, path: str) -> DataFrame:
+def encoded(docs: DataFrame, path: str, back: bool = False) -> DataFrame:
     """`(doc_id, ids)` for every row of `docs(doc_id, text)`: the ids that the vocabulary's library gives, no special tokens added.
 
+    With `back` also `decoded`, the text that the ids give: `decoded()` in the same worker, so that no second one takes memory.
+
     `path` is the vocabulary file, readable at the same place on all executors. Special strings inside a text are their one token. Null and
     empty texts have no ids. Rows are neither merged nor dropped, repeated ones stay, an empty table gives none; other columns are ignored.
     Each text is encoded where it was read: nothing is shuffled, and a task holds one slice of texts (about 4 MB, or one text) and the
-    ids of at most KEPT short words.
+    ids of at most KEPT_WORDS short words and KEPT_PIECES pieces.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = vocabulary(path)
+        words, known = vocabulary(path), token_bytes(path)
         for part in rows_in(batches):
             flat, offsets = words.encode(joined(part.column("text")))
-            ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], ["doc_id", "ids"])
+            out = [part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))]
+            if back:
+                out.append(pa.array([decode(flat[a:b], known) for a, b in zip(offsets[:-1], offsets[1:])], pa.string()))
+            yield pa.RecordBatch.from_arrays(out, names)
 
+    names = ["doc_id", "ids", "decoded"][: 2 + back]
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return plain.mapInArrow(run, "doc_id long, ids array<int>")
+    return plain.mapInArrow(run, "doc_id long, ids array<int>" + ", decoded string" * back)
 
 
 def decoded(ids: DataFrame, path: str) -> DataFrame:
     """`(doc_id, ids, text)` for every row of `ids(doc_id, ids)`; null ids are an empty text, null entries and ids outside the vocabulary nothing."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = vocabulary(path)
+        known = token_bytes(path)
         for batch in batches:
             rows = joined(batch.column("ids"))
             flat = rows.values.cast(pa.int64()).fill_null(-1).to_numpy()
             ends = rows.offsets.to_numpy()
             held = rows.is_valid().to_numpy(zero_copy_only=False)
-            texts = [words.decode(flat[a:b]) if ok else "" for a, b, ok in zip(ends[:-1], ends[1:], held)]
+            texts = [decode(flat[a:b], known) if ok else "" for a, b, ok in zip(ends[:-1], ends[1:], held)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), rows, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
     plain = ids.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids"))

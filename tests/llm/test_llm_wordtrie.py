@@ -34,13 +34,14 @@ def test_ids_equal_the_library():
         got += rows_of(*words.encode(pa.array(texts[k : k + 500])))
     want = by_library(texts)
     assert got == want
-    lib = Tokenizer.from_file(BYTES)
+    lib, known = Tokenizer.from_file(BYTES), wordtrie.token_bytes(BYTES)
     for ids in want:
-        assert words.decode(np.array(ids, np.int64)) == lib.decode(ids, skip_special_tokens=False)
+        assert wordtrie.decode(np.array(ids, np.int64), known) == lib.decode(ids, skip_special_tokens=False)
 
 
 def test_ids_do_not_hang_on_what_a_worker_keeps(monkeypatch):
-    monkeypatch.setattr(wordtrie, "KEPT", 3)
+    for name in ("KEPT_WORDS", "KEPT_PIECES", "KEPT_PAIRS"):
+        monkeypatch.setattr(wordtrie, name, 3)
     monkeypatch.setattr(wordtrie, "KEPT_BYTES", 4)
     texts = ["the theory of thermal things", "there then the other", "theory theories theoretical", None, "the theory of thermal things"]
     words = wordtrie.Vocabulary(BYTES)
@@ -64,12 +65,12 @@ def test_shared_prefixes_are_walked_once():
 
 
 def test_decoding_of_odd_ids():
-    lib, words = Tokenizer.from_file(BYTES), wordtrie.Vocabulary(BYTES)
+    lib, known = Tokenizer.from_file(BYTES), wordtrie.token_bytes(BYTES)
     r = random.Random(5)
     for _ in range(300):
         ids = [r.randrange(50257) for _ in range(r.randint(0, 12))]
-        assert words.decode(np.array(ids, np.int64)) == lib.decode(ids, skip_special_tokens=False)
-    assert words.decode(np.array([-1, 464, 99999], np.int64)) == "The"
+        assert wordtrie.decode(np.array(ids, np.int64), known) == lib.decode(ids, skip_special_tokens=False)
+    assert wordtrie.decode(np.array([-1, 464, 99999], np.int64), known) == "The"
 
 
 def test_query_over_documents(spark):

@@ -112,6 +112,13 @@ def with_alert_ids(alerts: DataFrame, span: int | None = CHUNK_FRAMES) -> DataFr
     return numbered(alerts, ["site_id"], ["opened_frame", "key"], "alert_id", span)
 
 
+def acknowledged(alerts: DataFrame, acks: DataFrame) -> DataFrame:
+    """Set ``acked`` on alerts, open or closed, that ``acks(site_id, alert_id, t_us)`` name once they were opened."""
+    said = acks.groupBy("site_id", "alert_id").agg(F.max("t_us").alias("_ack_us"))
+    known = F.coalesce(F.col("_ack_us") >= F.col("opened_us"), F.lit(False))
+    return alerts.join(said, ["site_id", "alert_id"], "left").withColumn("acked", F.col("acked") | known).drop("_ack_us")
+
+
 def alert_events(alerts: DataFrame) -> DataFrame:
     """The append-only log: one row when an alert opens, one when it closes."""
     opened = alerts.withColumns({"event": F.lit("open"), "at_us": F.col("opened_us")})
@@ -119,16 +126,22 @@ def alert_events(alerts: DataFrame) -> DataFrame:
     return opened.unionByName(closed)
 
 
-def dwell(tracks: DataFrame, p: Fusion = FUSION, span: int | None = CHUNK_FRAMES) -> DataFrame:
-    """Seconds each track has been still. A step over twice the radius always re-anchors, so it starts a new part."""
-    keys = ["site_id", "track_id"]
+def dwell(tracks: DataFrame, p: Fusion = FUSION, span: int | None = CHUNK_FRAMES, actions: DataFrame | None = None) -> DataFrame:
+    """Seconds each track has been still. A step over twice the radius always re-anchors, so it starts a new part.
+
+    With ``actions(site_id, track_id, frame_idx, t_us, act, action)`` a track that an operator accepts starts anew behind that frame.
+    """
+    keys, order = ["site_id", "track_id"], ["frame_idx"]
     rows = tracks.filter(F.col("hits") >= p.settle_min_hits).select(*keys, "frame_idx", "t_us", "cx", "cy")
-    ch = chunked(rows, keys, ["frame_idx"], depth=1, span=span)
+    if actions is not None:
+        order = ["frame_idx", "act"]
+        rows = rows.withColumn("act", F.lit(-1)).unionByName(actions.select(*keys, "t_us", *order, "action"), allowMissingColumns=True)
+    ch = chunked(rows, keys, order, depth=1, span=span)
     step = distance(F.col("cx"), F.col("cy"), F.lag("cx").over(ch.part), F.lag("cy").over(ch.part))
     rows = ch.with_columns({"_step": step}).finish()
-    rows = cut_where(rows, keys, ["frame_idx"], F.coalesce(F.col("_step") > 2 * p.settle_radius_px, F.lit(False)), span).drop("_step")
+    rows = cut_where(rows, keys, order, F.coalesce(F.col("_step") > 2 * p.settle_radius_px, F.lit(False)), span).drop("_step")
     schema = "site_id long, track_id long, _part long, frame_idx long, dwell_s double"
-    return keyed_scan(rows, [*keys, "_part"], ["frame_idx"], lambda: Dwell(p), schema).drop("_part")
+    return keyed_scan(rows, [*keys, "_part"], order, lambda: Dwell(p), schema).drop("_part")
 
 
 def object_numbers(
@@ -167,20 +180,26 @@ def admitted(candidates: DataFrame, p: Escalate = ESCALATE, span: int | None = C
     return keyed_scan(cut, ["site_id", "_since"], ["frame_idx", "key"], lambda: Admission(p), schema).drop("_since")
 
 
-def held_names(found: DataFrame, p: Fusion = FUSION, span: int | None = CHUNK_FRAMES) -> DataFrame:
-    """Names in force after each recognition pass.
+def held_names(found: DataFrame, p: Fusion = FUSION, span: int | None = CHUNK_FRAMES, forgets: DataFrame | None = None) -> DataFrame:
+    """Names in force after each recognition pass. ``forgets(site_id, frame_idx, t_us)``: all models of the site drop theirs behind that pass.
 
     ``found(site_id, model, frame_idx, t_us, label, confidence, x, y, w, h)``; a recogniser
     reports a bounded number of boxes per pass, and a long silence starts afresh.
     """
     name = F.struct((-F.col("confidence")).alias("_o"), "label", "confidence", "x", "y", "w", "h")
     passes = found.groupBy("site_id", "model", "frame_idx").agg(F.min("t_us").alias("t_us"), F.sort_array(F.collect_list(name)).alias("found"))
-    cut = sessions(passes, ["site_id", "model"], ["frame_idx"], "t_us", p.hold_s * 1e6, "_since", span)
+    order = ["frame_idx"]
+    if forgets is not None:
+        models = passes.select("site_id", "model").distinct()
+        marks = forgets.select("site_id", "frame_idx", "t_us").join(models, "site_id").withColumn("act", F.lit(1))
+        passes = passes.withColumn("act", F.lit(-1)).unionByName(marks, allowMissingColumns=True)
+        order = ["frame_idx", "act"]
+    cut = sessions(passes, ["site_id", "model"], order, "t_us", p.hold_s * 1e6, "_since", span)
     schema = (
         "site_id long, model string, _since long, frame_idx long, label string, confidence double, "
         "x double, y double, w double, h double, seen_us long"
     )
-    return keyed_scan(cut, ["site_id", "model", "_since"], ["frame_idx"], lambda: HeldNames(p), schema).drop("_since")
+    return keyed_scan(cut, ["site_id", "model", "_since"], order, lambda: HeldNames(p), schema).drop("_since")
 
 
 def region_names(regions: DataFrame, span: int | None = CHUNK_FRAMES) -> DataFrame:

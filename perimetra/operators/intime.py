@@ -213,7 +213,7 @@ def _one_chunk(frames: DataFrame, span: int) -> bool:
 
 
 def learn_frames(frames: DataFrame, p: ThermalSite = THERMAL_SITE, span: int = SPAN) -> DataFrame:
-    """`site.learn_frames` with the frames of one site worked in many tasks: the same readings, up to rounding."""
+    """`site.learn_frames` (without an operator's actions) with the frames of one site worked in many tasks: the same readings, up to rounding."""
     if _one_chunk(frames, span):
         return site_fold(frames, p)
     for by_chunk, _, starts in _rounds(frames, p, span):

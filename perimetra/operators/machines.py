@@ -12,7 +12,7 @@ from collections import OrderedDict
 
 import numpy as np
 
-from perimetra.params import ALERTING, ESCALATE, FUSION, TRACKING, Alerting, Escalate, Fusion, Tracking
+from perimetra.params import ALERTING, ESCALATE, FUSION, THERMAL_SITE, TRACKING, Alerting, Escalate, Fusion, ThermalSite, Tracking
 
 
 class Machine:
@@ -115,8 +115,11 @@ class Dwell(Machine):
 
     def feed(self, c: dict) -> dict:
         out = np.zeros(len(c["t_us"]))
+        acts = np.array([isinstance(a, str) for a in c["action"]]) if "action" in c else np.zeros(len(out), bool)
         for i, (x, y, t) in enumerate(zip(c["cx"].tolist(), c["cy"].tolist(), c["t_us"].tolist())):
-            if self.anchor is None:
+            if acts[i]:  # an operator took the object for normal: its record goes
+                self.anchor = self.since = None
+            elif self.anchor is None:
                 self.anchor = (x, y)
             elif math.sqrt((x - self.anchor[0]) ** 2 + (y - self.anchor[1]) ** 2) > self.p.settle_radius_px:
                 self.anchor, self.since = (x, y), None
@@ -124,7 +127,27 @@ class Dwell(Machine):
                 self.since = t
             if self.since is not None:
                 out[i] = (t - self.since) / 1e6
-        return {"frame_idx": c["frame_idx"], "dwell_s": out}
+        return {"frame_idx": c["frame_idx"][~acts], "dwell_s": out[~acts]}
+
+
+class Passage(Machine):
+    """Sightings of one track that count as traffic: moving, established, and not under alert in the frame before.
+
+    Rows are sightings and alarms (``alarm`` true), an alarm behind the sighting of its frame.
+    """
+
+    def __init__(self, p: ThermalSite = THERMAL_SITE):
+        self.p = p
+        self.alarmed = None
+
+    def feed(self, c: dict) -> dict | None:
+        kept = []
+        for i, (frame, alarm) in enumerate(zip(c["frame_idx"].tolist(), c["alarm"].tolist())):
+            if alarm:
+                self.alarmed = frame
+            elif c["hits"][i] >= 2 and c["speed_px"][i] >= self.p.min_traffic_px and self.alarmed != frame - 1:
+                kept.append(i)
+        return {k: c[k][kept] for k in ("frame_idx", "cx", "cy", "area", "speed_px")} if kept else None
 
 
 class Numbers(Machine):
@@ -236,6 +259,9 @@ class HeldNames(Machine):
         names = ("label", "confidence", "x", "y", "w", "h", "seen_us")
         out: dict = {n: [] for n in ("frame_idx", *names)}
         for frame, now, found in zip(c["frame_idx"].tolist(), c["t_us"].tolist(), c["found"]):
+            if found is None:  # an operator asked for a fresh look
+                self.boxes = {}
+                continue
             fresh = {k: v[now - v[:, 5] <= self.p.hold_s * 1e6] for k, v in self.boxes.items()}
             self.boxes = {k: v for k, v in fresh.items() if len(v)}
             for f in found:

@@ -28,6 +28,6 @@ REGISTRY = Registry()
 
 
 def load() -> Registry:
-    from perimetra.queries import alerts, boards, boxes, fusion, policy, site, tracks  # noqa: F401
+    from perimetra.queries import alerts, boards, boxes, controls, fusion, policy, site, tracks  # noqa: F401
 
     return REGISTRY

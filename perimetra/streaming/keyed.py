@@ -8,9 +8,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from perimetra.operators.machines import Admission, Dwell, HeldNames, LiveAlerts, Machine, NumberBoard, Tracker
+from perimetra.operators.machines import Admission, Dwell, HeldNames, LiveAlerts, Machine, NumberBoard, Passage, Tracker
 from perimetra.operators.blobs import BLOB, MotionDetector
 from perimetra.operators.site import ThermalLearner
 from perimetra.params import (
@@ -135,8 +136,13 @@ class AlertStream(MachineStream):
         return machine.close()
 
 
-def _run(stream: DataFrame, keys: list[str], schema: str, processor: StatefulProcessor, event_time: str) -> DataFrame:
-    marked = stream.withWatermark(event_time, WATERMARK)
+def _both(one: DataFrame, other: DataFrame, event_time: str) -> DataFrame:
+    """Two inputs as one; each has its own watermark, and rows wait for the one that is behind."""
+    return one.withWatermark(event_time, WATERMARK).unionByName(other.withWatermark(event_time, WATERMARK), allowMissingColumns=True)
+
+
+def _run(stream: DataFrame, keys: list[str], schema: str, processor: StatefulProcessor, event_time: str, marked: bool = False) -> DataFrame:
+    marked = stream if marked else stream.withWatermark(event_time, WATERMARK)
     return marked.groupBy(*keys).transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime"
     )
@@ -195,11 +201,29 @@ def object_numbers(assessed: DataFrame, p: Alerting = ALERTING, event_time: str
     return _run(source, ["site_id"], schema, proc, event_time)
 
 
-def learned_site(frames: DataFrame, p: ThermalSite = THERMAL_SITE, event_time: str = "ts") -> DataFrame:
-    """Read and learn ``frames(site_id, frame_idx, t_us, ts, rel)`` as they arrive; what a site has learned outlives any silence."""
+def learned_site(frames: DataFrame, p: ThermalSite = THERMAL_SITE, event_time: str = "ts", actions: DataFrame | None = None) -> DataFrame:
+    """Read and learn ``frames(site_id, frame_idx, t_us, ts, rel)`` as they arrive; what a site has learned outlives any silence.
+
+    ``actions(site_id, frame_idx, t_us, ts, act, action, cells)`` is a second stream: what an operator did behind that frame.
+    """
     schema = "site_id long, frame_idx long, z array<double>, dev array<double>, persist array<long>, suppressed boolean"
-    keys = ["site_id"]
-    return _run(frames, keys, schema, MachineStream(keys, ["frame_idx"], lambda: ThermalLearner(p), _names(schema), event_time, None), event_time)
+    keys, order = ["site_id"], ["frame_idx"]
+    if actions is not None:
+        frames = _both(frames.withColumn("act", F.lit(-1)), actions, event_time)
+        order = ["frame_idx", "act"]
+    proc = MachineStream(keys, order, lambda: ThermalLearner(p), _names(schema), event_time, None)
+    return _run(frames, keys, schema, proc, event_time, actions is not None)
+
+
+def traffic(tracks: DataFrame, alarms: DataFrame, p: ThermalSite = THERMAL_SITE, event_time: str = "ts", ttl_s: float = 60.0) -> DataFrame:
+    """Sightings that count as traffic: those of ``tracks(site_id, track_id, frame_idx, t_us, ts, cx, cy, area, hits, speed_px)`` whose track is
+    not in ``alarms(site_id, track_id, frame_idx, t_us, ts)`` one frame before. The two streams meet in the state of each track, in frame order."""
+    schema = "site_id long, track_id long, frame_idx long, cx double, cy double, area double, speed_px double"
+    keys = ["site_id", "track_id"]
+    alarmed = alarms.select(*keys, "frame_idx", "t_us", event_time, F.lit(True).alias("alarm"))
+    both = _both(tracks.withColumn("alarm", F.lit(False)), alarmed, event_time)
+    proc = MachineStream(keys, ["frame_idx", "alarm"], lambda: Passage(p), _names(schema), event_time, ttl_s)
+    return _run(both, keys, schema, proc, event_time, True)
 
 
 def detected(

@@ -36,7 +36,7 @@ def ticking(df, path):
     """The files at ``path`` as a stream, after which a row of another site moves the clock on, so that all rows before it are due."""
     spark = df.sparkSession
     end = df.agg(F.max("frame_idx") + 100_000, F.max("t_us") + 10**9).first()
-    tick = {"site_id": 99, "frame_idx": end[0], "t_us": end[1]}
+    tick = {"site_id": 99, "track_id": 0, "frame_idx": end[0], "t_us": end[1]}
     row = spark.createDataFrame([tuple(tick.get(f.name) for f in df.schema if f.name != "ts")], ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema if f.name != "ts"))
     row.withColumn("ts", F.timestamp_micros("t_us")).select(df.columns).coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)

@@ -11,6 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from perimetra.llm.base import WHITE, joined, rows_in, settled, words_of
 from perimetra.llm.graph import components
@@ -78,6 +79,17 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
+def fingerprinted(rows: DataFrame, width: int = SHINGLE) -> DataFrame:
+    """`(row, fp)` for every row of `rows(row, text)`; `row` is any struct."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in rows_in(batches):
+            fp = _fingerprints(joined(part.column("text")), width).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(fp)], ["row", "fp"])
+
+    return rows.mapInArrow(run, StructType([StructField("row", rows.schema["row"].dataType), StructField("fp", LongType())]))
+
+
 def block_masks(free: int, bits: int = BITS, blocks: int = BLOCKS) -> list[int]:
     """Sets of the places in `free`, all of `blocks - bits` of `blocks` parts: two fingerprints that differ in at most `bits` places agree in one set at least."""
     if not bits < blocks <= 16:
@@ -226,35 +238,47 @@ def links(classes: DataFrame, bits: int = BITS, blocks: int = BLOCKS) -> DataFra
     return reduce(DataFrame.union, found).distinct()
 
 
+def grouped(docs: DataFrame, bits: int = BITS, blocks: int = BLOCKS, width: int = SHINGLE) -> DataFrame:
+    """`(doc_id, fp, family, component_id)` for every row of `docs(doc_id, text)`; rows of one component have one `family`, its least fingerprint.
+
+    Nodes are fingerprints, not ids: rows of one doc_id with unrelated texts stay apart, and any doc_id will do. See `near_duplicates`.
+    """
+    fps = settled(fingerprints(docs, width))
+    classes = settled(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    parts = components(links(classes.select("fp", F.col("fp").alias("rep")), bits, blocks))
+    families = classes.join(parts, classes.fp == parts.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("family"))
+    named = families.groupBy("family").agg(F.min("least").alias("component_id"))
+    return fps.join(families.select("fp", "family").join(named, "family"), "fp").select("doc_id", "fp", "family", "component_id")
+
+
 def near_duplicates(docs: DataFrame, bits: int = BITS, blocks: int = BLOCKS, width: int = SHINGLE) -> DataFrame:
     """`(doc_id, fp, component_id)` for every row of `docs(doc_id, text)`.
 
     Documents link if their fingerprints differ in at most `bits` bits; `component_id` is the least doc_id that a document
     reaches over links, itself included. Equal fingerprints are merged before any pairing, so exact copies, empty texts
     (fingerprint zero) and repeated rows cost one entry. A null doc_id keeps its row and never names a component; a
-    component of null ids only has a null component_id. An empty table gives no rows.
+    component of null ids only has a null component_id. Rows of one doc_id with different texts are different documents. An empty
+    table gives no rows.
     """
-    fps = settled(fingerprints(docs, width))
-    # a class without any id still has to link others: it stands under a negative stand-in that is turned to null in the end
-    least = F.min("doc_id")
-    classes = settled(fps.groupBy("fp").agg(least.alias("least")).select("fp", "least", F.coalesce("least", F.lit(2**62).cast("long") + F.pmod(F.col("fp"), F.lit(2**61))).alias("rep")))
-    parts = components(links(classes, bits, blocks))
-    named = (
-        classes.join(parts, classes.rep == parts.node, "left")
-        .select("fp", F.coalesce("component", "rep").alias("c"))
-        .select("fp", F.when(F.col("c") < 2**62, F.col("c")).alias("component_id"))
-    )
-    return fps.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    return grouped(docs, bits, blocks, width).select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, **settings: int) -> DataFrame:
-    """`docs` with one row of each near-duplicate component: that of the least doc_id (of several rows of that id, the least row).
+    """`docs` with one row of each near-duplicate component: that of the least doc_id and, where rows of that id are in it with several
+    fingerprints, of the least of these; of several rows with that id and fingerprint the least one as JSON.
 
-    All columns stay as they are. Rows without a doc_id cannot be named and are all kept.
+    All columns stay as they are, of whatever type. Rows without a doc_id cannot be named and are all kept.
     """
-    parts = near_duplicates(docs, **settings)
-    first = parts.where("doc_id = component_id").select("doc_id").distinct()
-    rest = ["text", *[c for c in docs.columns if c not in ("doc_id", "text")]]
-    kept = docs.join(first, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in rest])).alias("row"))
-    kept = kept.select("doc_id", *[F.col(f"row.`{c}`").alias(c) for c in rest]).select(*[F.col(f"`{c}`") for c in docs.columns])
-    return kept.union(docs.where("doc_id is null"))
+    parts = settled(grouped(docs, **settings).where("doc_id is not null").select("doc_id", "fp", "family"))
+    first = parts.groupBy("family").agg(F.min(F.struct("doc_id", "fp")).alias("of")).select("of.doc_id", "of.fp")
+    rows = docs.join(first.select("doc_id").distinct(), "doc_id", "left_semi")
+    often = parts.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    once = rows.join(often, "doc_id", "left_anti")
+    # only rows of repeated ids need another look at their texts
+    several = rows.join(often, "doc_id", "left_semi").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    width = settings.get("width", SHINGLE)
+    marked = fingerprinted(several.select("row", F.col("row.text").cast("string").alias("text")), width)
+    best = marked.groupBy(F.col("row.doc_id").alias("doc_id"), "fp").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    chosen = best.join(first, ["doc_id", "fp"], "left_semi").select("row.*")
+    plain = [F.col(f"`{c}`") for c in docs.columns]
+    return once.select(*plain).union(chosen.select(*plain)).union(docs.where("doc_id is null"))

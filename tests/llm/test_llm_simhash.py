@@ -101,3 +101,15 @@ def test_a_long_list_is_keyed_anew(spark):
         label = new
     assert len(set(label.tolist())) > 1000
     assert [found.get(i, i) for i in range(len(a))] == label.tolist()
+
+
+def test_rows_of_one_id_with_different_texts_both_stay(spark):
+    a, b, c = ("alpha beta gamma delta " * 9, "one two three four five " * 9, "a b c d e f g h i j k " * 9)
+    rows = [(5, a, {"k": 1}), (5, b, {"k": 2}), (5, b, {"k": 1}), (6, b, {"k": 3}), (7, c, {"k": 4}), (2**62 + 5, c, {"k": 5}), (2**62 + 9, a, {"k": 6})]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tags map<string,int>")
+    got = sorted((r.doc_id, r.text, r.tags["k"]) for r in simhash.keep_first(docs).collect())
+    named = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()}
+    assert got == sorted([(5, a, 1), (5, b, 1), (7, c, 4)]) and named == {(5, 5), (6, 5), (7, 7), (2**62 + 5, 7), (2**62 + 9, 5)}
+    far = docs.where("doc_id > 100")
+    assert {r.component_id for r in simhash.near_duplicates(far).collect()} == {2**62 + 5, 2**62 + 9}
+    assert simhash.keep_first(docs.where("false")).collect() == []

@@ -30,14 +30,14 @@ class Phrases:
     shortest: int
 
 
-def phrases_of(items: list[tuple[str, str]], width: int = WINDOW) -> Phrases:
+def phrases_of(items: list[tuple[str | None, str]], width: int = WINDOW) -> Phrases:
     words = words_of(pa.array([t for _, t in items], pa.string()), NOT_ALNUM, lower=True)
     codes, distinct = words.coded()
     owners: dict[bytes, set[str]] = {}
     for d, (name, _) in enumerate(items):
         own = (codes[words.first[d] : words.first[d + 1]] + 1).astype(np.int32)
         for i in range(max(1, len(own) - width + 1) if len(own) else 0):
-            owners.setdefault(own[i : i + width].tobytes(), set()).add(name)
+            owners.setdefault(own[i : i + width].tobytes(), set()).update(() if name is None else (name,))
     windows = [np.frombuffer(k, dtype=np.int32) for k in owners]
     return Phrases({w: i + 1 for i, w in enumerate(distinct)}, windows, [sorted(s) for s in owners.values()], min(map(len, windows), default=1))
 
@@ -91,11 +91,11 @@ def _cover(first: np.ndarray, begins: np.ndarray, lengths: np.ndarray, before: l
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), spans)
 
 
-def _searcher(phrases: Phrases, column: str):
+def _searcher(phrases: Phrases, column: str, text: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = np.array([len(w) for w in phrases.windows], dtype=np.int64)
-        for part in rows_in(batches):
-            texts = joined(part.column("text"))
+        for part in rows_in(batches, text):
+            texts = joined(part.column(text))
             n_words, which, begins, first = shard_hits(texts, phrases)
             known = part.column(column).to_pylist()
             spans = _cover(first, begins, sizes[which], [k and k["spans"] for k in known])
@@ -119,19 +119,20 @@ def searched(docs: DataFrame, benchmark: DataFrame, column: str = "found", width
 
     Words are runs of letters, digits and non-ASCII characters with A-Z lower-cased. A window is `width` consecutive words of an item; an
     item of fewer words, but not none, is one window. Null, empty and wordless texts have no words, no spans and no items; items without
-    an id or a text are left out; rows of one item_id count as one item. An empty benchmark or table gives no hits or rows. All columns of
+    a text are left out, those without an id are searched but not listed; rows of one item_id count as one item. An empty benchmark or table gives no hits or rows. All columns of
     `docs` pass through; `column` must not be one of them. The items are a stated query set: they go to the tasks in passes of at most
     about `item_bytes`, so a benchmark of any size is searched whole.
     """
-    if column in docs.columns:
+    if column.lower() in map(str.lower, docs.columns):
         raise ValueError(f"docs has a column {column} already")
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
+    items = benchmark.where("text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = max(1, math.ceil(total / item_bytes))
+    text = next(c for c in docs.columns if c.lower() == "text")
     out = docs.withColumn(column, F.lit(None).cast(f"struct<{FOUND.replace(' long', ':long').replace(' array', ':array')}>"))
     for i in range(passes):
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == i).collect()
-        out = out.mapInArrow(_searcher(phrases_of([(r.item_id, r.text) for r in part], width), column), out.schema)
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == i).collect()
+        out = out.mapInArrow(_searcher(phrases_of([(r.item_id, r.text) for r in part], width), column, text), out.schema)
     return out
 
 
@@ -155,6 +156,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) ->
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     """The rows of `docs` that are not contaminated, unchanged."""
     column = "found"
-    while column in docs.columns:
+    while column in map(str.lower, docs.columns):
         column += "_"
     return searched(docs, benchmark, column, width).where(~_contaminated(column)).drop(column)

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from perimetra.llm import contamination
 from perimetra.llm.fmindex import FMIndex, suffix_order
@@ -18,8 +19,8 @@ def plain(docs, items, width=13):
     windows = {}
     for name, text in items:
         w = words(text)
-        for i in range(max(1, len(w) - width + 1) if w and name is not None else 0):
-            windows.setdefault(tuple(w[i : i + width]), set()).add(str(name))
+        for i in range(max(1, len(w) - width + 1) if w else 0):
+            windows.setdefault(tuple(w[i : i + width]), set()).update([] if name is None else [str(name)])
     out = []
     for doc_id, text in docs:
         w = words(text)
@@ -75,3 +76,14 @@ def test_shard_positions_do_not_cross_documents():
     p = contamination.phrases_of([("1", "a b c")], 13)
     _, which, at, _ = contamination.shard_hits(pa.array(["a b", "c a b c", "x a b c"]), p)
     assert len(which) == 2 and sorted(at.tolist()) == [3, 7]
+
+
+def test_items_without_an_id_are_searched_and_names_may_clash_in_case(spark):
+    words = " ".join(f"w{k}" for k in range(20))
+    docs = spark.createDataFrame([(1, words, 4), (2, "clean words only here", 5)], "doc_id long, text string, Found int")
+    bench = spark.createDataFrame([(None, words), (None, None), (None, "")], "item_id string, text string")
+    got = {r.doc_id: (r.n_hit, r["items"], r.contaminated) for r in contamination.contamination(docs, bench).collect()}
+    assert got == {1: (20, [], True), 2: (0, [], False)}
+    assert [tuple(r) for r in contamination.uncontaminated(docs, bench).collect()] == [(2, "clean words only here", 5)]
+    with pytest.raises(ValueError):
+        contamination.searched(docs, bench, "FOUND")

@@ -156,10 +156,11 @@ def masked(text: str, spans: list[tuple[int, int, int]], mask: str) -> str:
 
 def redacted(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
     """`docs` with the secrets of `text` replaced by `mask`; other texts, null and all other columns stay as they are."""
-    at = docs.columns.index("text")
+    at = [c.lower() for c in docs.columns].index("text")
+    name = docs.columns[at]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in rows_in(batches):
+        for part in rows_in(batches, name):
             texts = part.column(at).to_pylist()
             new = [masked(t, s, mask) if s else t for t, s in zip(texts, spans_of(joined(part.column(at))))]
             yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if i == at else c for i, c in enumerate(part.columns)], part.schema.names)

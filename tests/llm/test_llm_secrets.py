@@ -45,3 +45,8 @@ def test_queries_over_odd_rows(spark):
     assert clean.columns == docs.columns
     assert [r.text for r in clean.collect()] == [None, "", "é [secret]' [secret]", "[secret]", "plain"]
     assert secrets.secrets(docs.where("false")).collect() == []
+
+
+def test_a_text_column_of_another_case_is_masked(spark):
+    docs = spark.createDataFrame([(1, "token=abcdef0123456789", 2), (2, None, 3)], "doc_id long, Text string, spans int")
+    assert sorted(map(tuple, secrets.redacted(docs).collect())) == [(1, "[secret]", 2), (2, None, 3)]

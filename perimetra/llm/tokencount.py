@@ -49,6 +49,7 @@ class Counter:
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.cut = regex.compile(PIECES)
         self.torn = regex.compile(r"\s \s")
+        self.white = regex.compile(r"\s+")
         self.totals: dict[str, int] = {}
         self.word_totals: dict[str, int] = {}
 
@@ -129,7 +130,8 @@ class Counter:
         run_base, run = 0, ""
         for piece in self.cut.findall(text):
             n = len(piece)
-            if piece.isspace():
+            white = self.white.fullmatch(piece) is not None  # not what str.isspace says of U+001C to U+001F
+            if white:
                 # white space at the end of a prefix is one piece, however the rest of the text would cut it
                 if not run:
                     run_base = base
@@ -147,7 +149,7 @@ class Counter:
                     inner = inner[1:]
                 out += [base + c for c in inner]
                 run = ""
-            base += counts[-1] if not piece.isspace() else self._ends(piece)[-1]
+            base += counts[-1] if not white else self._ends(piece)[-1]
         return out
 
     def _ends(self, piece: str) -> list[int]:

@@ -9,7 +9,7 @@ from perimetra.llm import pieces, tokencount
 
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
-BITS = list(" \t\n\r\x0b\x0c\x1c\x85\xa0　​'stremvlld019.,!?-_#ae") + ["<|endoftext|>", "'ll", "'re", "  ", "don't", "é", "日本", "😀", "²", "\x00", "the ", " and"]
+BITS = list(" \t\n\r\x0b\x0c\x1c\x1e\x1f\x85\xa0　​'stremvlld019.,!?-_#ae") + ["<|endoftext|>", "'ll", "'re", "  ", "don't", "é", "日本", "😀", "²", "\x00", "the ", " and"]
 
 
 def texts(n, bits, most, seed=1):
@@ -76,3 +76,10 @@ def test_transfer_matrices_combine_associatively():
     left = aligned(aligned(aligned(parts[0], parts[1]), parts[2]), parts[3])
     right = aligned(parts[0], aligned(parts[1], aligned(parts[2], parts[3])))
     assert left[2].tolist() == right[2].tolist() == whole.tolist()
+
+
+def test_prefix_counts_with_separators_that_are_no_white_space():
+    lib, own = Tokenizer.from_file(BYTES), tokencount.Counter(BYTES)
+    for s in texts(1500, list("\x1c\x1d\x1e\x1f \n a'1"), 8, seed=4):
+        want = [len(lib.encode(s[:i], add_special_tokens=False).ids) for i in range(len(s) + 1)]
+        assert own.prefix_counts(s).tolist() == want, repr(s)

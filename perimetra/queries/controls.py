@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from perimetra.operators import alerts, controls, site, tracks
+from perimetra.operators.matching import shared_path
 from perimetra.operators.scans import chunk_span
 from perimetra.queries import REGISTRY
 from perimetra.queries.alerts import HOURS, INTERVALS_SQL, both
-from perimetra.queries.site import CELLS_SQL, LEARN_SQL, SMALL, rel_frames
+from perimetra.queries.site import CELLS_SQL, LEARN_SQL, MODEL_SQL, SMALL, rel_frames
 from perimetra.queries.tracks import KINEMATICS_SQL, assessed_tracks, base_sql
 from perimetra.sources.adapters import track_obs, track_obs_sql
+from perimetra.sources.models import ModelStore, cells_of
 
 ACTION_COLUMNS = "site_id long, frame_idx long, t_us long, action string, key string, sensor string, alert_id long, x double, y double, w double, h double, reset boolean"
 
@@ -141,3 +143,39 @@ def traffic_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = site.activity_cells(site.traffic(all_seen, alerting=F.col("alarming")))
     long = [F.col(c).cast("long").alias(c) for c in ("gy", "gx")]
     return every.join(clean, ["site_id", "gy", "gx"], "left").select("site_id", *long, "seen", F.coalesce("activity", F.lit(0)).alias("activity"))
+
+
+@REGISTRY.add(
+    "model_versions",
+    "WITH " + CELLS_SQL + MODEL_SQL + """
+, newest AS (SELECT site_id, max(frame_idx) AS frame_idx FROM cell_frames GROUP BY 1
+), act AS (SELECT site_id, frame_idx * 5 % 64 AS x, site_id * 8 % 64 AS y FROM cell_frames WHERE frame_idx % 25 = 3
+), hit AS (
+  SELECT DISTINCT a.site_id, gy * 8 + gx AS pos FROM act a, range(8) r(gy), range(8) s(gx)
+  WHERE gy BETWEEN least(y // 8, 7) AND least((y + 8) // 8 + 1, 8) - 1 AND gx BETWEEN least(x // 8, 7) AND least((x + 8) // 8 + 1, 8) - 1
+), now AS (SELECT r.site_id, r.pos, r.v FROM newest n JOIN rel r ON r.site_id = n.site_id AND r.frame_idx = n.frame_idx)
+SELECT m.site_id, m.pos, 1 AS version, round(ref_mean, 6) AS ref_mean, round(ref_var, 6) AS ref_var, false AS accepted FROM model m
+UNION ALL
+SELECT m.site_id, m.pos, 2, round(CASE WHEN h.pos IS NULL THEN ref_mean ELSE v END, 6), round(CASE WHEN h.pos IS NULL THEN ref_var ELSE greatest(ref_var, 0.1225) END, 6),
+       h.pos IS NOT NULL
+FROM model m JOIN now n ON n.site_id = m.site_id AND n.pos = m.pos LEFT JOIN hit h ON h.site_id = m.site_id AND h.pos = m.pos""",
+)
+def model_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A learned model as saved, and the version after operators accepted some boxes, each read back from the store."""
+    frames = rel_frames(spark, sf_dir)
+    store = ModelStore(spark, shared_path(spark, "models"))
+    f = F.col("frame_idx")
+    store.save({"thermal": cells_of(site.fit_site_model(frames, SMALL, chunk_span(frames)), "thermal")}, 1)
+    said = frames.filter(f % 25 == 3).select(
+        "site_id", "frame_idx", (f * 40_000).alias("t_us"), F.lit("accept").alias("action"), F.lit("thermal").alias("sensor"),
+        F.pmod(f * 5, F.lit(64)).cast("double").alias("x"), F.pmod(F.col("site_id") * 8, F.lit(64)).cast("double").alias("y"),
+        F.lit(8.0).alias("w"), F.lit(8.0).alias("h"),
+    )
+    newest = frames.groupBy("site_id").agg(F.max_by("rel", "frame_idx").alias("rel"))
+    store.accept(_actions(spark, said), 2, thermal=newest, p=SMALL)
+    changed = spark.read.parquet(*[path for path, whole in store.parts("thermal", 2) if not whole]).select("site_id", "pos", F.lit(True).alias("accepted"))
+    one, two = store.load("thermal", 1).withColumn("version", F.lit(1)), store.load("thermal", 2).withColumn("version", F.lit(2))
+    marked = one.withColumn("accepted", F.lit(False)).unionByName(two.join(changed, ["site_id", "pos"], "left").withColumn("accepted", F.coalesce("accepted", F.lit(False))))
+    return marked.select(
+        "site_id", F.col("pos").cast("long").alias("pos"), "version", F.round("ref_mean", 6).alias("ref_mean"), F.round("ref_var", 6).alias("ref_var"), "accepted"
+    )

@@ -13,20 +13,82 @@ from perimetra.operators.matching import box_groups
 from perimetra.operators.scans import keyed_scan
 from perimetra.params import DETECT, SENSOR, Detect, Sensor
 
-BLOB = "STRUCT<blob: INT, x: DOUBLE, y: DOUBLE, w: DOUBLE, h: DOUBLE, cx: DOUBLE, cy: DOUBLE, area: DOUBLE, peak: DOUBLE, mean: DOUBLE, contrast: DOUBLE, darker: BOOLEAN>"
+BLOB = "STRUCT<blob: INT, x: DOUBLE, y: DOUBLE, w: DOUBLE, h: DOUBLE, cx: DOUBLE, cy: DOUBLE, area: DOUBLE, peak: DOUBLE, mean: DOUBLE, contrast: DOUBLE, darker: BOOLEAN, thin: BOOLEAN>"
 
+RECTANGLE = "STRUCT<x: DOUBLE, y: DOUBLE, w: DOUBLE, h: DOUBLE>"
 
-def label_mask(mask: np.ndarray) -> np.ndarray:
-    """8-connected components of a boolean grid: least flat index per component, -1 outside."""
-    big = mask.size
-    lab = np.where(mask, np.arange(big).reshape(mask.shape), big)
+
+def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first and last column of every run of true pixels, in reading order."""
+    edge = np.diff(np.pad(mask, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    rows, first = np.nonzero(edge == 1)
+    return rows, first, np.nonzero(edge == -1)[1] - 1
+
+
+def label_mask(mask: np.ndarray, corners: bool = True) -> np.ndarray:
+    """Components of a boolean grid, joined over edges and (``corners``) corners: least flat index per component, -1 outside.
+
+    Runs of one line meet those of the line before; what meets takes the number of the earlier run.
+    """
+    rows, first, last = _runs(mask)
+    head = list(range(len(rows)))
+
+    def root(i: int) -> int:
+        while head[i] != i:
+            head[i] = head[head[i]]
+            i = head[i]
+        return i
+
+    reach = int(corners)
+    begins = np.searchsorted(rows, np.arange(mask.shape[0] + 1)).tolist()
+    lo, hi = first.tolist(), last.tolist()
+    for y in range(1, mask.shape[0]):
+        i, j = begins[y - 1], begins[y]
+        while i < begins[y] and j < begins[y + 1]:
+            if lo[i] <= hi[j] + reach and lo[j] <= hi[i] + reach:
+                a, b = root(i), root(j)
+                head[max(a, b)] = min(a, b)
+            if hi[i] < hi[j]:
+                i += 1
+            else:
+                j += 1
+    out = np.full(mask.size, -1, dtype=np.int64)
+    if len(rows):
+        least = [rows[r] * mask.shape[1] + first[r] for r in map(root, range(len(head)))]
+        out[mask.ravel()] = np.repeat(least, last - first + 1)
+    return out.reshape(mask.shape)
+
+
+def without_holes(mask: np.ndarray) -> np.ndarray:
+    """The mask with all that its components enclose: background that no path over pixel edges leads out of."""
+    apart = label_mask(~np.pad(mask, 1), corners=False)
+    return (apart != 0)[1:-1, 1:-1]
+
+
+def _corner_points(mask: np.ndarray) -> int:
+    """Points at which the outline of one component turns, as it is walked around over pixel centres; 1 for a single pixel."""
+    around = [(0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)]
+    p = np.pad(mask, 1)
+    start = tuple(int(v) for v in np.argwhere(p)[0])
+
+    def step(at: tuple[int, int], back: int) -> int | None:
+        for k in range(1, 9):
+            d = (back + k) % 8
+            if p[at[0] + around[d][0], at[1] + around[d][1]]:
+                return d
+        return None
+
+    first = step(start, 4)
+    if first is None:
+        return 1
+    at, way, ways = start, first, []
     while True:
-        p = np.pad(lab, 1, constant_values=big)
-        rows = np.minimum(np.minimum(p[:-2], p[1:-1]), p[2:])
-        low = np.where(mask, np.minimum(np.minimum(rows[:, :-2], rows[:, 1:-1]), rows[:, 2:]), big)
-        if (low == lab).all():
-            return np.where(mask, lab, -1)
-        lab = low
+        ways.append(way)
+        at = (at[0] + around[way][0], at[1] + around[way][1])
+        way = step(at, (way + 4) % 8)
+        if at == start and way == first:
+            break
+    return sum(a != b for a, b in zip(ways, ways[-1:] + ways[:-1]))
 
 
 def _window(mask: np.ndarray, size: int, spread: bool) -> np.ndarray:
@@ -77,50 +139,100 @@ def clean_mask(mask: np.ndarray) -> np.ndarray:
     return _window(_window(opened, 5, True), 5, False)
 
 
-def frame_blobs(mask: np.ndarray, frame: np.ndarray, diff: np.ndarray) -> list[dict]:
-    """Features of each blob of a mask; area is that of the outline through pixel centres."""
+def frame_blobs(mask: np.ndarray, frame: np.ndarray, diff: np.ndarray, signed: np.ndarray | None = None) -> list[dict]:
+    """Features of each blob of a mask, of all that its outer outline encloses; what lies in a hole is no blob of its own.
+
+    Area and centre are those of the outline through pixel centres: four pixels of a square add the square, three the triangle between
+    them. Where that is under one (``thin``), the number of the outline's corners stands for the area. ``signed`` tells darker from brighter.
+    """
     if not mask.any():
         return []
-    lab = label_mask(mask)
-    p = np.pad(mask, 1)
-    inner = p[:-2, 1:-1] & p[2:, 1:-1] & p[1:-1, :-2] & p[1:-1, 2:]
-    out = []
-    for k in np.unique(lab[lab >= 0]):
-        ys, xs = np.nonzero(lab == k)
-        edge = int((~inner[ys, xs]).sum())
-        area = len(ys) - edge / 2.0 - 1.0
-        out.append(
-            {
-                "blob": int(k), "x": float(xs.min()), "y": float(ys.min()),
-                "w": float(np.ptp(xs) + 1), "h": float(np.ptp(ys) + 1),
-                "cx": float(xs.mean()), "cy": float(ys.mean()),
-                "area": float(area if area >= 1.0 else edge),
-                "peak": float(frame[ys, xs].max()), "mean": float(frame[ys, xs].mean()),
-                "contrast": float(diff[ys, xs].mean()), "darker": bool(diff[ys, xs].mean() < 0),
-            }
-        )
-    return out
+    full = without_holes(mask)
+    lab = label_mask(full)
+    ids, of = np.unique(lab[full], return_inverse=True)
+    ys, xs = np.nonzero(full)
+    n = len(ids)
+    number = np.full(full.shape, -1)
+    number[full] = of
+    count = np.bincount(of, minlength=n)
+
+    def mean(values: np.ndarray) -> np.ndarray:
+        return np.bincount(of, values[full], n) / count
+
+    def most(values: np.ndarray, sign: int = 1) -> np.ndarray:
+        out = np.full(n, -np.inf)
+        np.maximum.at(out, of, sign * values)
+        return sign * out
+
+    area, mx, my = np.zeros(n), np.zeros(n), np.zeros(n)
+    quads = [(0, 0), (0, 1), (1, 0), (1, 1)]
+    h, w = full.shape
+    parts = [number[dy : h - 1 + dy, dx : w - 1 + dx] for dy, dx in quads]
+    there = np.stack([q >= 0 for q in parts])
+    held = there.sum(axis=0)
+    qy, qx = np.nonzero(held >= 3)
+    if len(qy):
+        inside = there[:, qy, qx]
+        k = held[qy, qx]
+        owner = np.max([q[qy, qx] for q in parts], axis=0)
+        share = np.where(k == 4, 1.0, 0.5)
+        px = qx + (inside * np.array([dx for _, dx in quads])[:, None]).sum(axis=0) / k
+        py = qy + (inside * np.array([dy for dy, _ in quads])[:, None]).sum(axis=0) / k
+        area = np.bincount(owner, share, n)
+        mx, my = np.bincount(owner, share * px, n), np.bincount(owner, share * py, n)
+    x0, x1, y0, y1 = most(xs, -1), most(xs), most(ys, -1), most(ys)
+    bw, bh = x1 - x0 + 1, y1 - y0 + 1
+    flat = area == 0
+    safe = np.where(flat, 1.0, area)
+    cx, cy = np.where(flat, x0 + bw / 2, mx / safe), np.where(flat, y0 + bh / 2, my / safe)
+    thin = area < 1.0
+    for i in np.flatnonzero(thin):
+        area[i] = _corner_points(number == i)
+    means, contrast, dark = mean(frame), mean(diff), mean(diff if signed is None else signed) < 0
+    peaks = most(frame[full])
+    columns = (ids, x0, y0, bw, bh, cx, cy, area, peaks, means, contrast)
+    names = ("blob", "x", "y", "w", "h", "cx", "cy", "area", "peak", "mean", "contrast")
+    return [
+        {**{k: int(v) if k == "blob" else float(v) for k, v in zip(names, row)}, "darker": bool(d), "thin": bool(t)}
+        for *row, d, t in zip(*columns, dark, thin)
+    ]
+
+
+def _cropped(frame: np.ndarray, roi: dict | None) -> tuple[np.ndarray, float, float]:
+    """The part of a frame inside a rectangle (None: all of it) and where it begins."""
+    if roi is None:
+        return frame, 0.0, 0.0
+    x, y = int(roi["x"]), int(roi["y"])
+    return frame[y : y + int(roi["h"]), x : x + int(roi["w"])], float(x), float(y)
+
+
+def _shifted(found: list[dict], x: float, y: float, width: int, cols: int) -> list[dict]:
+    """Blobs of a part of a frame, told in pixels of the frame."""
+    moved = lambda b: int((b // width + y) * cols + b % width + x)
+    return [{**b, "blob": moved(b["blob"]), "x": b["x"] + x, "y": b["y"] + y, "cx": b["cx"] + x, "cy": b["cy"] + y} for b in found]
 
 
 def detect_frozen(
     frames: DataFrame, rows: int, cols: int, threshold: float = DETECT.threshold_c, absolute: bool = False, clean: bool = True
 ) -> DataFrame:
-    """Blobs of ``frames(site_id, frame_idx, values, background)`` against a fitted background.
+    """Blobs of ``frames(site_id, frame_idx, values, background[, roi])`` against a fitted background.
 
-    Every frame is independent, so the scan is the only stage.
+    Every frame is independent, so the scan is the only stage. ``roi`` is a rectangle ``(x, y, w, h)`` to search in, see `footprint`.
     """
 
     @F.pandas_udf(f"array<{BLOB}>")
-    def blobs(values: pd.Series, backs: pd.Series) -> pd.Series:
+    def blobs(values: pd.Series, backs: pd.Series, rois: pd.DataFrame) -> pd.Series:
         out = []
-        for v, b in zip(values, backs):
-            frame = np.asarray(v, float).reshape(rows, cols)
-            diff = frame - np.asarray(b, float).reshape(rows, cols)
-            mask = (np.abs(diff) if absolute else diff) > threshold
-            out.append(frame_blobs(clean_mask(mask) if clean else mask, frame, np.abs(diff) if absolute else diff))
+        for v, b, roi in zip(values, backs, rois.to_dict("records")):
+            frame, x, y = _cropped(np.asarray(v, float).reshape(rows, cols), None if roi["x"] != roi["x"] or roi["x"] is None else roi)
+            signed = frame - _cropped(np.asarray(b, float).reshape(rows, cols), None if roi["x"] != roi["x"] or roi["x"] is None else roi)[0]
+            diff = np.abs(signed) if absolute else signed
+            mask = diff > threshold
+            out.append(_shifted(frame_blobs(clean_mask(mask) if clean else mask, frame, diff, signed), x, y, frame.shape[1], cols))
         return pd.Series(out)
 
-    found = frames.select("site_id", "frame_idx", F.explode(blobs("values", "background")).alias("b"))
+    roi = F.col("roi") if "roi" in frames.columns else F.lit(None)
+    found = frames.select("site_id", "frame_idx", F.explode(blobs("values", "background", roi.cast(RECTANGLE))).alias("b"))
     return found.select("site_id", "frame_idx", "b.*")
 
 
@@ -134,9 +246,9 @@ class MotionDetector:
     def feed(self, c: dict) -> dict | None:
         p = self.p
         idx, blobs, noise, line = [], [], [], []
-        for f, v in zip(c["frame_idx"], c["values"]):
-            frame = np.asarray(v, float).reshape(self.rows, self.cols)
-            if self.back is None:
+        for f, v, roi in zip(c["frame_idx"], c["values"], c["roi"] if "roi" in c else [None] * len(c["frame_idx"])):
+            frame, x, y = _cropped(np.asarray(v, float).reshape(self.rows, self.cols), roi)
+            if self.back is None or self.back.shape != frame.shape:
                 self.back, self.seen = frame.copy(), 1
                 continue
             signed = frame - self.back
@@ -148,13 +260,8 @@ class MotionDetector:
             self.back[quiet] += p.alpha * signed[quiet]
             self.seen += 1
             if self.seen >= p.warmup:
-                found = frame_blobs(mask, frame, size)
-                if self.optical:
-                    for b in found:
-                        ys, xs = slice(int(b["y"]), int(b["y"] + b["h"])), slice(int(b["x"]), int(b["x"] + b["w"]))
-                        b["darker"] = bool(signed[ys, xs][mask[ys, xs]].mean() < 0)
                 idx.append(f)
-                blobs.append(found)
+                blobs.append(_shifted(frame_blobs(mask, frame, size, signed), x, y, frame.shape[1], self.cols))
                 noise.append(grain)
                 line.append(threshold)
         if not idx:
@@ -166,31 +273,18 @@ class MotionDetector:
 
 
 def detect_adaptive(frames: DataFrame, rows: int, cols: int, optical: bool = False, p: Detect = DETECT) -> DataFrame:
-    """Blobs of ``frames(site_id, frame_idx, values)`` against a background learned on the way."""
+    """Blobs of ``frames(site_id, frame_idx, values[, roi])`` against a background learned on the way.
+
+    ``roi`` is a rectangle to search in, see `footprint`; where its size changes the background is learned anew.
+    """
     schema = f"site_id long, frame_idx long, blobs array<{BLOB}>, noise double, threshold double"
-    scan = keyed_scan(
-        frames.select("site_id", "frame_idx", "values"), ["site_id"], ["frame_idx"], lambda: MotionDetector(rows, cols, optical, p), schema
-    )
+    kept = [c for c in ("site_id", "frame_idx", "values", "roi") if c in frames.columns]
+    scan = keyed_scan(frames.select(*kept), ["site_id"], ["frame_idx"], lambda: MotionDetector(rows, cols, optical, p), schema)
     return scan.select("site_id", "frame_idx", "noise", "threshold", F.explode("blobs").alias("b")).select(
         "site_id", "frame_idx", "noise", "threshold", "b.*"
     )
 
 
-def blob_features(pixels: DataFrame) -> DataFrame:
-    """Features of labelled pixels ``(site_id, frame_idx, blob, y, x, c, diff, edge)``."""
-    x0, y0 = F.min("x"), F.min("y")
-    w, h = F.max("x") - x0 + 1, F.max("y") - y0 + 1
-    n, edge = F.count(F.lit(1)), F.count_if("edge")
-    outline = n - edge / 2.0 - 1.0
-    return pixels.groupBy("site_id", "frame_idx", "blob").agg(
-        x0.alias("x"), y0.alias("y"), w.alias("w"), h.alias("h"),
-        F.avg("x").alias("cx"), F.avg("y").alias("cy"),
-        F.max("c").alias("peak_c"), F.avg("c").alias("mean_c"), F.avg("diff").alias("contrast_c"),
-        F.avg(F.abs("diff")).alias("contrast"), (F.avg("diff") < 0).alias("darker"),
-        F.when(outline >= 1.0, outline).otherwise(edge.cast("double")).alias("area"),
-    )
-
-
 def merged(blobs: DataFrame, p: Detect = DETECT) -> DataFrame:
     """One detection per chain of thermal blobs: union box, summed area, area-weighted means."""
     g = box_groups(blobs, p.merge_gap_px)
@@ -323,7 +417,19 @@ def merged_fragments(dets: DataFrame, frame_w: int, frame_h: int, p: Detect = DE
     return split.select("site_id", "frame_idx", F.explode(objects).alias("o")).select("site_id", "frame_idx", "o.*")
 
 
+def within_footprint(frames: DataFrame, homography: DataFrame, s: Sensor = SENSOR, p: Detect = DETECT) -> DataFrame:
+    """Optical frames with the ``roi`` of their site from ``homography(site_id, h)``; null, so the whole frame, where there is none."""
+    known = homography.select("site_id", footprint(F.col("h"), s, p).alias("roi"))
+    return frames.join(known, "site_id", "left")
+
+
 def footprint(h: Column, s: Sensor = SENSOR, p: Detect = DETECT) -> Column:
-    """Part of the optical frame the thermal camera can check, as a struct of bounds."""
-    b = G.map_box(h, G.Box(F.lit(0.0), F.lit(0.0), F.lit(float(s.cols)), F.lit(float(s.rows))))
-    return G.clipped_box(b, s.optical_cols, s.optical_rows, p.roi_pad_px)
+    """Part of the optical frame the thermal camera can check, as a struct of bounds; null where they do not meet."""
+    w, t = float(s.cols), float(s.rows)
+    corners = [(F.lit(x), F.lit(y)) for x, y in ((0.0, 0.0), (w, 0.0), (w, t), (0.0, t))]
+    xs, ys = [G.map_x(h, x, y) for x, y in corners], [G.map_y(h, x, y) for x, y in corners]
+    whole = lambda v: v.cast("long").cast("double")
+    x0, y0 = F.greatest(F.lit(0.0), whole(F.least(*xs)) - p.roi_pad_px), F.greatest(F.lit(0.0), whole(F.least(*ys)) - p.roi_pad_px)
+    x1 = F.least(F.lit(float(s.optical_cols)), whole(F.greatest(*xs)) + p.roi_pad_px)
+    y1 = F.least(F.lit(float(s.optical_rows)), whole(F.greatest(*ys)) + p.roi_pad_px)
+    return F.when((x1 > x0) & (y1 > y0), F.struct(x0.alias("x"), y0.alias("y"), (x1 - x0).alias("w"), (y1 - y0).alias("h")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from perimetra.functions import geometry as G
 from perimetra.functions.thermal import calibrated_c, celsius, linear_c
 from perimetra.operators import blobs, site
+from perimetra.params import Detect, Sensor
 from perimetra.queries import REGISTRY
 from perimetra.queries.site import CELLS_SQL, r6
 from perimetra.sources.adapters import BOXES_SQL, boxes, cell_frames, table
@@ -151,34 +152,93 @@ def noise_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("site_id", "frame_idx", *r6("noise"), F.round(blobs.effective_threshold(F.col("noise")), 6).alias("threshold"))
 
 
-@REGISTRY.add(
-    "blob_features",
-    "WITH RECURSIVE " + CELLS_SQL + """
-, hot AS (SELECT site_id, frame_idx, pos // 8 AS y, pos % 8 AS x, pos, c, v FROM rel WHERE v > 0.8
+def _outline_sql(hot: str, clean: bool, inside: str = "true") -> str:
+    """Blobs of 8x8 frames with what they enclose: flood from outside, components, areas from squares of four pixels."""
+    near = "n.site_id = g.site_id AND n.frame_idx = g.frame_idx"
+    steps, name = [f", grid AS (SELECT site_id, frame_idx, pos // 8 AS y, pos % 8 AS x, c, v, {hot} AS s0 FROM rel WHERE {inside})"], "s0"
+    if clean:  # opening by 3x3, closing by 5x5; what lies outside does not count
+        for k, (reach, spread) in enumerate(((1, False), (1, True), (2, True), (2, False)), 1):
+            steps.append(
+                f", grid{k} AS (SELECT g.site_id, g.frame_idx, g.y, g.x, any_value(g.c) AS c, any_value(g.v) AS v, {'bool_or' if spread else 'bool_and'}(n.s{k - 1}) AS s{k}"
+                f" FROM grid{k - 1 or ''} g JOIN grid{k - 1 or ''} n ON {near} AND abs(n.y - g.y) <= {reach} AND abs(n.x - g.x) <= {reach} GROUP BY g.site_id, g.frame_idx, g.y, g.x)"
+            )
+        name = "s4"
+    last = "grid4" if clean else "grid"
+    return "".join(steps) + f"""
+, frame AS (SELECT DISTINCT site_id, frame_idx FROM {last}
+), padded AS (
+  SELECT f.site_id, f.frame_idx, a.y, b.x, coalesce(g.{name}, false) AS lit FROM frame f, range(-1, 9) a(y), range(-1, 9) b(x)
+  LEFT JOIN {last} g ON g.site_id = f.site_id AND g.frame_idx = f.frame_idx AND g.y = a.y AND g.x = b.x
+), outside AS (
+  SELECT site_id, frame_idx, -1::BIGINT AS y, -1::BIGINT AS x FROM frame
+  UNION
+  SELECT p.site_id, p.frame_idx, p.y, p.x FROM outside o JOIN padded p
+    ON p.site_id = o.site_id AND p.frame_idx = o.frame_idx AND abs(p.y - o.y) + abs(p.x - o.x) = 1 AND NOT p.lit
+), full_ AS (
+  SELECT g.site_id, g.frame_idx, g.y, g.x, g.y * 8 + g.x AS pos, g.c, g.v FROM {last} g
+  ANTI JOIN outside o ON o.site_id = g.site_id AND o.frame_idx = g.frame_idx AND o.y = g.y AND o.x = g.x
 ), reach AS (
-  SELECT site_id, frame_idx, pos, pos AS root FROM hot
+  SELECT site_id, frame_idx, pos, pos AS root FROM full_
   UNION
-  SELECT b.site_id, b.frame_idx, b.pos, r.root FROM reach r JOIN hot a ON a.site_id = r.site_id AND a.frame_idx = r.frame_idx AND a.pos = r.pos
-  JOIN hot b ON b.site_id = a.site_id AND b.frame_idx = a.frame_idx AND abs(b.x - a.x) <= 1 AND abs(b.y - a.y) <= 1
+  SELECT b.site_id, b.frame_idx, b.pos, r.root FROM reach r JOIN full_ a ON a.site_id = r.site_id AND a.frame_idx = r.frame_idx AND a.pos = r.pos
+  JOIN full_ b ON b.site_id = a.site_id AND b.frame_idx = a.frame_idx AND abs(b.x - a.x) <= 1 AND abs(b.y - a.y) <= 1
 ), labelled AS (SELECT site_id, frame_idx, pos, min(root) AS blob FROM reach GROUP BY ALL
-), edged AS (
-  SELECT h.*, l.blob, (SELECT count(*) FROM hot n WHERE n.site_id = h.site_id AND n.frame_idx = h.frame_idx AND abs(n.x - h.x) + abs(n.y - h.y) = 1) < 4 AS edge
-  FROM hot h JOIN labelled l USING (site_id, frame_idx, pos)
-)
-SELECT site_id, frame_idx, blob::INTEGER AS blob, min(x)::DOUBLE AS x, min(y)::DOUBLE AS y, (max(x) - min(x) + 1)::DOUBLE AS w, (max(y) - min(y) + 1)::DOUBLE AS h,
-  round(avg(x), 6) AS cx, round(avg(y), 6) AS cy,
-  CASE WHEN count(*) - count(*) FILTER (edge) / 2.0 - 1 >= 1 THEN count(*) - count(*) FILTER (edge) / 2.0 - 1 ELSE count(*) FILTER (edge) END::DOUBLE AS area,
-  round(max(c), 6) AS peak, round(avg(c), 6) AS mean, round(avg(v), 6) AS contrast
-FROM edged GROUP BY site_id, frame_idx, blob""",
-)
+), owned AS (SELECT f.*, l.blob FROM full_ f JOIN labelled l USING (site_id, frame_idx, pos)
+), quad AS (
+  SELECT o.site_id, o.frame_idx, min(o.blob) AS blob, count(*) AS n, avg(o.x) AS mx, avg(o.y) AS my
+  FROM owned o, range(-1, 1) a(dy), range(-1, 1) b(dx) GROUP BY o.site_id, o.frame_idx, o.y + dy, o.x + dx HAVING count(*) >= 3
+), outline AS (
+  SELECT site_id, frame_idx, blob, sum(CASE n WHEN 4 THEN 1 ELSE 0.5 END)::DOUBLE AS area, sum(CASE n WHEN 4 THEN mx ELSE mx / 2 END) AS sx,
+         sum(CASE n WHEN 4 THEN my ELSE my / 2 END) AS sy FROM quad GROUP BY ALL
+), blob AS (
+  SELECT site_id, frame_idx, blob, min(x)::DOUBLE AS x, min(y)::DOUBLE AS y, (max(x) - min(x) + 1)::DOUBLE AS w, (max(y) - min(y) + 1)::DOUBLE AS h,
+         max(c) AS peak, avg(c) AS mean, avg(v) AS signed, avg(abs(v)) AS off FROM owned GROUP BY ALL
+)"""
+
+
+_BLOB_COLUMNS = """
+SELECT b.site_id, b.frame_idx, b.blob::INTEGER AS blob, x, y, w, h, round(coalesce(sx / area, x + w / 2), 6) AS cx, round(coalesce(sy / area, y + h / 2), 6) AS cy,
+  CASE WHEN area >= 1 THEN area END AS area, round(peak, 6) AS peak, round(mean, 6) AS mean, round({contrast}, 6) AS contrast, signed < 0 AS darker
+FROM blob b LEFT JOIN outline o ON o.site_id = b.site_id AND o.frame_idx = b.frame_idx AND o.blob = b.blob"""
+
+
+def _still(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames with their own level for a background."""
+    f = cell_frames(spark, sf_dir).select("site_id", "frame_idx", F.col("cells").alias("values"))
+    return f.withColumn("background", F.zip_with("values", site.relative(F.col("values")), lambda v, r: v - r))
+
+
+def _told(b: DataFrame) -> DataFrame:
+    """Thin blobs, whose area is a count of corners, go without it."""
+    area = F.when(~F.col("thin"), F.col("area"))
+    return b.select("site_id", "frame_idx", "blob", "x", "y", "w", "h", *r6("cx", "cy"), area.alias("area"), *r6("peak", "mean", "contrast"), "darker")
+
+
+@REGISTRY.add("blob_features", "WITH RECURSIVE " + CELLS_SQL + _outline_sql("v > 0.4", False) + _BLOB_COLUMNS.format(contrast="signed"))
 def blob_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = cell_frames(spark, sf_dir).select(
-        "site_id", "frame_idx", F.col("cells").alias("values"), F.transform("cells", lambda v: v).alias("background")
-    )
-    rel = site.relative(F.col("values"))
-    f = f.withColumn("background", F.zip_with("values", rel, lambda v, r: v - r))
-    b = blobs.detect_frozen(f, 8, 8, threshold=0.8, clean=False)
-    return b.select("site_id", "frame_idx", "blob", "x", "y", "w", "h", *r6("cx", "cy"), "area", *r6("peak", "mean", "contrast"))
+    return _told(blobs.detect_frozen(_still(spark, sf_dir), 8, 8, threshold=0.4, clean=False))
+
+
+@REGISTRY.add("motion_blobs", "WITH RECURSIVE " + CELLS_SQL + _outline_sql("v > -1.0", True) + _BLOB_COLUMNS.format(contrast="signed"))
+def motion_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thermal blobs of a mask that was opened and closed."""
+    return _told(blobs.detect_frozen(_still(spark, sf_dir), 8, 8, threshold=-1.0))
+
+
+@REGISTRY.add(
+    "optical_motion",
+    "WITH RECURSIVE " + CELLS_SQL + _outline_sql("abs(v) > 0.3", True, "pos // 8 BETWEEN 1 AND 6 AND pos % 8 BETWEEN site_id % 2 AND 7") + _BLOB_COLUMNS.format(contrast="off"),
+)
+def optical_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Optical blobs, warmer or colder, inside what the thermal sensor can see of the optical frame."""
+    small = Sensor(rows=4, cols=4, optical_rows=8, optical_cols=8)
+    still = _still(spark, sf_dir)
+    one = F.lit(1.0)
+    ahead = (F.col("site_id") % 2).cast("double")
+    h = F.array(F.lit(2.0), F.lit(0.0), ahead, F.lit(0.0), F.lit(1.5), one, F.lit(0.0), F.lit(0.0), one)
+    maps = still.select("site_id").distinct().withColumn("h", h)
+    seen = blobs.within_footprint(still, maps, small, Detect(roi_pad_px=0))
+    return _told(blobs.detect_frozen(seen, 8, 8, threshold=0.3, absolute=True))
 
 
 @REGISTRY.add(

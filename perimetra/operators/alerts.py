@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from perimetra.functions.geometry import distance
-from perimetra.operators.machines import Admission, AlertLife, Dwell, HeldNames, Numbers, RegionNames, Tracker
+from perimetra.operators.machines import Admission, AlertLife, Dwell, HeldNames, Numbers, Places, RegionNames, Tracker
 from perimetra.operators.scans import asof, chunked, keyed_scan, numbered, running_sum, sessions
 from perimetra.params import (
     ALERTING,
@@ -211,22 +211,46 @@ def region_names(regions: DataFrame, span: int | None = CHUNK_FRAMES) -> DataFra
     return keyed_scan(cut, ["site_id", "_since"], ["tick"], RegionNames, schema).drop("_since")
 
 
+def tracking_parts(dets: DataFrame, p: Tracking = TRACKING, span: int | None = CHUNK_FRAMES) -> DataFrame:
+    """Add ``_part``: detections of different parts of a site are never within a track's reach of each other.
+
+    Places are squares as wide as a track's reach; a stay in a place ends after as many empty frames as a track outlives. Stays that touch
+    in space and time make a part. Only stays go through one task a site, a row for each; detections are never gathered.
+    """
+    reach, gap = F.lit(float(p.max_step_px)), p.max_misses + 1
+    cell = lambda v: F.floor(F.col(v) / reach).cast("long")
+    placed = dets.withColumns({"gx": cell("cx"), "gy": cell("cy")})
+    keys = ["site_id", "gx", "gy"]
+    stayed = sessions(placed, keys, ["frame_idx", "det_id"], "frame_idx", gap, "_since", span)
+    stays = stayed.groupBy(*keys, F.col("_since").alias("start")).agg(F.max("frame_idx").alias("end"))
+    schema = "site_id long, gx long, gy long, _since long, label long, became long"
+    told = keyed_scan(stays, ["site_id"], ["start", "gx", "gy"], lambda: Places(gap), schema)
+    became = told.filter("became IS NOT NULL").select("site_id", "label", "became")
+    named = told.filter("became IS NULL").drop("became").join(became, ["site_id", "label"], "left").select(*keys, "_since", F.coalesce("became", "label").alias("_part"))
+    return stayed.join(named, [*keys, "_since"]).drop("gx", "gy", "_since")
+
+
+class _Ranked(Tracker):
+    """The tracker with the rank of each detection, by which tracks are numbered afterwards."""
+
+    def feed(self, c: dict) -> dict:
+        return {**super().feed(c), "_o": c["_o"]}
+
+
 def tracked(dets: DataFrame, p: Tracking = TRACKING, span: int | None = CHUNK_FRAMES) -> DataFrame:
     """Track number of each detection ``(site_id, frame_idx, det_id, cx, cy, area)``.
 
-    No track outlives ``max_misses`` empty frames, so longer silences cut a site into parts
-    that run apart; numbers are then made continuous over the parts.
+    Parts of a site that no track can join run apart, each a task's own; a site's tracks are then numbered by their first detections.
     """
     rows = dets.select("site_id", "frame_idx", "det_id", "cx", "cy", (-F.col("area")).alias("_o"))
-    cut = sessions(rows, ["site_id"], ["frame_idx", "_o", "det_id"], "frame_idx", p.max_misses + 1, "_since", span)
-    schema = "site_id long, _since long, frame_idx long, det_id long, track_no long"
-    scanned = keyed_scan(cut, ["site_id", "_since"], ["frame_idx", "_o", "det_id"], lambda: Tracker(p), schema)
-    made = scanned.groupBy("site_id", "_since").agg(F.max("track_no").alias("_made"))
-    ch = chunked(made, ["site_id"], ["_since"], carry={"_before": ("sum", F.col("_made"))}, span=span)
-    earlier = ch.with_columns({"_offset": running_sum(ch, "_before", F.col("_made")) - F.col("_made")}).finish("_before", "_made")
-    return scanned.join(earlier, ["site_id", "_since"]).select(
-        "site_id", "frame_idx", "det_id", (F.col("track_no") + F.col("_offset")).alias("track_id")
-    )
+    parts = tracking_parts(rows, p, span)
+    schema = f"site_id long, _part long, frame_idx long, det_id long, track_no long, _o {dict(rows.dtypes)['_o']}"
+    order = ["frame_idx", "_o", "det_id"]
+    scanned = keyed_scan(parts, ["site_id", "_part"], order, lambda: _Ranked(p), schema)
+    first = scanned.groupBy("site_id", "_part", "track_no").agg(F.min(F.struct(*order)).alias("_first"))
+    firsts = first.select("site_id", "_part", "track_no", *[F.col(f"_first.{c}").alias(c) for c in order])
+    numbers = numbered(firsts, ["site_id"], order, "track_id", span).select("site_id", "_part", "track_no", F.col("track_id").cast("long").alias("track_id"))
+    return scanned.join(numbers, ["site_id", "_part", "track_no"]).select("site_id", "frame_idx", "det_id", "track_id")
 
 
 def with_level(alerts: DataFrame, p: Threat = THREAT) -> DataFrame:

@@ -311,6 +311,70 @@ class RegionNames(Machine):
         return {"tick": np.asarray(ticks, np.int64), "minted": minted, "key": names}
 
 
+class Places(Machine):
+    """Stays in the places of one site, told apart where none can ever reach another.
+
+    A stay is a run of sightings in one place; two belong together if their places touch (or are one) while both last, ``gap`` frames more.
+    Each stay is told at once with the label of what it joins; when two labels meet, the younger one is told later with the label it became,
+    when nothing of theirs lasts any more. What is kept is what still lasts.
+    """
+
+    def __init__(self, gap: int):
+        self.gap = gap
+        self.made = 0
+        self.lasting: dict[tuple[int, int], tuple[int, int]] = {}
+        self.ends: list[tuple[int, int, int]] = []
+        self.head: dict[int, int] = {}
+        self.members: dict[int, list[int]] = {}
+        self.alive: dict[int, int] = {}
+
+    def feed(self, c: dict) -> dict:
+        told: list[tuple] = []
+        for gx, gy, start, end in zip(*(c[k].tolist() for k in ("gx", "gy", "start", "end"))):
+            self._expire(start, told)
+            near = {self._root(self.lasting[k][1]) for k in ((gx + a, gy + b) for a in (-1, 0, 1) for b in (-1, 0, 1)) if k in self.lasting}
+            if near:
+                label = min(near)
+                for other in near - {label}:
+                    self.head[other] = label
+                    self.members[label] += self.members.pop(other)
+                    self.alive[label] += self.alive.pop(other)
+            else:
+                self.made += 1
+                label = self.made
+                self.members[label], self.alive[label], self.head[label] = [label], 0, label
+            self.alive[label] += 1
+            self.lasting[gx, gy] = (end, label)
+            heapq.heappush(self.ends, (end, gx, gy))
+            told.append((gx, gy, start, label, None))
+        return self._told(told)
+
+    def _root(self, label: int) -> int:
+        while self.head[label] != label:
+            label = self.head[label]
+        return label
+
+    def _expire(self, now: int | None, told: list[tuple]) -> None:
+        while self.ends and (now is None or self.ends[0][0] + self.gap < now):
+            _, gx, gy = heapq.heappop(self.ends)
+            root = self._root(self.lasting.pop((gx, gy))[1])
+            self.alive[root] -= 1
+            if not self.alive[root]:
+                told += [(None, None, None, m, root) for m in self.members[root] if m != root]
+                for m in self.members.pop(root):
+                    del self.head[m]
+                del self.alive[root]
+
+    @staticmethod
+    def _told(rows: list[tuple]) -> dict | None:
+        return {k: [r[i] for r in rows] for i, k in enumerate(("gx", "gy", "_since", "label", "became"))} if rows else None
+
+    def close(self) -> dict | None:
+        told: list[tuple] = []
+        self._expire(None, told)
+        return self._told(told)
+
+
 class Tracker(Machine):
     """Nearest detection keeps the track, closest pairs first; a track ends after too many misses."""
 

@@ -184,7 +184,48 @@ def dets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@REGISTRY.add("tracks_from_detections")
+TRACKS_SQL = "WITH RECURSIVE " + track_obs_sql() + """
+, det AS (SELECT site_id, frame_idx // 40 AS frame_idx, frame_idx AS det_id, cx - 64 * floor(cx / 64) AS cx, cy - 48 * floor(cy / 48) AS cy, area FROM track_obs
+), shot AS (
+  SELECT site_id, frame_idx, list({'id': det_id, 'x': cx::DOUBLE, 'y': cy::DOUBLE} ORDER BY area DESC, det_id) AS dets,
+         row_number() OVER (PARTITION BY site_id ORDER BY frame_idx) AS i
+  FROM det GROUP BY site_id, frame_idx
+), walk AS (
+  SELECT DISTINCT site_id, 0::BIGINT AS i, 0::BIGINT AS frame_idx, []::STRUCT(id BIGINT, x DOUBLE, y DOUBLE, miss BIGINT)[] AS live, 0::BIGINT AS made,
+         []::STRUCT(det BIGINT, track BIGINT)[] AS told
+  FROM shot
+  UNION ALL
+  SELECT site_id, i, frame_idx,
+    list_concat(
+      list_filter(list_transform(range(1, len(t) + 1), lambda k: CASE WHEN list_contains(m.ts, k)
+        THEN {'id': t[k].id, 'x': dets[m.ds[list_position(m.ts, k)]].x, 'y': dets[m.ds[list_position(m.ts, k)]].y, 'miss': 0::BIGINT}
+        ELSE {'id': t[k].id, 'x': t[k].x, 'y': t[k].y, 'miss': t[k].miss + 1} END), lambda q: q.miss <= 1),
+      list_transform(fresh, lambda k: {'id': made + list_position(fresh, k), 'x': dets[k].x, 'y': dets[k].y, 'miss': 0::BIGINT})),
+    made + len(fresh),
+    list_transform(range(1, len(dets) + 1), lambda k: {'det': dets[k].id, 'track': CASE WHEN list_contains(m.ds, k)
+      THEN t[m.ts[list_position(m.ds, k)]].id ELSE made + list_position(fresh, k) END})
+  FROM (
+    SELECT *, list_filter(range(1, len(dets) + 1), lambda k: NOT list_contains(m.ds, k)) AS fresh
+    FROM (
+      SELECT *, list_reduce(list_concat([{'ts': []::BIGINT[], 'ds': []::BIGINT[]}], list_transform(pairs, lambda q: {'ts': [q.ti], 'ds': [q.di]})),
+               lambda acc, q: CASE WHEN list_contains(acc.ts, q.ts[1]) OR list_contains(acc.ds, q.ds[1]) THEN acc
+                 ELSE {'ts': list_append(acc.ts, q.ts[1]), 'ds': list_append(acc.ds, q.ds[1])} END) AS m
+      FROM (
+        SELECT *, list_sort(list_filter(flatten(list_transform(range(1, len(t) + 1), lambda a: list_transform(range(1, len(dets) + 1), lambda b:
+                 {'d': sqrt((t[a].x - dets[b].x) * (t[a].x - dets[b].x) + (t[a].y - dets[b].y) * (t[a].y - dets[b].y)), 'ti': a, 'di': b}))), lambda q: q.d <= 10)) AS pairs
+        FROM (
+          SELECT s.site_id, s.i, s.frame_idx, s.dets, w.made, CASE WHEN w.i = 0 OR s.frame_idx = w.frame_idx + 1 THEN w.live ELSE
+                   list_filter(list_transform(w.live, lambda q: {'id': q.id, 'x': q.x, 'y': q.y, 'miss': q.miss + s.frame_idx - w.frame_idx - 1}), lambda q: q.miss <= 1) END AS t
+          FROM walk w JOIN shot s ON s.site_id = w.site_id AND s.i = w.i + 1
+        )
+      )
+    )
+  )
+)
+SELECT site_id, frame_idx, unnest(told).det AS det_id, unnest(told).track AS track_id FROM walk"""
+
+
+@REGISTRY.add("tracks_from_detections", TRACKS_SQL)
 def tracks_from_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = dets(spark, sf_dir)
     return alerts.tracked(d, Tracking(max_step_px=10.0, max_misses=1), chunk_span(d))

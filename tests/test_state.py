@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
 from perimetra.operators import alerts, tracks
@@ -143,3 +144,35 @@ def test_tracker_parts_match_one_run(spark):
     whole = Tracker(p).feed(cols)
     want = dict(zip(whole["det_id"].tolist(), whole["track_no"].tolist()))
     assert {r.det_id: r.track_id for r in alerts.tracked(df, p, None).collect()} == want
+
+
+def test_tracks_of_a_busy_site_run_in_parts(spark):
+    from perimetra.operators.machines import Tracker
+
+    rng = random.Random(8)
+    rows = []
+    for f in range(1, 400):
+        for k in range(9):  # nine objects that wander about corners of the frame, some of which meet
+            if rng.random() < 0.9:
+                x, y = 80 * (k % 3) + 20 * math.sin(f / 17 + k) + rng.random(), 70 * (k // 3) + 25 * math.cos(f / 23) + rng.random()
+                rows.append((1 + (f % 97 == 0), f, len(rows), x, y, rng.choice([5.0, 9.0])))
+        if f % 40 == 0:
+            rows.append((1, f, len(rows), 120.0 + f / 4, 100.0, 7.0))
+    p = Tracking(max_step_px=12.0, max_misses=3)
+    df = spark.createDataFrame(rows, "site_id long, frame_idx long, det_id long, cx double, cy double, area double")
+    want = {}
+    for site in (1, 2):
+        mine = sorted((r for r in rows if r[0] == site), key=lambda r: (r[1], -r[5], r[2]))
+        cols = {k: np.array([r[i] for r in mine]) for i, k in enumerate(("site_id", "frame_idx", "det_id", "cx", "cy", "area"))}
+        told = Tracker(p).feed(cols)
+        want |= {(site, int(d)): int(t) for d, t in zip(told["det_id"], told["track_no"])}
+    assert {(r.site_id, r.det_id): r.track_id for r in alerts.tracked(df, p, None).collect()} == want
+    parts = alerts.tracking_parts(df, p, None)
+    assert parts.count() == len(rows) and parts.filter("site_id = 1").select("_part").distinct().count() >= 6
+    # nothing of one part is ever within reach of another
+    seen = [tuple(r) for r in parts.select("site_id", "frame_idx", "cx", "cy", "_part").collect()]
+    for a in seen:
+        for b in seen:
+            if a[0] == b[0] and a[4] < b[4] and abs(a[1] - b[1]) <= 4:
+                assert math.hypot(a[2] - b[2], a[3] - b[3]) > 12
+    assert alerts.tracked(df.filter("false"), p, None).collect() == []

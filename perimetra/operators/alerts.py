@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from perimetra.functions.geometry import distance
-from perimetra.operators.machines import Admission, AlertLife, Dwell, HeldNames, Numbers, Places, RegionNames, Tracker
+from perimetra.operators.machines import Admission, AlertLife, Dwell, HeldNames, Numbers, Places, RegionNames, RequestDesk, Tracker
 from perimetra.operators.scans import asof, chunked, keyed_scan, numbered, running_sum, sessions
 from perimetra.params import (
     ALERTING,
@@ -180,6 +180,19 @@ def admitted(candidates: DataFrame, p: Escalate = ESCALATE, span: int | None = C
     return keyed_scan(cut, ["site_id", "_since"], ["frame_idx", "key"], lambda: Admission(p), schema).drop("_since")
 
 
+def request_desk(candidates: DataFrame, replies: DataFrame, p: Escalate = ESCALATE) -> DataFrame:
+    """What happens to requests: sent, queued, turned away or answered, as ``(site_id, key, t_us, event)``.
+
+    ``candidates(site_id, key, t_us)`` and ``replies(site_id, key, t_us)`` of a site are one sequence; of one moment replies come first. A site is
+    one task, as one service answers it; its rows stream, and what is held is the queue and the keys within their cooldown.
+    """
+    asks = candidates.select("site_id", "key", "t_us", F.lit(False).alias("reply"))
+    both = asks.unionByName(replies.select("site_id", "key", "t_us", F.lit(True).alias("reply")))
+    ordered = both.withColumn("_first", (~F.col("reply")).cast("int"))
+    schema = "site_id long, key string, t_us long, event string"
+    return keyed_scan(ordered, ["site_id"], ["t_us", "_first", "key"], lambda: RequestDesk(p), schema, drop=["_first"])
+
+
 def held_names(found: DataFrame, p: Fusion = FUSION, span: int | None = CHUNK_FRAMES, forgets: DataFrame | None = None) -> DataFrame:
     """Names in force after each recognition pass. ``forgets(site_id, frame_idx, t_us)``: all models of the site drop theirs behind that pass.
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections import OrderedDict
+from collections import OrderedDict, deque
 
 import numpy as np
 
@@ -237,6 +237,50 @@ class Admission(Machine):
         return {"key": [c["key"][i] for i in kept], "frame_idx": c["frame_idx"][kept], "t_us": c["t_us"][kept]}
 
 
+class RequestDesk(Machine):
+    """Requests of one site to a single answering service: one on its way, some waiting, each key once.
+
+    Rows are candidates and replies (``reply`` true). A request is made if its key has none open, was not asked within the cooldown and no other
+    was just made. With the queue full it is turned away, and still counts as asked. A reply to the request on its way sends the next one;
+    any other reply is none of this desk's.
+    """
+
+    def __init__(self, p: Escalate = ESCALATE):
+        self.p = p
+        self.last = -math.inf
+        self.asked: dict[str, float] = {}
+        self.away: str | None = None
+        self.waiting: deque[str] = deque()
+
+    def feed(self, c: dict) -> dict | None:
+        told: list[tuple[str, int, str]] = []
+        for key, t, reply in zip(c["key"], c["t_us"].tolist(), c["reply"].tolist()):
+            if reply:
+                if key == self.away and key is not None:
+                    told.append((key, t, "answered"))
+                    self.away = self.waiting.popleft() if self.waiting else None
+                    if self.away is not None:
+                        told.append((self.away, t, "sent"))
+                continue
+            s = t / 1e6
+            if key == self.away or key in self.waiting:
+                continue
+            if s - self.asked.get(key, -math.inf) < self.p.cooldown_s or s - self.last < self.p.min_gap_s:
+                continue
+            self.asked[key] = self.last = s
+            if self.away is None:
+                self.away = key
+                told.append((key, t, "sent"))
+            elif len(self.waiting) < self.p.max_queue:
+                self.waiting.append(key)
+                told.append((key, t, "queued"))
+            else:
+                told.append((key, t, "turned away"))
+        # what is over its cooldown says nothing any more
+        self.asked = {k: s for k, s in self.asked.items() if self.last - s < self.p.cooldown_s}
+        return {k: [r[i] for r in told] for i, k in enumerate(("key", "t_us", "event"))} if told else None
+
+
 class HeldNames(Machine):
     """Names stay for a while after a pass that did not repeat them; a repeat refreshes its box.
 

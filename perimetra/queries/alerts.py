@@ -175,6 +175,44 @@ def escalation_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alerts.admitted(alerts.escalation_candidates(a, ADMIT), ADMIT, chunk_span(a)).select("site_id", "key", "frame_idx", "t_us")
 
 
+@REGISTRY.add(
+    "request_desk",
+    "WITH RECURSIVE " + assessments_sql() + """
+, cand AS (
+  SELECT site_id, key, t_us, 1 AS later FROM assessments
+  WHERE (kind = 'track' AND (threat >= 0.75 OR ((label = 'unknown' OR confidence < 0.65) AND threat >= 0.35)))
+     OR (kind = 'optical' AND (threat >= 0.75 OR (label <> 'drone' AND dwell_s >= 20)))
+  UNION ALL SELECT site_id, key, t_us + 1, 0 FROM assessments WHERE frame_idx % 2 = 0
+), row_ AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY t_us, later, key) AS i FROM cand
+), walk AS (
+  SELECT DISTINCT site_id, 0::BIGINT AS i, NULL::BIGINT AS t_us, -1000000000000000::BIGINT AS last_us, MAP([]::VARCHAR[], []::BIGINT[]) AS asked,
+         NULL::VARCHAR AS away, []::VARCHAR[] AS waiting, []::STRUCT(key VARCHAR, event VARCHAR)[] AS told
+  FROM row_
+  UNION ALL
+  SELECT site_id, i, t_us, CASE WHEN go THEN t_us ELSE last_us END, CASE WHEN go THEN map_concat(asked, MAP([key], [t_us])) ELSE asked END,
+    CASE WHEN back THEN waiting[1] WHEN go AND away IS NULL THEN key ELSE away END,
+    CASE WHEN back THEN waiting[2:] WHEN go AND away IS NOT NULL AND len(waiting) < 4 THEN list_append(waiting, key) ELSE waiting END,
+    CASE WHEN back AND len(waiting) > 0 THEN [{'key': key, 'event': 'answered'}, {'key': waiting[1], 'event': 'sent'}]
+         WHEN back THEN [{'key': key, 'event': 'answered'}]
+         WHEN go AND away IS NULL THEN [{'key': key, 'event': 'sent'}]
+         WHEN go AND len(waiting) < 4 THEN [{'key': key, 'event': 'queued'}]
+         WHEN go THEN [{'key': key, 'event': 'turned away'}] ELSE []::STRUCT(key VARCHAR, event VARCHAR)[] END
+  FROM (
+    SELECT r.site_id, r.i, r.t_us, r.key, w.last_us, w.asked, w.away, w.waiting, r.later = 0 AND coalesce(r.key = w.away, false) AS back,
+      r.later = 1 AND coalesce(r.key <> w.away, true) AND NOT list_contains(w.waiting, r.key)
+      AND (r.t_us - w.last_us) / 1e6 >= 7200 AND coalesce((r.t_us - w.asked[r.key]) / 1e6 >= 86400, true) AS go
+    FROM walk w JOIN row_ r ON r.site_id = w.site_id AND r.i = w.i + 1
+  )
+)
+SELECT site_id, t_us, unnest(told).key AS key, unnest(told).event AS event FROM walk""",
+)
+def request_desk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests with a queue; every second row of a site also stands for a reply about its object."""
+    a = assessments(spark, sf_dir).withColumns({"found": F.lit(True), "warm": F.col("label") == "drone"})
+    replies = a.filter(F.col("frame_idx") % 2 == 0).select("site_id", "key", (F.col("t_us") + 1).alias("t_us"))
+    return alerts.request_desk(alerts.escalation_candidates(a, ADMIT), replies, ADMIT).select("site_id", "key", "t_us", "event")
+
+
 def dets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event stand-ins as detections, a handful per frame."""
     obs = track_obs(spark, sf_dir)

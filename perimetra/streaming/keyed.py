@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from perimetra.operators.machines import Admission, Dwell, HeldNames, LiveAlerts, Machine, NumberBoard, Passage, Tracker
+from perimetra.operators.machines import Admission, Dwell, HeldNames, LiveAlerts, Machine, NumberBoard, Passage, RequestDesk, Tracker
 from perimetra.operators.blobs import BLOB, MotionDetector
 from perimetra.operators.site import ThermalLearner
 from perimetra.params import (
@@ -193,6 +193,21 @@ def admitted(candidates: DataFrame, p: Escalate = ESCALATE, event_time: str = "t
     return _run(source, keys, schema, proc, event_time)
 
 
+def request_desk(candidates: DataFrame, replies: DataFrame, p: Escalate = ESCALATE, event_time: str = "ts") -> DataFrame:
+    """What happens to requests of ``candidates(site_id, key, t_us, ts)``, given ``replies`` of the same columns; see the batch operator."""
+    schema = "site_id long, object_key string, t_us long, event string"
+    columns = ["site_id", F.col("key").alias("object_key"), "t_us", event_time]
+    both = _both(candidates.select(*columns, F.lit(False).alias("reply")), replies.select(*columns, F.lit(True).alias("reply")), event_time)
+
+    class Ask(MachineStream):
+        def step(self, machine: Machine, cols: dict) -> dict | None:
+            told = machine.feed({**cols, "key": cols["object_key"]})
+            return told and {"object_key": told["key"], "t_us": told["t_us"], "event": told["event"]}
+
+    proc = Ask(["site_id"], ["t_us", "later", "object_key"], lambda: RequestDesk(p), _names(schema), event_time, None)
+    return _run(both.withColumn("later", (~F.col("reply")).cast("int")), ["site_id"], schema, proc, event_time, True)
+
+
 def object_numbers(assessed: DataFrame, p: Alerting = ALERTING, event_time: str = "ts") -> DataFrame:
     """Number of every object in every frame."""
     schema = "site_id long, object_key string, frame_idx long, number long"

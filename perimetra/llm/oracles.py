@@ -101,3 +101,73 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   round(class_distance, 6) AS class_distance, round(word_distance, 6) AS word_distance
 FROM far
 """
+
+_CRC = (
+    "xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, len(k) + 1), lambda i: ascii(k[i])::BIGINT)), "
+    "lambda c, b: list_reduce(list_concat([xor(c, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), "
+    "lambda a, z: xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384::BIGINT ELSE 0 END))), 4294967295::BIGINT)"
+)
+
+
+def _least(*ways: str) -> str:
+    return f"list_sort([{', '.join(ways)}])[1]"
+
+
+def _inserted(way: str, role: str) -> str:
+    return f"{{'c': {way}.c + 5, 'a': {way}.a || 'I', 't': {way}.t || CASE WHEN {way}.t = '' THEN '' ELSE chr(10) END || '{role}:'}}"
+
+
+def _deleted(way: str) -> str:
+    return f"{{'c': {way}.c + 2, 'a': {way}.a || 'D', 't': {way}.t}}"
+
+
+def _taken(way: str, char: str, role: str) -> str:
+    """The turn kept, or given another role, behind a way."""
+    line = f"{way}.t || CASE WHEN {way}.t = '' THEN '' ELSE chr(10) END || CASE WHEN first = '{char}' THEN role ELSE '{role}' END || ':' || text"
+    cost = f"{way}.c + CASE WHEN gone THEN 1000000 ELSE (first <> '{char}')::BIGINT + cut::BIGINT * 5 END"
+    return f"{{'c': {cost}, 'a': {way}.a || CASE WHEN first = '{char}' THEN 'K' ELSE 'R' END, 't': {line}}}"
+
+
+#: A walk over the turns with the best way to each place in the grammar: nothing yet (n), after system (s), user (u), assistant (a).
+REPAIR = rf"""
+WITH RECURSIVE raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k
+  FROM conversations
+), rolled AS (SELECT *, {_CRC} % 20 AS fault FROM raw
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN fault = 1 THEN '' WHEN fault = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN fault = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM rolled WHERE fault <> 0
+), placed AS (
+  SELECT *, substr(role, 1, 1) AS first, regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS body,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again
+  FROM damaged
+), turns AS (
+  SELECT *, body = '' OR again AS gone, body <> '' AND NOT again AND right(body, 1) NOT IN ('.', '!', '?') AS cut,
+    lag(first) OVER (PARTITION BY conv_id ORDER BY i) AS before
+  FROM placed
+), walk AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': '', 't': ''}} AS n, {{'c': 1000000::BIGINT, 'a': '', 't': ''}} AS s,
+    {{'c': 5::BIGINT, 'a': 'I', 't': 'user:'}} AS u, {{'c': 10::BIGINT, 'a': 'II', 't': 'user:' || chr(10) || 'assistant:'}} AS a
+  FROM conversations
+  UNION ALL
+  SELECT conv_id, i, n, s, {_least('u', _inserted('a', 'user'))}, a
+  FROM (SELECT conv_id, i, n, s, u, {_least('a', _inserted('u', 'assistant'))} AS a
+    FROM (SELECT conv_id, i, n, s, a, {_least('u', _inserted('n', 'user'), _inserted('s', 'user'), _inserted('a', 'user'))} AS u
+      FROM (
+        SELECT conv_id, i, {_deleted('n')} AS n, {_least(_deleted('s'), "CASE WHEN first = 's' THEN " + _taken('n', 's', '') + " ELSE {'c': 1000000::BIGINT, 'a': '', 't': ''} END")} AS s,
+          {_least(_deleted('u'), _taken('n', 'u', 'user'), _taken('s', 'u', 'user'), _taken('a', 'u', 'user'))} AS u,
+          {_least(_deleted('a'), _taken('u', 'a', 'assistant'))} AS a
+        FROM (SELECT t.conv_id, t.i, t.first, t.role, t.text, t.gone, t.cut, w.n, w.s, w.u, w.a FROM walk w JOIN turns t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.i = w.i + 1))))
+), best AS (SELECT conv_id, {_least('arg_max(n, i)', 'arg_max(a, i)')} AS w FROM walk GROUP BY conv_id
+), told AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (body = '') AS blank,
+    count(*) FILTER (body <> '' AND again) AS duplicate, count(*) FILTER (cut) AS truncated,
+    count(*) FILTER (i > 1 AND before || first NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM turns GROUP BY conv_id)
+SELECT b.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, w.c::BIGINT AS cost, w.a AS audit, sha256(w.t) AS repaired_sha256
+FROM best b LEFT JOIN told t ON t.conv_id IS NOT DISTINCT FROM b.conv_id
+"""

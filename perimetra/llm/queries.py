@@ -108,6 +108,6 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("deviation", F.expr("try_cast(deviation AS long)"))
 
 
-@add("op13_conversation_repair")
+@add("op13_conversation_repair", oracles.REPAIR)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turnrepair.audited(turnrepair.damaged(table(spark, sf_dir, "conversations")), F.col("lost"))

@@ -95,6 +95,12 @@ def for_dwell(actions: DataFrame) -> DataFrame:
     return taken.select("site_id", number.cast("long").alias("track_id"), "frame_idx", "t_us", F.lit(1).alias("act"), "action")
 
 
+def for_contacts(actions: DataFrame) -> DataFrame:
+    """Accepted contacts of the optical sensor by key."""
+    taken = actions.filter((F.col("action") == "accept") & F.col("key").startswith("optical"))
+    return taken.select("site_id", "key", "frame_idx", "t_us", "action")
+
+
 def for_alerts(assessed: DataFrame, actions: DataFrame) -> DataFrame:
     """Verdicts and, behind them, what ends or acknowledges the alert of their key: accepting an object clears its alert."""
     said = actions.filter(F.col("action").isin("accept", "clear") & F.col("key").isNotNull())

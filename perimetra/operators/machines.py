@@ -130,6 +130,27 @@ class Dwell(Machine):
         return {"frame_idx": c["frame_idx"][~acts], "dwell_s": out[~acts]}
 
 
+class Stay(Machine):
+    """How long a contact has been in its place, told at every sighting; a gap over the grace starts again, and so does an operator's accept."""
+
+    def __init__(self, p: Fusion = FUSION):
+        self.p = p
+        self.since = self.last = None
+
+    def feed(self, c: dict) -> dict | None:
+        acts = np.array([isinstance(a, str) for a in c["action"]]) if "action" in c else np.zeros(len(c["t_us"]), bool)
+        out = np.zeros(len(acts))
+        for i, (t, act) in enumerate(zip(c["t_us"].tolist(), acts)):
+            if act:
+                self.since = None
+                continue
+            if self.since is None or t - self.last > self.p.contact_gap_s * 1e6:
+                self.since = t
+            self.last = t
+            out[i] = (t - self.since) / 1e6
+        return {"frame_idx": c["frame_idx"][~acts], "t_us": c["t_us"][~acts], "dwell_s": out[~acts]} if not acts.all() else None
+
+
 class Passage(Machine):
     """Sightings of one track that count as traffic: moving, established, and not under alert in the frame before.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from perimetra.functions import classify as C
 from perimetra.functions.geometry import distance
-from perimetra.operators.scans import CHUNK, HALO, chunked, running_count, running_max, sessions
+from perimetra.operators.scans import CHUNK, HALO, chunked, running_count, running_max, running_sum, sessions
 from perimetra.params import ALERTING, CHUNK_FRAMES, CLASSIFY, FUSION, TRACKING, Alerting, Classify, Fusion, Tracking
 
 TRACK = ["site_id", "track_id"]
@@ -106,6 +106,17 @@ def contact_dwell(contacts: DataFrame, p: Fusion = FUSION, span: int | None = CH
     return marked.withColumn("dwell_s", (F.col("t_us") - F.col("_since")) / 1e6).drop("_since")
 
 
+def contact_stays(contacts: DataFrame, actions: DataFrame, p: Fusion = FUSION, span: int | None = CHUNK_FRAMES) -> DataFrame:
+    """`contact_dwell` where operators take contacts for normal: behind ``actions(site_id, key, frame_idx)`` a contact's stay starts again."""
+    keys = ["site_id", "key"]
+    marks = actions.select(*keys, "frame_idx").distinct().withColumn("_act", F.lit(1))
+    both = contacts.withColumn("_act", F.lit(0)).unionByName(marks, allowMissingColumns=True)
+    ch = chunked(both, keys, ["frame_idx", "_act"], carry={"_before": ("sum", F.col("_act"))}, span=span)
+    told = ch.with_columns({"_word": running_sum(ch, "_before", F.col("_act"))}).finish("_before").filter("_act = 0").drop("_act")
+    marked = sessions(told, [*keys, "_word"], ["frame_idx"], "t_us", p.contact_gap_s * 1e6, "_since", span)
+    return marked.withColumn("dwell_s", (F.col("t_us") - F.col("_since")) / 1e6).drop("_since", "_word")
+
+
 def every_nth(rows: DataFrame, keys: list[str], order: str, n: int, span: int | None = CHUNK_FRAMES) -> DataFrame:
     """The first of every ``n`` rows of a key: how slower stages sample the frame sequence."""
     ch = chunked(rows, keys, [order], carry={"_before": ("sum", F.lit(1))}, span=span)

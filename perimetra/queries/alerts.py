@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from perimetra.operators import alerts, regions, site, tracks
@@ -11,7 +11,7 @@ from perimetra.params import Alerting, Escalate, Fusion, Tracking
 from perimetra.queries import REGISTRY
 from perimetra.queries.site import CELLS_SQL, MODEL_SQL, OPTICAL_SQL, PERSIST_SQL, SMALL, SMALL_OPTICAL, small_optical, small_reads
 from perimetra.queries.tracks import KINEMATICS_SQL
-from perimetra.sources.adapters import assessments, assessments_sql, track_obs, track_obs_sql
+from perimetra.sources.adapters import BOXES_SQL, assessments, assessments_sql, boxes, track_obs, track_obs_sql
 
 # Events are hours apart, so the clock-based limits are hours too.
 HOURS = Alerting(open_after=2, threshold=0.5, close_after_s=43200.0, forget_number_s=43200.0)
@@ -333,7 +333,36 @@ def optical_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@REGISTRY.add("region_names")
+@REGISTRY.add(
+    "region_names",
+    "WITH RECURSIVE " + BOXES_SQL + """
+, spot AS (
+  SELECT frame_idx % 7 AS site_id, frame_idx // 28 AS tick, frame_idx, det_id, x::DOUBLE AS x, y::DOUBLE AS y, w::DOUBLE AS w, h::DOUBLE AS h, area
+  FROM boxes WHERE sensor = 'optical'
+), named AS (
+  SELECT *, 'optical-static:' || floor(y / 64)::BIGINT || ':' || floor(x / 64)::BIGINT AS key, row_number() OVER (PARTITION BY site_id, tick ORDER BY area DESC, y, x, det_id) AS rank
+  FROM spot
+), shown AS (SELECT site_id, tick, list({'key': key, 'x': x, 'y': y, 'w': w, 'h': h} ORDER BY rank) AS rs FROM named WHERE rank <= 6 GROUP BY ALL
+), placed AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY tick) AS i FROM shown
+), walk AS (
+  SELECT DISTINCT site_id, 0::BIGINT AS i, -9::BIGINT AS tick, []::STRUCT(key VARCHAR, x DOUBLE, y DOUBLE, w DOUBLE, h DOUBLE)[] AS rs,
+         []::STRUCT(name VARCHAR, x DOUBLE, y DOUBLE, w DOUBLE, h DOUBLE)[] AS held FROM placed
+  UNION ALL
+  SELECT site_id, i, tick, rs, list_transform(rs, lambda r: {'name': coalesce(list_filter(old, lambda o: r.x < o.x + o.w AND o.x < r.x + r.w AND r.y < o.y + o.h AND o.y < r.y + r.h)[1].name, r.key),
+                                                             'x': r.x, 'y': r.y, 'w': r.w, 'h': r.h})
+  FROM (SELECT p.site_id, p.i, p.tick, p.rs, CASE WHEN p.tick = w.tick + 1 THEN w.held ELSE [] END AS old FROM walk w JOIN placed p ON p.site_id = w.site_id AND p.i = w.i + 1)
+), told AS (SELECT site_id, tick, unnest(range(1, len(rs) + 1)) AS k, rs, held FROM walk WHERE i > 0)
+SELECT site_id, tick, rs[k].key AS minted, held[k].name AS key FROM told""",
+)
 def region_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = regions.optical_regions(small_optical(spark, sf_dir), SMALL_OPTICAL).withColumn("tick", F.col("frame_idx"))
-    return alerts.region_names(r, None)
+    """Names of the six largest boxes of a site in each of its ticks; most ticks follow one another, so most names are inherited."""
+    b = boxes(spark, sf_dir).filter(F.col("sensor") == "optical")
+    f = F.col("frame_idx")
+    spots = b.select(
+        (f % 7).alias("site_id"), F.floor(f / 28).cast("long").alias("tick"), "det_id", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "w", "h")], "area"
+    )
+    rank = F.row_number().over(Window.partitionBy("site_id", "tick").orderBy(F.desc("area"), "y", "x", "det_id"))
+    shown = spots.withColumn("rank", rank).filter("rank <= 6")
+    cell = lambda c: F.floor(F.col(c) / 64).cast("long")
+    keyed = shown.select("site_id", "tick", F.format_string("optical-static:%d:%d", cell("y"), cell("x")).alias("key"), "x", "y", "w", "h", (10 - F.col("rank")).cast("double").alias("dwell_s"))
+    return alerts.region_names(keyed, None)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from perimetra.operators.machines import Admission, Dwell, HeldNames, LiveAlerts, Machine, NumberBoard, Passage, RequestDesk, Tracker
+from perimetra.operators.machines import Admission, Dwell, HeldNames, LiveAlerts, Machine, NumberBoard, Passage, RequestDesk, Stay, Tracker
 from perimetra.operators.blobs import BLOB, MotionDetector
 from perimetra.operators.site import ThermalLearner
 from perimetra.params import (
@@ -172,6 +172,19 @@ def dwell(tracks: DataFrame, p: Fusion = FUSION, ttl_s: float = 60.0, event_time
     return _run(tracks, keys, schema, MachineStream(keys, ["frame_idx"], lambda: Dwell(p), _names(schema), event_time, ttl_s), event_time)
 
 
+def contact_stays(contacts: DataFrame, actions: DataFrame | None = None, p: Fusion = FUSION, event_time: str = "ts") -> DataFrame:
+    """Dwell of ``contacts(site_id, key, frame_idx, t_us, ts)`` at every sighting, while the stay lasts; a contact's record goes after
+    ``contact_purge_s`` of silence. ``actions(site_id, key, frame_idx, t_us, ts, action)`` start a contact anew behind their frame."""
+    schema = "site_id long, object_key string, frame_idx long, t_us long, dwell_s double"
+    seen = contacts.select("site_id", F.col("key").alias("object_key"), "frame_idx", "t_us", event_time, F.lit(0).alias("act"))
+    if actions is not None:
+        said = actions.select("site_id", F.col("key").alias("object_key"), "frame_idx", "t_us", event_time, F.lit(1).alias("act"), "action")
+        seen = _both(seen, said, event_time)
+    keys = ["site_id", "object_key"]
+    proc = MachineStream(keys, ["frame_idx", "act"], lambda: Stay(p), _names(schema), event_time, p.contact_purge_s)
+    return _run(seen, keys, schema, proc, event_time, actions is not None)
+
+
 def tracked(dets: DataFrame, p: Tracking = TRACKING, event_time: str = "ts") -> DataFrame:
     """Track numbers of ``dets(site_id, frame_idx, t_us, ts, det_id, cx, cy, size_rank)``; a number is never given twice at a site."""
     schema = "site_id long, frame_idx long, det_id long, track_no long"

@@ -73,3 +73,67 @@ def test_silence_is_told_once_without_any_row(spark, tmp_path):
         assert all(r.silent_ms >= 2000 for r in spark.table("health_out").filter("event = 'stale'").collect())
     finally:
         q.stop()
+
+
+def test_stays_are_told_while_they_last_and_records_are_purged(spark, tmp_path):
+    from test_controls import acted
+
+    from perimetra.operators import controls, tracks
+    from perimetra.operators.machines import Stay
+
+    r = random.Random(5)
+    rows, t = [], dict.fromkeys(("optical:1:1", "optical:2:5"), 0)
+    for key in t:
+        for _ in range(80):
+            t[key] += r.choice([1, 1, 1, 2, 3, 15])
+            rows.append((1, key, t[key], t[key] * 1_000_000))
+    df = spark.createDataFrame(rows, "site_id long, key string, frame_idx long, t_us long")
+    # in the middle of a stay, on its frame and on the one behind it
+    lasting = [a for a, b, c in zip(rows, rows[1:], rows[2:]) if a[1] == c[1] and b[2] - a[2] == 2 and c[2] - b[2] <= 2]
+    picked = ((lasting[0][1], lasting[0][2]), (lasting[-1][1], lasting[-1][2] + 1), ("track:1", 7))
+    acts = acted(spark, *[{"site_id": 1, "frame_idx": f, "t_us": f * 1_000_000, "action": "accept", "sensor": "optical", "key": k} for k, f in picked])
+    said = controls.for_contacts(acts)
+    want = {}
+    for key in t:
+        since = last = None
+        for _, k, f, us in sorted(r for r in rows if r[1] == key):
+            accepted = any(a.key == key and (last is not None and last // 1_000_000 <= a.frame_idx < f) for a in said.collect())
+            if since is None or us - last > 2_000_000 or accepted:
+                since = us
+            last = us
+            want[key, f] = (us - since) / 1e6
+    batch = tracks.contact_stays(df, said, span=None)
+    assert {(q.key, q.frame_idx): q.dwell_s for q in batch.collect()} == want
+    plain = {(q.key, q.frame_idx): q.dwell_s for q in tracks.contact_dwell(df, span=None).collect()}
+    assert plain != want
+    ts = F.timestamp_micros("t_us")
+    out = drain(keyed.contact_stays(as_stream(df.withColumn("ts", ts), tmp_path, "seen", 4), as_stream(said.withColumn("ts", ts), tmp_path, "said", 1)), "stays_out", tmp_path)
+    assert {(q.object_key, q.frame_idx): q.dwell_s for q in out.filter("site_id = 1").collect()} == want
+    told = []
+    watch = keyed.MachineStream(["site_id", "object_key"], ["frame_idx"], Stay, ["site_id", "object_key", "frame_idx", "t_us", "dwell_s"], "ts", 10.0)
+
+    class State:
+        held = None
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            return self.held
+
+        def update(self, v):
+            self.held = v
+
+        def clear(self):
+            self.held = None
+
+    import pickle
+
+    watch.handle = type("H", (), {"registerTimer": lambda self, at: told.append(at)})()
+    watch.state, watch.waiting = State(), State()
+    clock = lambda ms: type("T", (), {"getCurrentWatermarkInMs": lambda self: ms})()
+    watch.state.update((pickle.dumps(Stay()), 5_000))
+    list(watch.handleExpiredTimer((1, "k"), clock(15_000), None))
+    assert watch.state.exists() and told == [15_001]
+    list(watch.handleExpiredTimer((1, "k"), clock(15_001), None))
+    assert not watch.state.exists()

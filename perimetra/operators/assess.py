@@ -93,10 +93,19 @@ def union(*parts: DataFrame, p: Threat = THREAT) -> DataFrame:
     return out.withColumn("level", T.level(F.col("threat"), p))
 
 
-def settled_ready(rows: DataFrame, sites: DataFrame) -> DataFrame:
-    """Keep rows of sites whose models are both learned and that are in no learning session."""
-    ready = sites.filter(~F.col("in_session") & F.col("thermal_learned") & F.coalesce("optical_learned", F.lit(True)))
-    return rows.join(ready.select("site_id"), "site_id", "left_semi")
+def settled_ready(rows: DataFrame, sites: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
+    """Keep settled objects of sites that have been learned, at moments outside any learning session.
+
+    ``sites(site_id, thermal_learned[, optical_learned])``; an optical model counts where there is one. ``sessions(site_id, started_us, ended_us)``
+    is what `site.learning_sessions` gives; one without an end lasts. ``rows`` carry ``t_us``.
+    """
+    optical = F.coalesce("optical_learned", F.lit(True)) if "optical_learned" in sites.columns else F.lit(True)
+    ready = rows.join(sites.filter(F.col("thermal_learned") & optical).select("site_id"), "site_id", "left_semi")
+    if sessions is None:
+        return ready
+    s = sessions.select(F.col("site_id").alias("_site"), F.col("started_us").alias("_from"), F.col("ended_us").alias("_to"))
+    inside = (F.col("site_id") == F.col("_site")) & (F.col("t_us") >= F.col("_from")) & (F.col("_to").isNull() | (F.col("t_us") < F.col("_to")))
+    return ready.join(s, inside, "left_anti")
 
 
 def top_per(rows: DataFrame, keys: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perimetra.operators import alerts, controls, site, tracks
+from perimetra.operators import alerts, assess, controls, regions, site, tracks
 from perimetra.operators.matching import shared_path
 from perimetra.operators.scans import chunk_span
 from perimetra.queries import REGISTRY
 from perimetra.queries.alerts import HOURS, INTERVALS_SQL, both
-from perimetra.queries.site import CELLS_SQL, LEARN_SQL, MODEL_SQL, SMALL, rel_frames
+from perimetra.queries.site import CELLS_SQL, LEARN_SQL, MODEL_SQL, SMALL, rel_frames, small_reads
 from perimetra.queries.tracks import KINEMATICS_SQL, assessed_tracks, base_sql
 from perimetra.sources.adapters import track_obs, track_obs_sql
 from perimetra.sources.models import ModelStore, cells_of
@@ -179,3 +179,24 @@ def model_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select(
         "site_id", F.col("pos").cast("long").alias("pos"), "version", F.round("ref_mean", 6).alias("ref_mean"), F.round("ref_var", 6).alias("ref_var"), "accepted"
     )
+
+
+@REGISTRY.add(
+    "settled_gate",
+    f"""
+WITH patch AS ({REGISTRY.sql['settled_regions']}), gate AS (
+  SELECT site_id, site_id % 3 <> 0 AS thermal_learned, CASE site_id WHEN 1 THEN NULL ELSE site_id <> 4 END AS optical_learned FROM range(10) t(site_id)
+), session AS (SELECT site_id, site_id * 1000000 AS started_us, CASE WHEN site_id <> 5 THEN site_id * 1000000 + 4000000 END AS ended_us FROM range(10) t(site_id))
+SELECT p.site_id, p.frame_idx, p.key, p.cells FROM patch p JOIN gate g ON g.site_id = p.site_id AND g.thermal_learned AND coalesce(g.optical_learned, true)
+ANTI JOIN session s ON s.site_id = p.site_id AND p.frame_idx * 40000 >= s.started_us AND (s.ended_us IS NULL OR p.frame_idx * 40000 < s.ended_us)""",
+)
+def settled_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settled patches of sites whose models are both learned, outside learning sessions."""
+    reads, span = small_reads(spark, sf_dir)
+    patches = regions.thermal_regions(site.persistence(reads, SMALL, span), SMALL).withColumn("t_us", F.col("frame_idx") * 40_000)
+    s = F.col("site_id")
+    every = reads.select("site_id").distinct()
+    sites = every.select("site_id", (s % 3 != 0).alias("thermal_learned"), F.when(s != 1, s != 4).alias("optical_learned"))
+    start = s * 1_000_000
+    runs = every.select("site_id", start.alias("started_us"), F.when(s != 5, start + 4_000_000).alias("ended_us"))
+    return assess.settled_ready(patches, sites, runs).select("site_id", "frame_idx", "key", "cells")

@@ -207,9 +207,8 @@ def _rounds(frames: DataFrame, p: ThermalSite, span: int) -> Iterator[tuple[Data
 
 
 def _one_chunk(frames: DataFrame, span: int) -> bool:
-    """No site has frames in two chunks, so that a task a site is all there is to spread."""
-    chunks = frames.groupBy("site_id").agg((F.max(F.floor(F.col("frame_idx") / span)) > F.min(F.floor(F.col("frame_idx") / span))).alias("more"))
-    return chunks.filter("more").isEmpty()
+    """No site has more frames than a chunk may hold, so that a task a site is all there is to spread."""
+    return frames.groupBy("site_id").count().filter(F.col("count") > span).isEmpty()
 
 
 def learn_frames(frames: DataFrame, p: ThermalSite = THERMAL_SITE, span: int = SPAN) -> DataFrame:

@@ -269,14 +269,50 @@ def tracks_from_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alerts.tracked(d, Tracking(max_step_px=10.0, max_misses=1), chunk_span(d))
 
 
-@REGISTRY.add("held_names")
+HELD = "STRUCT(label VARCHAR, confidence DOUBLE, x DOUBLE, y DOUBLE, w DOUBLE, h DOUBLE, seen_us BIGINT)"
+
+
+@REGISTRY.add(
+    "held_names",
+    "WITH RECURSIVE " + assessments_sql() + f"""
+, found AS (
+  SELECT site_id, CASE WHEN frame_idx % 3 = 0 THEN 'aerial' ELSE 'rooms' END AS model, frame_idx // 50 AS frame_idx, t_us, label, confidence,
+         (dwell_s - 20 * floor(dwell_s / 20))::DOUBLE AS x, (frame_idx % 20)::DOUBLE AS y
+  FROM assessments
+), pass AS (
+  SELECT site_id, model, frame_idx, min(t_us) AS now, list({{'label': label, 'confidence': confidence, 'x': x, 'y': y}} ORDER BY confidence DESC, label, x, y) AS told
+  FROM found GROUP BY ALL
+), placed AS (
+  SELECT site_id, model, frame_idx, now, row_number() OVER (PARTITION BY site_id, model ORDER BY frame_idx) AS i,
+    list_transform(told, lambda q: [{{'label': q.label, 'confidence': q.confidence, 'x': q.x, 'y': q.y, 'w': 12.0, 'h': 12.0, 'seen_us': now}}::{HELD}]) AS fresh
+  FROM pass
+), walk AS (
+  SELECT DISTINCT site_id, model, 0::BIGINT AS i, 0::BIGINT AS frame_idx, []::{HELD}[] AS held FROM placed
+  UNION ALL
+  SELECT site_id, model, i, frame_idx,
+    list_reduce(list_concat([old], fresh), lambda acc, q:
+      CASE WHEN len(list_filter(acc, lambda o: o.label = q[1].label AND greatest(0, least(o.x, q[1].x) + 12 - greatest(o.x, q[1].x)) * greatest(0, least(o.y, q[1].y) + 12 - greatest(o.y, q[1].y)) >= 0.4 * 144)) = 0
+        THEN list_append(acc, q[1])
+        ELSE list_transform(range(1, len(acc) + 1), lambda k: CASE WHEN k = list_filter(range(1, len(acc) + 1), lambda j: acc[j].label = q[1].label
+          AND greatest(0, least(acc[j].x, q[1].x) + 12 - greatest(acc[j].x, q[1].x)) * greatest(0, least(acc[j].y, q[1].y) + 12 - greatest(acc[j].y, q[1].y)) >= 0.4 * 144)[1] THEN q[1] ELSE acc[k] END) END)
+  FROM (
+    SELECT p.site_id, p.model, p.i, p.frame_idx, p.fresh, list_filter(w.held, lambda o: p.now - o.seen_us <= 43200000000) AS old
+    FROM walk w JOIN placed p ON p.site_id = w.site_id AND p.model = w.model AND p.i = w.i + 1
+  )
+), told AS (SELECT site_id, model, frame_idx, unnest(held) AS n FROM walk WHERE i > 0)
+SELECT site_id, model, frame_idx, n.label AS label, round(n.confidence, 6) AS confidence, round(n.x, 6) AS x, round(n.y, 6) AS y, n.w AS w, n.h AS h, n.seen_us AS seen_us FROM told""",
+)
 def held_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of two recognisers, each holding its own."""
     a = assessments(spark, sf_dir)
-    found = a.select(
-        "site_id", F.lit("rooms").alias("model"), F.floor(F.col("frame_idx") / 50).cast("long").alias("frame_idx"), "t_us", "label", "confidence",
-        F.pmod(F.col("dwell_s"), F.lit(20.0)).alias("x"), F.pmod(F.col("frame_idx"), F.lit(20)).cast("double").alias("y"), F.lit(12.0).alias("w"), F.lit(12.0).alias("h"),
-    )
-    return alerts.held_names(found, Fusion(hold_s=43200.0), chunk_span(a))
+    f = F.col("frame_idx")
+    spot = {"x": F.pmod(F.col("dwell_s"), F.lit(20.0)), "y": F.pmod(f, F.lit(20)).cast("double"), "w": F.lit(12.0), "h": F.lit(12.0)}
+    one = a.select("site_id", f.alias("at"), F.floor(f / 50).cast("long").alias("frame_idx"), "t_us", "label", "confidence", *[v.alias(k) for k, v in spot.items()])
+    parts = [one.filter(F.col("at") % 3 == 0).withColumn("model", F.lit("aerial")), one.filter(F.col("at") % 3 != 0).withColumn("model", F.lit("rooms"))]
+    found = parts[0].unionByName(parts[1]).drop("at")
+    held = alerts.held_names(found, Fusion(hold_s=43200.0), chunk_span(a))
+    r = [F.round(c, 6).alias(c) for c in ("confidence", "x", "y")]
+    return held.select("site_id", "model", "frame_idx", "label", *r, "w", "h", "seen_us")
 
 
 THERMAL_REGION_SQL = """

@@ -509,3 +509,73 @@ def learning_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(7200.0).alias("seconds"), F.lit(True).alias("reset"),
     )
     return site.learning_sessions(acts, chunk_span(a)).select("site_id", "started_us", "ended_us", "done")
+
+
+@REGISTRY.add(
+    "manual_gate",
+    "WITH " + PAIRS_SQL + f", err AS (SELECT site_id, pair_id // 40 AS clicks, sqrt(pow({ERR_X} - ox, 2) + pow({ERR_Y} - oy, 2)) AS e FROM pairs)" + """
+SELECT site_id + 10 * clicks AS site_id, count(*) AS pairs, round(avg(e), 6) AS mean_px FROM err GROUP BY site_id, clicks HAVING count(*) >= 4 AND avg(e) < 5""",
+)
+def manual_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hand-made calibrations, some of few points, that are good enough to save."""
+    pairs = rig_pairs(spark, sf_dir).withColumn("site_id", (F.col("site_id") + 10 * F.floor(F.col("pair_id") / 40)).cast("long"))
+    maps = pairs.select("site_id").distinct().withColumn("h", h_col())
+    return calibration.manual_ok(calibration.reprojection(pairs, maps)).select("site_id", "pairs", *r6("mean_px"))
+
+
+@REGISTRY.add(
+    "probe_summary",
+    """
+WITH f AS (
+  SELECT l_suppkey % 10 AS site_id, l_orderkey AS s, 4850 + floor(l_extendedprice / 10)::BIGINT AS hi, 4800 + l_partkey % 50 AS lo, 20.0::DOUBLE + l_tax * 100 AS ambient FROM lineitem
+), g AS (
+  SELECT site_id, s // 2 * 2 AS start_s, min(least(lo, hi)) OVER w AS raw_min, greatest(lo, hi) AS raw, ambient,
+         row_number() OVER (PARTITION BY site_id, s // 2 ORDER BY greatest(lo, hi) DESC, ambient DESC) AS rank
+  FROM f WINDOW w AS (PARTITION BY site_id, s // 2)
+), u AS (SELECT *, ambient + (raw - 4850.0::DOUBLE) / 31.0::DOUBLE AS lin FROM g WHERE rank = 1)
+SELECT site_id, start_s, round(ambient, 6) AS ambient_c, raw_min, raw AS raw_max, round(lin, 6) AS linear_c,
+  round(1.0157::DOUBLE * CASE WHEN lin <= 150 THEN -0.00294::DOUBLE * lin * lin + 1.129::DOUBLE * lin + -3.12::DOUBLE ELSE lin - 49.92::DOUBLE END + 3.37::DOUBLE, 6) AS celsius
+FROM u""",
+)
+def probe_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw, linear and calibrated reading of the hottest pixel, every two seconds."""
+    c = F.col
+    frames = table(spark, sf_dir, "lineitem").select(
+        (c("l_suppkey") % 10).alias("site_id"), F.timestamp_seconds("l_orderkey").alias("ts"),
+        F.array((4800 + c("l_partkey") % 50).cast("int"), (4850 + F.floor(c("l_extendedprice") / 10)).cast("int")).alias("counts"),
+        (20.0 + c("l_tax") * 100).cast("double").alias("ambient_c"),
+    )
+    p = feeds.probe(frames)
+    long = [c(n).cast("long").alias(n) for n in ("raw_min", "raw_max")]
+    return p.select("site_id", c("start").cast("long").alias("start_s"), *long, *r6("ambient_c", "linear_c", "celsius"))
+
+
+@REGISTRY.add(
+    "evidence_sentences",
+    "WITH " + BOXES_SQL + """
+, e AS (
+  SELECT site_id, frame_idx, det_id, quantity::BIGINT % 6 AS q, quantity::DOUBLE AS n, 20 + quantity::DOUBLE / 5 AS peak, quantity::DOUBLE - 25 AS up, quantity::DOUBLE / 100 AS sol,
+         (det_id // 100 % 100) / 4.0::DOUBLE AS aspect, floor(area)::BIGINT AS px FROM boxes
+)
+SELECT site_id, frame_idx, det_id,
+  CASE WHEN q = 0 THEN 'not asked' WHEN q = 1 THEN 'outside the thermal field of view' WHEN q = 2 THEN 'hidden'
+       WHEN up >= 1.2 THEN printf('warm - %.1f C peak, %+.1f C above surroundings', peak, up)
+       ELSE printf('NOT warm - %.1f C peak, only %+.1f C above surroundings', peak, up) END AS thermal,
+  CASE WHEN q = 0 THEN 'not asked' WHEN q = 1 THEN 'nothing there' WHEN q = 2 THEN 'hidden'
+       WHEN q = 3 THEN printf('it is a person (%.2f) - solidity %.2f, aspect %.2f, ', sol, sol, aspect) || px || ' px'
+       WHEN q = 4 THEN printf('looks like bird (%.2f) - solidity %.2f, aspect %.2f, ', sol, sol, aspect) || px || ' px'
+       ELSE printf('shape unclear - solidity %.2f, aspect %.2f, ', sol, aspect) || px || ' px' END AS optical
+FROM e""",
+)
+def evidence_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each sensor says back when it is asked about an object, in every kind of answer."""
+    c = F.col
+    q, n = c("quantity").cast("long") % 6, c("quantity").cast("double")
+    asked, found = q != 0, ~q.isin(1, 2)
+    reason = F.when(q == 1, "").when(q == 2, "hidden")
+    sol, aspect = n / 100, (F.floor(c("det_id") / 100).cast("long") % 100) / 4.0
+    label = F.when(q == 4, "bird").otherwise("unknown")
+    name = F.when(q == 3, "person")
+    heat = T.thermal_answer(asked, found, n - 25 >= 1.2, 20 + n / 5, n - 25, reason)
+    shape = T.optical_answer(asked, found, label, sol, sol, aspect, c("area"), reason, name, sol)
+    return boxes(spark, sf_dir).select("site_id", "frame_idx", "det_id", heat.alias("thermal"), shape.alias("optical"))

@@ -43,11 +43,6 @@ def axis_gap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     return F.greatest(b0 - a1, a0 - b1, F.lit(0).cast("double"))
 
 
-def edge_gap(a: Box, b: Box) -> Column:
-    """Chebyshev gap between two boxes, 0 when they touch."""
-    return F.greatest(axis_gap(a.x, a.x + a.w, b.x, b.x + b.w), axis_gap(a.y, a.y + a.h, b.y, b.y + b.h))
-
-
 def touches(a: Box, b: Box, pad: float = 0) -> Column:
     """Open-interval overlap of two boxes, one of them grown by ``pad``."""
     return (

@@ -32,12 +32,6 @@ def read_alert_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def save_frame_table(rows: DataFrame, path: str, day_of: str = "t_us") -> None:
-    """Write a frame-clocked table clustered by site and day, so scans prune to both."""
-    day = F.to_date(F.timestamp_micros(day_of))
-    rows.withColumn("day", day).repartition("site_id", "day").write.mode("append").partitionBy("site_id", "day").parquet(path)
-
-
 def exists(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.parquet(path)

@@ -35,16 +35,6 @@ def contact_sessions(contacts: DataFrame, p: Fusion = FUSION) -> DataFrame:
     )
 
 
-def feed_rate(arrivals: DataFrame, every: str = "2 seconds") -> DataFrame:
-    """Frames and failed reads per feed and interval."""
-    return (
-        arrivals.withWatermark("ts", WATERMARK)
-        .groupBy("site_id", "sensor", F.window("ts", every).alias("w"))
-        .agg(F.count_if("ok").alias("frames"), F.count_if(~F.col("ok")).alias("failed"))
-        .select("site_id", "sensor", F.col("w.start").alias("start"), "frames", "failed")
-    )
-
-
 def log_alerts(alerts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Write the open and close records of ``keyed.alerts`` as they come, in one folder per micro-batch: a replayed batch replaces its own."""
 

@@ -132,3 +132,25 @@ def test_reply_extraction(spark):
     assert first == ['{"class": "bird"}', '{"a": {"b": 1}}', None, None]
     ok = [r.ok for r in replies.parsed(df).orderBy("i").collect()]
     assert ok[0] and not ok[2] and not ok[3]
+
+
+def test_targets_in_the_thermal_frame(spark):
+    from perimetra.operators import evaluate
+
+    maps = spark.createDataFrame([(1, [2.0, 0.0, 10.0, 0.0, 2.0, -4.0, 0.0, 0.0, 1.0]), (2, [0.0] * 9)], "site_id long, h array<double>")
+    rows = [(1, 0, 1, 3.0, 5.0), (1, 0, 2, 123.0, 5.0), (1, 0, 3, 1.0, 1.0), (2, 0, 4, 3.0, 5.0), (3, 0, 5, 3.0, 5.0)]
+    world = spark.createDataFrame(rows, "site_id long, frame_idx long, truth_id long, x double, y double")
+    seen = evaluate.projected(world, maps)
+    assert {r.truth_id: (r.x, r.y) for r in seen.collect()} == {1: (16.0, 6.0), 2: (256.0, 6.0), 3: (12.0, -2.0), 4: (None, None)}
+    assert [r.truth_id for r in evaluate.visible(seen).collect()] == [1]
+
+
+def test_request_about_something_only_the_optical_sensor_has(spark):
+    import json
+
+    from perimetra.operators import replies
+
+    row = spark.createDataFrame([(10.0, 20.0, 30.0, 20.0, 61.25, 0.70049, "NOT warm")], "x double, y double, w double, h double, dwell_s double, threat double, thermal_says string")
+    got = json.loads(row.select(replies.optical_request(F.lit("settled optical patch")).alias("j")).first().j)
+    assert got["sensor"].startswith("optical only") and got["why_asked"] == "settled optical patch" and got["box"] == [10.0, 20.0, 30.0, 20.0]
+    assert (got["area_px"], got["aspect"], got["dwell_s"], got["threat"], got["thermal_says"]) == (600, 1.5, 61.2, 0.7, "NOT warm")
